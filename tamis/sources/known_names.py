@@ -1,0 +1,33 @@
+"""Well-known package names per ecosystem, most popular first. This is a
+starting list; pass a table of your own for a fuller one."""
+
+KNOWN_NAMES = {
+    "npm": [
+        "react", "lodash", "express", "axios", "typescript", "webpack", "chalk",
+        "commander", "debug", "moment", "vue", "eslint", "jquery", "cross-env",
+        "uuid", "async", "request", "prettier", "dotenv", "rxjs", "mongoose",
+    ],
+    "pypi": [
+        "requests", "numpy", "pandas", "boto3", "urllib3", "setuptools", "pyyaml",
+        "cryptography", "django", "flask", "scipy", "pillow", "pytest", "jinja2",
+        "sqlalchemy", "click", "certifi", "colorama", "python-dateutil",
+        "beautifulsoup4", "matplotlib",
+    ],
+    "cargo": [
+        "serde", "tokio", "rand", "syn", "clap", "regex", "anyhow", "libc",
+        "futures", "hyper", "reqwest", "chrono", "thiserror", "rayon", "tracing",
+    ],
+    "go": [
+        "github.com/gin-gonic/gin", "github.com/stretchr/testify",
+        "github.com/spf13/cobra", "github.com/gorilla/mux", "golang.org/x/crypto",
+        "golang.org/x/net", "google.golang.org/grpc", "gin", "cobra", "logrus",
+    ],
+    "composer": [
+        "symfony/console", "guzzlehttp/guzzle", "monolog/monolog",
+        "laravel/framework", "phpunit/phpunit", "doctrine/orm", "twig/twig",
+    ],
+    "rubygems": [
+        "rails", "rake", "bundler", "nokogiri", "rack", "rspec", "devise", "puma",
+        "sidekiq", "sinatra", "activerecord", "json", "redis",
+    ],
+}
