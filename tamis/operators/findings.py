@@ -93,10 +93,14 @@ def with_rule_fields(hits: DataFrame, compiled) -> DataFrame:
     return hits.join(compiled.small(rules), "rule_ord")
 
 
-def severity_floor(findings: DataFrame, level: str | None) -> DataFrame:
+def severity_floor(
+    findings: DataFrame, level: str | None, keep: Column | None = None
+) -> DataFrame:
+    """Findings at or above the level, and those that ``keep`` selects anyway."""
     if level is None:
         return findings
-    return findings.filter(severity_rank(F.col("severity")) >= parse_floor(level))
+    high = severity_rank(F.col("severity")) >= parse_floor(level)
+    return findings.filter(high if keep is None else high | keep)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -419,6 +419,7 @@ def evaluate_pairs(
     *,
     every_match: bool = False,
     captures: bool = False,
+    scope_flows: bool = True,
 ) -> DataFrame:
     """Hits of (file, pattern) rows: the columns of ``pairs`` without the text
     and the pattern, plus match_ord, line, col, snippet, captures.
@@ -443,7 +444,8 @@ def evaluate_pairs(
     )
     hits = _pattern_hits(every_match or captures, captures)
     if any(r.flow for r in compiled.rules):
-        hits = F.when(is_flow, F.when(in_scope, _flow_hits())).otherwise(hits)
+        flow_in_scope = in_scope if scope_flows else F.lit(True)
+        hits = F.when(is_flow, F.when(flow_in_scope, _flow_hits())).otherwise(hits)
     return rows.select(*keep, F.posexplode(hits).alias("match_ord", "hit")).select(
         *keep, "match_ord", "hit.*"
     )

@@ -38,7 +38,8 @@ class ScanOptions:
     min_severity: str | None = None
     baseline: str | None = None
     diff_only: bool = False
-    no_cache: bool = True
+    # Unchanged files are read from the cache when a directory for it is given.
+    no_cache: bool = False
     cache_dir: str | None = None
     # Number of partitions the files are spread over; 0 leaves it to Spark.
     jobs: int = 0
@@ -90,16 +91,21 @@ class ScanReport:
 
 
 def raw_findings(
-    files: DataFrame, rules, ignore_tokens: tuple[str, ...] = (IGNORE_TOKEN,)
+    files: DataFrame,
+    rules,
+    ignore_tokens: tuple[str, ...] = (IGNORE_TOKEN,),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """De-duplicated findings of all rules with the inline ``ignored`` flag."""
+    """De-duplicated findings of all rules with the inline ``ignored`` flag;
+    ``carry`` names columns of the files to keep."""
     compiled = compile_rules(rules)
     rows = files.select(
-        "path", "text", "lang", ignore_comments(F.col("text"), ignore_tokens).alias("_ignores")
+        "path", "text", "lang", *carry, ignore_comments(F.col("text"), ignore_tokens).alias("_ignores")
     )
     hits = evaluate_pairs(candidate_pairs(rows, compiled), compiled)
     flagged = hits.select(
         "path",
+        *carry,
         F.col("lang").alias("language"),
         "rule_id",
         "line",
@@ -122,7 +128,7 @@ def judge(
     """Changed lines, severity floor and suppressions, in that order."""
     if changed is not None:
         findings = on_changed_lines(findings, changed)
-    findings = severity_floor(findings, min_severity)
+    findings = severity_floor(findings, min_severity, keep=F.col("ignored"))
     return flag_suppressed(findings, list(suppressions), root)
 
 
@@ -162,14 +168,21 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanReport:
     files = allowed(files, options.path, options.include, options.exclude)
     if options.jobs:
         files = files.repartition(options.jobs)
-    report = scan_files(
-        files,
-        rule_set,
+    compiled = compile_rules(rule_set)
+    use_cache = bool(options.cache_dir) and not options.no_cache and changed is None
+    if use_cache:
+        from tamis.plans.incremental import incremental_findings
+
+        cached = incremental_findings(files, compiled, options.cache_dir, options.ignore_tokens)
+        found, n_hits = cached.findings, cached.cache_hits
+    else:
+        found, n_hits = raw_findings(scannable(files), compiled, options.ignore_tokens), 0
+    judged = judge(
+        found,
         min_severity=options.min_severity,
         suppressions=live,
         root=options.path,
         changed=changed,
-        ignore_tokens=options.ignore_tokens,
     )
-    report.warnings += expired
-    return report
+    warnings = [*compiled.warnings, *expired]
+    return ScanReport(judged, files, len(compiled.rules), warnings, use_cache, n_hits)
