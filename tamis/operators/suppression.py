@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.globs import glob_regex, is_glob, relative_path
+from tamis.functions.text import basename
 from tamis.sources.suppressions import Suppression
 
 _ENTRIES = "rule_id string, entries array<struct<path:string,glob:boolean,line:int>>"
@@ -74,19 +75,30 @@ def flag_suppressed(
     )
 
 
-def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
-    """Findings on changed lines. A file is the same when one path is a suffix
-    of the other. Line and last path character make an equi-join of it."""
-    right = changed.select(
-        F.col("path").alias("_file"), F.col("line").alias("_line")
-    ).distinct()
-    same_file = F.endswith(F.col("path"), F.col("_file")) | F.endswith(
-        F.col("_file"), F.col("path")
-    )
-    return findings.join(
-        right,
-        (F.col("line") == F.col("_line"))
-        & (F.right(F.col("path"), F.lit(1)) == F.right(F.col("_file"), F.lit(1)))
-        & same_file,
-        "left_semi",
+def _same_file_keys(path: Column, ends: str, is_end: str) -> Column:
+    """Keys under which two paths meet if one ends with the other: the same
+    file name, or a bare name that ends the other's file name."""
+    name = basename(path)
+    ends_of_name = F.when(
+        F.length(name) > 1,
+        F.transform(
+            F.sequence(F.lit(2), F.length(name)),
+            lambda i: F.concat(F.lit(ends), F.substring(name, i, F.length(name))),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    bare = F.when(~F.contains(path, F.lit("/")), F.concat(F.lit(is_end), path))
+    return F.array_compact(
+        F.concat(F.array(F.concat(F.lit("="), name), bare), ends_of_name)
     )
+
+
+def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
+    """Findings on changed lines. A file is the same when one path ends with
+    the other."""
+    left = findings.select("path", "line").distinct()
+    left = left.withColumn("key", F.explode(_same_file_keys(F.col("path"), "<", ">")))
+    right = changed.select(F.col("path").alias("file"), "line").distinct()
+    right = right.withColumn("key", F.explode(_same_file_keys(F.col("file"), ">", "<")))
+    same = F.endswith("path", F.col("file")) | F.endswith("file", F.col("path"))
+    hit = left.join(right, ["line", "key"]).filter(same).select("path", "line").distinct()
+    return findings.join(hit, ["path", "line"], "left_semi")

@@ -25,6 +25,14 @@ def from_table(df: DataFrame, path: Column, text: Column, *keep: str) -> DataFra
     )
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Few large input splits are spread over all cores. Where the input has
+    more splits than cores, as big tables have, nothing is shuffled."""
+    spark = files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return files.repartition(cores, "path") if files.rdd.getNumPartitions() < cores else files
+
+
 def scannable(files: DataFrame) -> DataFrame:
     """Drops unreadable texts and oversized files of unknown language."""
     too_big = (F.col("lang") == GENERIC) & (F.col("n_bytes") > GENERIC_LIMIT_BYTES)
