@@ -64,7 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(df: DataFrame, path: str, text: str, *keep: str) -> DataFrame:
-    return spread(from_table(df, F.expr(path), F.expr(text), *keep))
+    return from_table(spread(df), F.expr(path), F.expr(text), *keep)
 
 
 def documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,23 +47,26 @@ _BEFORE_DOCKERFILE = (
 )
 
 
-def detect_language(path: Column) -> Column:
-    """Language name, or null when nothing in the path tells it."""
+def _by_suffix(names: tuple[str, ...]) -> Column:
+    """Map from a path's last suffix to a language: one look-up per path."""
+    pairs = [F.lit(x) for n in names for suffix in SUFFIXES[n] for x in (suffix, n)]
+    return F.create_map(*pairs)
 
-    def any_suffix(names: tuple[str, ...]) -> Column:
-        return reduce(lambda a, b: a | b, [F.endswith(path, F.lit(s)) for s in names])
 
+def detect_language(path: Column) -> Column:
+    """Language name, or null when nothing in the path tells it."""
     base = basename(path)
     docker = F.startswith(base, F.lit("Dockerfile")) | F.endswith(base, F.lit("Dockerfile"))
-    branches = [(any_suffix(SUFFIXES[n]), n) for n in _BEFORE_DOCKERFILE]
-    branches.append((docker, DOCKERFILE))
-    branches += [
-        (any_suffix(sfx), n) for n, sfx in SUFFIXES.items() if n not in _BEFORE_DOCKERFILE
-    ]
-    out = F
-    for cond, name in branches:
-        out = out.when(cond, F.lit(name))
-    return out
+    later = tuple(n for n in SUFFIXES if n not in _BEFORE_DOCKERFILE)
+
+    def by(suffix: Column) -> Column:
+        return F.coalesce(
+            F.element_at(_by_suffix(_BEFORE_DOCKERFILE), suffix),
+            F.when(F.contains(path, F.lit("Dockerfile")) & docker, DOCKERFILE),
+            F.element_at(_by_suffix(later), suffix),
+        )
+
+    return by(F.regexp_extract(path, r"(\.[^.]*)$", 1))
 
 
 def language_or_generic(path: Column) -> Column:

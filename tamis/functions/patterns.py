@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from tamis.functions.text import WS
+from tamis.functions.text import UNICODE, WS
 
 _TOKEN = re.compile(
     rf"(?P<ws>{WS}+)|(?P<dollar>\\\$)|\$\.\.\.(?P<rest>[A-Za-z0-9_]*)"
@@ -51,7 +51,7 @@ class Gap:
         body = "." + ("+" if self.least else "*") + ("" if self.greedy else "?")
         if self.name is None:
             return body
-        return f"({body})" if capture else f"(?:{body})"
+        return f"({body})" if capture else body
 
 
 @dataclass(frozen=True)
@@ -135,12 +135,13 @@ def compile_pattern(pattern: str) -> CompiledPattern:
 
     head = pieces[0].lead + pieces[0].core
     if not gaps:
-        search = f"(?s)()({head})({tail(False)})"
+        search = f"()({head})({tail(False)})"
     elif pieces[0].core:
-        search = f"(?s)\\G(?>(.*?)({head}))({tail(False)})"
+        search = f"\\G(?>(.*?)({head}))({tail(False)})"
     else:
-        search = f"(?s)\\G()()({head}{tail(False)})"
-    return CompiledPattern(names, search, f"(?s)^{head}{tail(True)}", words)
+        search = f"\\G()()({head}{tail(False)})"
+    flags = "(?s)" + (UNICODE if WS in search else "")
+    return CompiledPattern(names, flags + search, f"{flags}^{head}{tail(True)}", words)
 
 
 def index_literals(pattern: str) -> list[str]:

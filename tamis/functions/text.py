@@ -7,21 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode White_Space characters, as one regex class that
-# Java, Python and RE2 read the same way.
-WS = (
-    "[\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a"
-    "\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# The Unicode White_Space characters.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same as a regex class; the flag makes the class cover them all.
+UNICODE = "(?U)"
+WS = "\\s"
 
 
 def trim_ws(col: Column) -> Column:
     """Trim every kind of Unicode white space (Spark's trim only drops blanks)."""
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def trim_start_ws(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+", "")
+    return F.ltrim(col, F.lit(WS_CHARS))
 
 
 def lines(text: Column) -> Column:

@@ -78,12 +78,14 @@ def is_ignored(ignores: Column, rule_id: Column, line: Column) -> Column:
 def deduplicate(hits: DataFrame) -> DataFrame:
     """One row per (rule, path, line, snippet): the first in encounter order.
 
-    An aggregate with map-side combining rather than a window: no group is ever
-    brought together as rows, whatever the skew."""
-    key = ("rule_id", "path", "line", "snippet")
-    rest = [c for c in hits.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*ORDER_COLUMNS)).alias("first")
-    return hits.groupBy(*key).agg(first).select(*key, *[f"first.{c}" for c in rest])
+    A hash aggregate with map-side combining rather than a window: no group is
+    ever brought together as rows, whatever the skew. Encounter order is one
+    number, for pattern ordinals follow rule ordinals; all other columns depend
+    on the key."""
+    numbers = ("rule_ord", "pat_ord", "match_ord", "col")
+    key = [c for c in hits.columns if c not in numbers]
+    order = F.shiftleft(F.col("pat_ord").cast("bigint"), 32) + F.col("match_ord")
+    return hits.groupBy(*key).agg(*[F.min_by(n, order).alias(n) for n in numbers])
 
 
 def with_rule_fields(hits: DataFrame, compiled) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tamis.functions.text import WS, let, lines, trim_start_ws, trim_ws
+from tamis.functions.text import let, lines, trim_start_ws, trim_ws
 
 IDENT = "[A-Za-z_][A-Za-z0-9_]*"
 _NOT_WORD = "[^\\p{IsAlphabetic}\\p{N}_]+"

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.text import WS, basename, let, lines, trim_ws
+from tamis.functions.text import UNICODE, WS, basename, let, lines, trim_ws
 
 # Manifest names in look-up order and their ecosystem. The order
 # decides which manifest a merged package is first seen in.
@@ -202,7 +202,7 @@ def _cargo_lock(doc: Column) -> Column:
             F.filter(packages, is_member),
             lambda p: F.transform(
                 _list_at(p, "$.dependencies"),
-                lambda d: F.element_at(F.split(trim_ws(d.cast("string")), f"{WS}+", -1), 1),
+                lambda d: F.element_at(F.split(trim_ws(d.cast("string")), f"{UNICODE}{WS}+", -1), 1),
             ),
         )
     )
@@ -321,7 +321,7 @@ def _go_mod(text: Column) -> Column:
         is_require = F.startswith(l["t"], F.lit("require"))
         rest = trim_ws(F.regexp_replace(l["t"], "^(require)+", ""))
         opens = is_require & rest.isin("", "(")
-        words = F.split(F.when(is_require, rest).otherwise(l["t"]), f"{WS}+", -1)
+        words = F.split(F.when(is_require, rest).otherwise(l["t"]), f"{UNICODE}{WS}+", -1)
         closes = l["t"] == ")"
         adds = (F.size(words) >= 2) & ~opens & ~closes & (is_require | s["open"])
         return F.struct(
@@ -378,7 +378,7 @@ def _gemfile_lock(text: Column) -> Column:
     content = F.filter(
         lines(text), lambda l: (trim_ws(l) != "") & ~F.startswith(trim_ws(l), F.lit("#"))
     )
-    sections = F.split(F.array_join(content, "\n"), rf"\n(?!{WS})", -1)
+    sections = F.split(F.array_join(content, "\n"), rf"{UNICODE}\n(?!{WS})", -1)
     title = lambda s: trim_ws(F.substring_index(s, "\n", 1))
 
     def gems(block: Column) -> Column:
@@ -391,7 +391,7 @@ def _gemfile_lock(text: Column) -> Column:
         F.transform(
             F.filter(sections, lambda s: title(s) == "GEM"),
             lambda s: F.filter(
-                F.split(s, rf"\n(?={WS}{{1,2}}[^\s][^\n]*:\s*(?:\n|$))", -1),
+                F.split(s, rf"{UNICODE}\n(?={WS}{{1,2}}[^\s][^\n]*:\s*(?:\n|$))", -1),
                 lambda b: title(b) == "specs:",
             ),
         )
@@ -399,7 +399,7 @@ def _gemfile_lock(text: Column) -> Column:
     direct = F.flatten(
         F.transform(
             F.filter(sections, lambda s: title(s) == "DEPENDENCIES"),
-            lambda s: gems(F.regexp_replace(s, rf"\n{WS}+![^\n]*", "")),
+            lambda s: gems(F.regexp_replace(s, rf"{UNICODE}\n{WS}+![^\n]*", "")),
         )
     )
     return let(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.text import WS, trim_ws
+from tamis.functions.text import UNICODE, WS, trim_ws
 from tamis.operators.inventory import eco_ord
 from tamis.sources.policy import Policy
 
@@ -38,7 +38,7 @@ def is_problem(verdict: Column) -> Column:
 
 
 def normalise_licence(raw: Column) -> Column:
-    return trim_ws(F.regexp_replace(F.coalesce(raw, F.lit("")), f"{WS}+", " "))
+    return trim_ws(F.regexp_replace(F.coalesce(raw, F.lit("")), f"{UNICODE}{WS}+", " "))
 
 
 def _one(licence: Column, policy: Policy) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import let
 from tamis.operators.inventory import eco_ord
+from tamis.sources.known_names import KNOWN_NAMES
+from tamis.sources.small import small_table
 
 # Look-alike characters and what they are read as. Pairs first:
 # no single replacement creates one of them, but the other way round "1" would.
@@ -127,12 +129,12 @@ def _upto(n: Column) -> Column:
 
 def known_names(spark: SparkSession, names: dict[str, list[str]] | None = None) -> DataFrame:
     """(ecosystem, known, rank): well-known names, most popular first."""
-    from tamis.sources.known_names import KNOWN_NAMES
-
     rows = [
-        (eco, n, i) for eco, listed in (names or KNOWN_NAMES).items() for i, n in enumerate(listed)
+        {"ecosystem": eco, "known": name, "rank": rank}
+        for eco, listed in (names or KNOWN_NAMES).items()
+        for rank, name in enumerate(listed)
     ]
-    return spark.createDataFrame(rows, "ecosystem string, known string, rank int")
+    return small_table(spark, rows, "ecosystem:string,known:string,rank:int")
 
 
 def _keys(kind: str, keys: Column) -> Column:

@@ -23,7 +23,8 @@ from tamis.functions.patterns import (
 )
 from tamis.functions.text import let, lines, trim_ws
 from tamis.operators.flow import flow_lines
-from tamis.sources.rules import Rule, RuleSet
+from tamis.sources.rules import Flow, Rule, RuleSet
+from tamis.sources.small import small_table
 
 log = logging.getLogger(__name__)
 
@@ -37,17 +38,38 @@ BROADCAST_LIMIT_BYTES = 256 << 20
 # tests; beyond it one automaton pass over the text is cheaper.
 CHAIN_LIMIT = 64
 
-PATTERN_SCHEMA = """
-    pat_ord int, rule_ord int, rule_id string, languages array<string>, kind string,
-    search string, core string, names array<string>, words array<string>,
-    inside string, never string, constraints array<struct<name:string,regex:string>>,
-    comparison struct<name:string,op:string,number:double>,
-    source string, sink string, sanitizer string
-"""
-RULE_SCHEMA = """
-    rule_ord int, rule_id string, languages array<string>, severity string,
-    category string, message string, fix string, metadata map<string,string>
-"""
+PATTERN_FIELDS = {
+    "pat_ord": "int",
+    "rule_ord": "int",
+    "rule_id": "string",
+    "languages": "array<string>",
+    "kind": "string",
+    "search": "string",
+    "core": "string",
+    "names": "array<string>",
+    "words": "array<string>",
+    "inside": "string",
+    "never": "string",
+    "constraints": "array<struct<name:string,regex:string>>",
+    "comparison": "struct<name:string,op:string,number:double>",
+    "source": "string",
+    "sink": "string",
+    "sanitizer": "string",
+}
+RULE_FIELDS = {
+    "rule_ord": "int",
+    "rule_id": "string",
+    "languages": "array<string>",
+    "severity": "string",
+    "category": "string",
+    "message": "string",
+    "fix": "string",
+    "metadata": "map<string,string>",
+}
+
+
+def _fields(kinds: dict[str, str]) -> str:
+    return ",".join(f"{name}:{kind}" for name, kind in kinds.items())
 
 
 class CompiledRules:
@@ -56,7 +78,7 @@ class CompiledRules:
     def __init__(self, rule_set: RuleSet | list[Rule]):
         self.rules = rule_set.rules if isinstance(rule_set, RuleSet) else list(rule_set)
         self.warnings = list(getattr(rule_set, "warnings", []))
-        self.rows: list[tuple] = []
+        self.rows: list[dict] = []
         # Per pattern the literal that decides whether it can match at all;
         # None when there is none.
         self.anchors: list[tuple[str, ...] | None] = []
@@ -75,56 +97,68 @@ class CompiledRules:
             self._warn(rule, e)
             return None
 
-    def _constraints(self, rule: Rule) -> list[tuple[str, str | None]]:
+    def _constraints(self, rule: Rule) -> list[dict]:
         out = []
         for name, regex in rule.metavariable_regex.items():
             try:
                 re.compile(regex)
-                out.append((name, java_regex(regex)))
+                out.append({"name": name, "regex": java_regex(regex)})
             except re.error as e:
                 self._warn(rule, e)
-                out.append((name, None))
+                out.append({"name": name, "regex": None})
         return out
 
     def _add(self, rule_ord: int, rule: Rule) -> None:
         inside = self._compiled(rule, rule.pattern_inside)
         if rule.pattern_inside is not None and inside is None:
             return  # an unusable scope holds nothing
-        inside_re = inside.search if inside else None
-        common = (rule_ord, rule.id, list(rule.languages))
+        row = {
+            "rule_ord": rule_ord,
+            "rule_id": rule.id,
+            "languages": list(rule.languages),
+            "inside": inside.search if inside else None,
+        }
         if rule.flow:
-            roles, words = [], None
-            for role in (rule.flow.sources, rule.flow.sinks, rule.flow.sanitizers):
-                parts = [flow_regex(p) for p in role]
-                roles.append("(?s)" + "|".join(f"(?:{r})" for r, _ in parts) if parts else None)
-                if role is rule.flow.sinks:
-                    words = [w for _, w in parts]
-            if not words:
-                return  # no sink, no finding
-            anchor = (
-                tuple(max(w, key=len) for w in words) if all(words) else None
-            )
-            self._append(
-                common, "flow", ("", "", [], []), (inside_re, None, [], None), tuple(roles), anchor
-            )
+            self._add_flow(row, rule.flow)
             return
         never = self._compiled(rule, rule.pattern_not)
-        limits = (
-            inside_re,
-            never.search if never else None,
-            self._constraints(rule),
-            parse_comparison(rule.metavariable_comparison),
-        )
+        row |= {
+            "kind": "pattern",
+            "never": never.search if never else None,
+            "constraints": self._constraints(rule),
+            "comparison": parse_comparison(rule.metavariable_comparison),
+        }
         for pattern in rule.patterns:
             c = self._compiled(rule, pattern)
-            if c is None:
-                continue
-            anchor = (max(c.words, key=len),) if c.words else None
-            fields = (c.search, c.core, list(c.names), sorted(set(c.words)))
-            self._append(common, "pattern", fields, limits, (None, None, None), anchor)
-
-    def _append(self, common, kind, fields, limits, roles, anchor) -> None:
-        self.rows.append((len(self.rows), *common, kind, *fields, *limits, *roles))
+            if c is not None:
+                anchor = (max(c.words, key=len),) if c.words else None
+                found = {
+                    "search": c.search,
+                    "core": c.core,
+                    "names": list(c.names),
+                    "words": sorted(set(c.words)),
+                }
+                self._append(row | found, anchor)
+
+    def _add_flow(self, row: dict, flow: Flow) -> None:
+        if not flow.sinks:
+            return  # no sink, no finding
+
+        def either(patterns: tuple[str, ...]) -> str | None:
+            regexes = [f"(?:{flow_regex(p)[0]})" for p in patterns]
+            return "(?s)" + "|".join(regexes) if regexes else None
+
+        words = [flow_regex(p)[1] for p in flow.sinks]
+        anchor = tuple(max(w, key=len) for w in words) if all(words) else None
+        roles = {
+            "source": either(flow.sources),
+            "sink": either(flow.sinks),
+            "sanitizer": either(flow.sanitizers),
+        }
+        self._append(row | {"kind": "flow"} | roles, anchor)
+
+    def _append(self, row: dict, anchor: tuple[str, ...] | None) -> None:
+        self.rows.append({"pat_ord": len(self.rows)} | row)
         self.anchors.append(anchor)
 
     @property
@@ -136,14 +170,15 @@ class CompiledRules:
         return any(r.metavariable_regex or r.metavariable_comparison for r in self.rules)
 
     def pattern_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, PATTERN_SCHEMA)
+        return small_table(spark, self.rows, _fields(PATTERN_FIELDS))
 
     def rule_table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (i, r.id, list(r.languages), r.severity, r.category, r.message, r.fix, r.metadata)
+            {"rule_ord": i, "rule_id": r.id}
+            | {n: getattr(r, n) for n in RULE_FIELDS if n not in ("rule_ord", "rule_id")}
             for i, r in enumerate(self.rules)
         ]
-        return spark.createDataFrame(rows, RULE_SCHEMA)
+        return small_table(spark, rows, _fields(RULE_FIELDS))
 
     def small(self, table: DataFrame) -> DataFrame:
         """Broadcast a table of rules or patterns while its size allows."""
@@ -154,18 +189,15 @@ def compile_rules(rules: RuleSet | list[Rule] | CompiledRules) -> CompiledRules:
     return rules if isinstance(rules, CompiledRules) else CompiledRules(rules)
 
 
-def parse_comparison(text: str | None) -> tuple[str, str, float] | None:
+def parse_comparison(text: str | None) -> dict | None:
     """``$NAME op number``; anything else can never hold."""
     if text is None:
         return None
-    parts = text.split()
     try:
-        name, op, number = parts[0], parts[1], float(parts[2])
-    except (IndexError, ValueError):
-        return ("", "never", 0.0)
-    if len(parts) != 3:
-        return ("", "never", 0.0)
-    return (name.lstrip("$"), op, number)
+        name, op, number = text.split()
+        return {"name": name.lstrip("$"), "op": op, "number": float(number)}
+    except ValueError:
+        return {"name": "", "op": "never", "number": 0.0}
 
 
 # -- candidates --------------------------------------------------------------
@@ -178,13 +210,13 @@ def _applies(lang: Column, languages: tuple[str, ...]) -> Column:
 def _chain(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     ords = []
     for row, anchor in zip(compiled.rows, compiled.anchors):
-        cond = _applies(lang, tuple(row[3]))
+        cond = _applies(lang, tuple(row["languages"]))
         if anchor:
             hit = F.contains(text, F.lit(anchor[0]))
             for a in anchor[1:]:
                 hit = hit | F.contains(text, F.lit(a))
             cond = cond & hit
-        ords.append(F.when(cond, F.lit(row[0])))
+        ords.append(F.when(cond, F.lit(row["pat_ord"])))
     return F.array_compact(F.array(*ords)) if ords else F.array().cast("array<int>")
 
 
@@ -197,14 +229,14 @@ def _automaton(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     always: list[int] = []
     by_language: dict[str, set[int]] = {}
     for row, anchor in zip(compiled.rows, compiled.anchors):
-        for name in row[3]:
-            by_language.setdefault(name, set()).add(row[0])
+        for name in row["languages"]:
+            by_language.setdefault(name, set()).add(row["pat_ord"])
         # Very short literals are in almost every text: no use looking for them.
         if anchor and min(map(len, anchor)) >= 3:
             for a in anchor:
-                literals.setdefault(a, []).append(row[0])
+                literals.setdefault(a, []).append(row["pat_ord"])
         else:
-            always.append(row[0])
+            always.append(row["pat_ord"])
 
     @F.pandas_udf("array<int>")
     def look_up(texts: pd.Series, langs: pd.Series) -> pd.Series:
@@ -216,7 +248,9 @@ def _automaton(compiled: CompiledRules, text: Column, lang: Column) -> Column:
         automaton.make_automaton()
         every = by_language.get("generic", set())
 
-        def one(text: str, lang: str) -> list[int]:
+        def one(text: str | None, lang: str) -> list[int]:
+            if text is None:
+                return []
             found = set(always)
             for _, ords in automaton.iter(text):
                 found.update(ords)
@@ -260,7 +294,9 @@ def candidate_rules(files: DataFrame, rules: RuleSet | list[Rule]) -> DataFrame:
         for lit in lits:
             cond = cond | F.contains(lower, F.lit(lit))
         ords.append(F.when(cond, F.lit(i)))
-    names = spark.createDataFrame([e[:2] for e in entries], "rule_ord int, rule_id string")
+    names = small_table(
+        spark, [{"rule_ord": i, "rule_id": r} for i, r, _ in entries], "rule_ord:int,rule_id:string"
+    )
     return (
         files.select("path", F.explode(F.array_compact(F.array(*ords))).alias("rule_ord"))
         .join(names, "rule_ord")
@@ -290,29 +326,38 @@ def _marked(text: Column, search: Column, mark: Column) -> Column:
 
 
 def _marked_lines(marked: Column, mark: Column) -> Column:
+    """(line, t) of the lines that hold a marker."""
     numbered = F.transform(
-        F.split(marked, "\n", -1), lambda l, i: F.struct((i + 1).alias("line"), l.alias("t"))
+        F.split(marked, "\n", -1),
+        lambda l, i: F.when(
+            F.contains(l, mark), F.struct((i + 1).alias("line"), l.alias("t"))
+        ),
     )
-    return F.filter(numbered, lambda x: F.contains(x["t"], mark))
+    return F.array_compact(numbered)
 
 
-def _match_starts(marked: Column, mark: Column, every: bool) -> Column:
-    """(line, col, snippet) of each match, or of the first match per line.
-    Columns count bytes."""
+def _start(x: Column, mark: Column, col: Column) -> Column:
+    snippet = F.substring(trim_ws(F.replace(x["t"], mark, F.lit(""))), 1, SNIPPET_CHARS)
+    return F.struct(
+        x["line"].alias("line"), col.cast("int").alias("col"), snippet.alias("snippet")
+    )
 
-    def on_line(x: Column) -> Column:
-        snippet = F.substring(
-            trim_ws(F.replace(x["t"], mark, F.lit(""))), 1, SNIPPET_CHARS
-        )
 
-        def start(col: Column) -> Column:
-            return F.struct(
-                x["line"].alias("line"), col.cast("int").alias("col"), snippet.alias("snippet")
-            )
+def _first_starts(marked: Column, mark: Column) -> Column:
+    """(line, col, snippet) of the first match on each line. Columns count
+    bytes."""
+
+    def first(x: Column) -> Column:
+        before = F.call_function("substring_index", x["t"], mark, F.lit(1))
+        return _start(x, mark, F.octet_length(before))
 
-        if not every:
-            return F.array(start(F.octet_length(F.call_function("substring_index", x["t"], mark, F.lit(1)))))
+    return F.transform(_marked_lines(marked, mark), first)
 
+
+def _all_starts(marked: Column, mark: Column) -> Column:
+    """(line, col, snippet) of every match."""
+
+    def on_line(x: Column) -> Column:
         def starts(parts: Column) -> Column:
             # Running sum of the part lengths.
             cols = F.aggregate(
@@ -322,7 +367,7 @@ def _match_starts(marked: Column, mark: Column, every: bool) -> Column:
                     "array<int>"
                 ),
             )
-            return F.transform(cols, start)
+            return F.transform(cols, lambda c: _start(x, mark, c))
 
         return let(F.split(x["t"], mark, -1), starts)
 
@@ -369,48 +414,68 @@ def _holds(captures: Column, constraints: Column, comparison: Column) -> Column:
 _HIT = "struct<line:int,col:int,snippet:string,captures:map<string,string>>"
 
 
-def _pattern_hits(every: bool, captures: bool) -> Column:
-    text, mark, marked = F.col("text"), F.col("_mark"), F.col("_marked")
-    constrained = (F.size("constraints") > 0) | F.col("comparison").isNotNull()
+def _hit(line: Column, col: Column, snippet: Column, captures: Column | None = None) -> Column:
+    captures = F.lit(None) if captures is None else captures
+    return F.struct(
+        line.alias("line"),
+        col.alias("col"),
+        snippet.alias("snippet"),
+        captures.alias("captures"),
+    ).cast(_HIT)
 
-    def hit(s: Column, caps: Column) -> Column:
-        return F.struct(s["line"], s["col"], s["snippet"], caps.alias("captures")).cast(_HIT)
 
-    no_captures = F.lit(None).cast("map<string,string>")
-    plain = F.transform(_match_starts(marked, mark, every), lambda s: hit(s, no_captures))
-    # Split at the markers, the n-th part begins with the n-th match.
+def _checked_hits(marked: Column, mark: Column) -> Column:
+    """Every match with its captures, constraints applied. Split at the
+    markers, the n-th part begins with the n-th match."""
     parts = F.split(marked, mark, -1)
     zipped = F.zip_with(
-        _match_starts(marked, mark, True),
+        _all_starts(marked, mark),
         F.slice(parts, 2, F.size(parts) - 1),
-        lambda s, part: hit(s, _captures(part, F.col("core"), F.col("names"))),
+        lambda s, part: _hit(
+            s["line"], s["col"], s["snippet"], _captures(part, F.col("core"), F.col("names"))
+        ),
     )
-    checked = F.filter(
+    return F.filter(
         zipped, lambda h: _holds(h["captures"], F.col("constraints"), F.col("comparison"))
     )
-    found = checked if captures else F.when(constrained, checked).otherwise(plain)
-    found = F.when(F.contains(marked, mark), found)
-    never_lines = F.transform(
-        _marked_lines(_marked(text, F.col("never"), mark), mark), lambda x: x["line"]
-    )
-    kept = let(
-        never_lines, lambda ns: F.filter(found, lambda h: ~F.array_contains(ns, h["line"]))
-    )
-    return F.when(F.col("never").isNull(), found).otherwise(
-        F.when(F.contains(marked, mark), kept)
+
+
+def _pattern_hits(compiled: CompiledRules, every: bool, captures: bool) -> Column:
+    """Hits of a pattern row; parts of the expression that no rule of the set
+    needs are left out."""
+    text, mark, marked = F.col("text"), F.col("_mark"), F.col("_marked")
+    starts = _all_starts if every else _first_starts
+    found = F.transform(
+        starts(marked, mark), lambda s: _hit(s["line"], s["col"], s["snippet"])
     )
+    if captures:
+        found = _checked_hits(marked, mark)
+    elif compiled.needs_captures:
+        constrained = (F.size("constraints") > 0) | F.col("comparison").isNotNull()
+        found = F.when(constrained, _checked_hits(marked, mark)).otherwise(found)
+    if any(r.pattern_not is not None for r in compiled.rules):
+        excluded = F.transform(
+            _marked_lines(_marked(text, F.col("never"), mark), mark), lambda x: x["line"]
+        )
+        excluded = F.when(F.col("never").isNotNull(), excluded).otherwise(
+            F.array().cast("array<int>")
+        )
+        found = let(
+            excluded, lambda ns: F.filter(found, lambda h: ~F.array_contains(ns, h["line"]))
+        )
+    return F.when(F.contains(marked, mark), found)
 
 
 def _flow_hits() -> Column:
     text = F.col("text")
     at = flow_lines(text, F.col("lang"), F.col("source"), F.col("sink"), F.col("sanitizer"))
-    hit = lambda n, ls: F.struct(
-        n.alias("line"),
-        F.lit(0).alias("col"),
-        F.substring(F.element_at(ls, n), 1, SNIPPET_CHARS).alias("snippet"),
-        F.lit(None).cast("map<string,string>").alias("captures"),
-    ).cast(_HIT)
-    return let(lines(text), lambda ls: F.transform(at, lambda n: hit(n, ls)))
+    return let(
+        lines(text),
+        lambda ls: F.transform(
+            at,
+            lambda n: _hit(n, F.lit(0), F.substring(F.element_at(ls, n), 1, SNIPPET_CHARS)),
+        ),
+    )
 
 
 def evaluate_pairs(
@@ -425,14 +490,15 @@ def evaluate_pairs(
     and the pattern, plus match_ord, line, col, snippet, captures.
 
     Findings are one per line, so only the first match on a line is reported
-    unless ``every_match`` is set."""
-    drop = {c.split()[0] for c in PATTERN_SCHEMA.replace("\n", " ").split(", ")} - {
-        "pat_ord", "rule_ord", "rule_id",
-    }
+    unless ``every_match`` is set. ``scope_flows`` applies pattern-inside to
+    flow rules as well."""
+    drop = set(PATTERN_FIELDS) - {"pat_ord", "rule_ord", "rule_id"}
     keep = [c for c in pairs.columns if c not in drop | {"text"}]
     text = F.col("text")
     has_words = F.forall(F.col("words"), lambda w: F.contains(text, w))
-    in_scope = F.col("inside").isNull() | (F.regexp_instr(text, F.col("inside")) > 0)
+    in_scope = F.lit(True)
+    if any(r.pattern_inside is not None for r in compiled.rules):
+        in_scope = F.col("inside").isNull() | (F.regexp_instr(text, F.col("inside")) > 0)
     is_flow = F.col("kind") == "flow"
     # Literal tests first: the regex only runs where all words are present.
     rows = pairs.withColumn("_mark", _mark_of(text)).withColumn(
@@ -442,10 +508,11 @@ def evaluate_pairs(
             _marked(text, F.col("search"), F.col("_mark")),
         ),
     )
-    hits = _pattern_hits(every_match or captures, captures)
-    if any(r.flow for r in compiled.rules):
-        flow_in_scope = in_scope if scope_flows else F.lit(True)
-        hits = F.when(is_flow, F.when(flow_in_scope, _flow_hits())).otherwise(hits)
+    flows = [bool(r.flow) for r in compiled.rules]
+    hits = None if all(flows) else _pattern_hits(compiled, every_match or captures, captures)
+    if any(flows):
+        flow = F.when(is_flow & in_scope if scope_flows else is_flow, _flow_hits())
+        hits = flow if hits is None else flow.otherwise(hits)
     return rows.select(*keep, F.posexplode(hits).alias("match_ord", "hit")).select(
         *keep, "match_ord", "hit.*"
     )

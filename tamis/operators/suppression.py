@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions.globs import glob_regex, is_glob, relative_path
 from tamis.functions.text import basename
+from tamis.sources.small import small_table
 from tamis.sources.suppressions import Suppression
 
-_ENTRIES = "rule_id string, entries array<struct<path:string,glob:boolean,line:int>>"
+_ENTRIES = "rule_id:string,entries:array<struct<path:string,glob:boolean,line:int>>"
 
 
 def _rule_test(entries: list[Suppression], rule_id: Column) -> list[tuple[Column, Suppression]]:
@@ -44,10 +45,11 @@ def flag_suppressed(
         return findings.withColumn("suppressed", F.lit(False))
     path, line = F.col("path"), F.col("line")
     rel = relative_path(path, root)
-    grouped: dict[str, list[tuple]] = {}
+    grouped: dict[str, list[dict]] = {}
     for e in entries:
         if not is_glob(e.rule):
-            grouped.setdefault(e.rule, []).append((*_path_field(e), e.line))
+            pattern, glob = _path_field(e)
+            grouped.setdefault(e.rule, []).append({"path": pattern, "glob": glob, "line": e.line})
     flag = F.lit(False)
     for named, e in _rule_test(entries, F.col("rule_id")):
         pattern, glob = _path_field(e)
@@ -58,7 +60,8 @@ def flag_suppressed(
         )
     if not grouped:
         return findings.withColumn("suppressed", F.coalesce(flag, F.lit(False)))
-    table = findings.sparkSession.createDataFrame(list(grouped.items()), _ENTRIES)
+    rows = [{"rule_id": r, "entries": e} for r, e in grouped.items()]
+    table = small_table(findings.sparkSession, rows, _ENTRIES)
     if sum(len(v) for v in grouped.values()) <= 100_000:
         table = F.broadcast(table)
     exact = F.exists(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.language import GENERIC
 from tamis.operators.matching import compile_rules, evaluate_pairs
+from tamis.sources.small import small_table
 
 
 def read_fixtures(spark: SparkSession, root: str | Path) -> DataFrame:
@@ -46,9 +47,10 @@ def rule_test(fixtures: DataFrame, rules) -> DataFrame:
         .groupBy("rule_id", "file_name")
         .agg(F.count("*").alias("hits"))
     )
-    ids = spark.createDataFrame(
-        [(r.id,) for r in compiled.rules], "rule_id string"
-    ).distinct().withColumn("known", F.lit(True))
+    ids = small_table(
+        spark, [{"rule_id": i, "known": True} for i in {r.id for r in compiled.rules}],
+        "rule_id:string,known:boolean",
+    )
     n = F.coalesce("hits", F.lit(0))
     expected = F.when(F.startswith("file_name", F.lit("fail")), "fail").when(
         F.startswith("file_name", F.lit("pass")), "pass"

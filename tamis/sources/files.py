@@ -25,18 +25,17 @@ def from_table(df: DataFrame, path: Column, text: Column, *keep: str) -> DataFra
     )
 
 
-def spread(files: DataFrame) -> DataFrame:
+def spread(table: DataFrame) -> DataFrame:
     """Few large input splits are spread over all cores. Where the input has
     more splits than cores, as big tables have, nothing is shuffled."""
-    spark = files.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return files.repartition(cores, "path") if files.rdd.getNumPartitions() < cores else files
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def scannable(files: DataFrame) -> DataFrame:
-    """Drops unreadable texts and oversized files of unknown language."""
-    too_big = (F.col("lang") == GENERIC) & (F.col("n_bytes") > GENERIC_LIMIT_BYTES)
-    return files.filter(~too_big & F.col("text").isNotNull())
+    """Drops oversized files of unknown language. Unreadable files have no text
+    and so no matches; they need no test."""
+    return files.filter((F.col("n_bytes") <= GENERIC_LIMIT_BYTES) | (F.col("lang") != GENERIC))
 
 
 def allowed(files: DataFrame, root: str, include: tuple = (), exclude: tuple = ()) -> DataFrame:
