@@ -6,10 +6,9 @@ has no reader in Spark, so one small Arrow UDF turns it into JSON first.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.functions.text import UNICODE, WS, basename, let, lines, trim_ws
 
@@ -86,7 +85,7 @@ def _dep(name, version, direct, resolved, license=None, can_declare=False) -> Co
 # -- VARIANT helpers ---------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def toml_to_json(texts):
     """TOML as JSON; null when malformed. Dates become text in an object so
     that they are not taken for strings."""
@@ -155,9 +154,16 @@ def _npm_packages(doc: Column) -> Column:
     )
 
 
-@F.pandas_udf(
-    "array<struct<name:string,version:string,license:string,top:boolean>>"
+_NESTED = T.ArrayType(
+    T.StructType()
+    .add("name", T.StringType())
+    .add("version", T.StringType())
+    .add("license", T.StringType())
+    .add("top", T.BooleanType())
 )
+
+
+@F.pandas_udf(_NESTED)
 def _nested_dependencies(texts):
     """The old lock layout nests dependencies to any depth: parents first, keys
     in order."""
@@ -530,7 +536,3 @@ def merge_inventory(deps: DataFrame) -> DataFrame:
 
 def inventory(files: DataFrame) -> DataFrame:
     return merge_inventory(parse_manifests(files))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
