@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tamis.plans.reports import FORMATS, evidence_lines, write_report
 from tamis.plans.rule_test import read_fixtures, rule_test, rule_test_totals
 from tamis.plans.scan import ScanOptions, scan
+from tamis.plans.settle import settled
 from tamis.plans.supply_chain import (
     licence_report,
     licence_text,
@@ -95,7 +96,7 @@ def run_scan(spark: SparkSession, args) -> int:
     for w in report.warnings:
         print(f"tamis: {w}", file=sys.stderr)
     # Scanned once, read by the report, the metrics and the gate.
-    report.judged.persist()
+    report.judged = settled(report.judged)
     findings = report.findings
     name = next((n for n in ("sarif", "junit", "json") if getattr(args, n)), None)
     if name is None:
@@ -122,7 +123,7 @@ def run_rule_test(spark: SparkSession, path: str) -> int:
     for w in rules.warnings:
         print(f"tamis: {w}", file=sys.stderr)
     print(f"tamis: {len(rules)} rule(s) valid in {path}")
-    results = rule_test(read_fixtures(spark, path), rules).persist()
+    results = settled(rule_test(read_fixtures(spark, path), rules))
     totals = rule_test_totals(results).first()
     for row in results.filter("not ok or not known").orderBy("rule_id", "file_name").toLocalIterator():
         why = f"expected {row.expected}, {row.hits} hit(s)" if row.known else "no such rule id"

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.text import let, lines
 from tamis.operators.findings import FINDING_COLUMNS, apply_snippet
-from tamis.functions.text import lines
 
 # Words that make a finding likely to be real.
 TELLING_WORDS = (
@@ -44,20 +44,27 @@ def outermost_object(text: Column) -> Column:
 
 
 def patched_files(files: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Files with one line replaced per (path, line, fixed_snippet); each fix
-    is its own version of the file."""
-    def patched(text: Column) -> Column:
-        rows = lines(text)
-        return F.concat(
-            F.array_join(F.concat(F.slice(rows, 1, F.col("line") - 1), F.array(F.lit(""))), "\n"),
-            apply_snippet(F.element_at(rows, F.col("line")), F.col("fixed_snippet")),
-            F.array_join(F.slice(rows, F.col("line") + 1, F.size(rows)), "\n"),
+    """Files with one line replaced per (path, line, fixed_snippet). Each fix
+    makes its own version of the file, told apart by ``patched_line``."""
+    text, line = F.col("text"), F.col("patched_line")
+    fixes = fixes.filter("fixed_snippet <> ''").select(
+        "path", F.col("line").alias("patched_line"), "fixed_snippet"
+    ).distinct()
+
+    def patched(rows: Column) -> Column:
+        before = F.concat(F.slice(rows, 1, line - 1), F.array(F.lit("")))
+        fixed = apply_snippet(F.element_at(rows, line), F.col("fixed_snippet"))
+        after = F.array_join(F.slice(rows, line + 1, F.size(rows)), "\n")
+        return F.when(
+            line.between(1, F.size(rows)), F.concat(F.array_join(before, "\n"), fixed, after)
         )
 
-    usable = (F.col("fixed_snippet") != "") & F.col("line").between(1, F.size(lines(F.col("text"))))
-    return files.join(fixes, "path").filter(usable).withColumn("text", patched(F.col("text")))
+    versions = files.join(fixes, "path").withColumn("text", let(lines(text), patched))
+    return versions.drop("fixed_snippet").filter("text is not null")
 
 
 def verified(findings: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings that are gone from a scan of the patched files."""
-    return findings.join(after.select("rule_id", "path", "line"), ["rule_id", "path", "line"], "left_anti")
+    """Findings whose line is clean in the version that patched it. ``after``
+    are the findings of the patched files, with ``patched_line``."""
+    still = after.filter(F.col("line") == F.col("patched_line")).select("rule_id", "path", "line")
+    return findings.join(still, ["rule_id", "path", "line"], "left_anti")

@@ -43,7 +43,9 @@ def rule_test(fixtures: DataFrame, rules) -> DataFrame:
     )
     patterns = compiled.small(compiled.pattern_table(spark))
     hits = (
-        evaluate_pairs(rows.join(patterns, "rule_id"), compiled, scope_flows=False)
+        evaluate_pairs(
+            rows.join(patterns, "rule_id"), compiled, every_match=True, scope_flows=False
+        )
         .groupBy("rule_id", "file_name")
         .agg(F.count("*").alias("hits"))
     )

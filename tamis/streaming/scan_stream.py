@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -12,9 +12,16 @@ from tamis.plans.scan import raw_findings
 from tamis.sources.files import from_table, scannable
 
 
-def text_stream(spark: SparkSession, path: str, schema: str, path_col, text_col) -> DataFrame:
-    """A stream over a growing Parquet directory as a file relation."""
-    raw = spark.readStream.schema(schema).parquet(path)
+def text_stream(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    path_col: Column,
+    text_col: Column,
+    only: str = "*.parquet",
+) -> DataFrame:
+    """A stream over the Parquet files that appear in a directory."""
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(path)
     return from_table(raw, path_col, text_col)
 
 
