@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from tamis.functions.text import let, lines, trim_start_ws, trim_ws
 
 IDENT = "[A-Za-z_][A-Za-z0-9_]*"
-_NOT_WORD = "[^\\p{IsAlphabetic}\\p{N}_]+"
-_NOT_DOTTED = "[^\\p{IsAlphabetic}\\p{N}_.]+"
+_WORD = "[\\p{IsAlphabetic}\\p{N}_]+"
+_DOTTED = "[\\p{IsAlphabetic}\\p{N}_.]+"
 # A call, and in a look-ahead all that follows its opening parenthesis.
-_CALL = rf"([A-Za-z_][A-Za-z0-9_.]*)\s*\((?=(.*)$)"
-_DEF = rf"^\s*def\s+({IDENT})\s*\(([^)]*)\)"
+_CALL = r"([A-Za-z_][A-Za-z0-9_.]*)\s*\((?=(.*)$)"
+# Both are applied to trimmed lines.
+_DEF = rf"^def\s+({IDENT})\s*\(([^)]*)\)"
 _BRACE_DEF = rf"({IDENT})\s*\([^;]*$"
 _PLAIN_ASSIGNMENT = r"(?U)^[\w\s,]+\s*=\s*(.+)$"
 # Words that are no variables, no functions, no parameters.
@@ -27,6 +28,7 @@ CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "return", "elif", "els
 RECEIVERS = ("self", "cls", "this")
 
 _STATE = "struct<tainted:array<string>,hits:array<int>,leaks:boolean>"
+_FUNCTIONS = "array<struct<name:string,params:array<string>,start:int,end:int>>"
 _SPANS = "struct<level:int,starts:array<int>,ends:array<int>>"
 
 
@@ -34,12 +36,8 @@ def _strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _tokens(text: Column, splitter: str = _NOT_WORD) -> Column:
-    return F.filter(F.split(text, splitter, -1), lambda t: t != "")
-
-
-def _idents(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(IDENT), F.lit(0))
+def _all(text: Column, regex: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
 def _found(text: Column, regex: Column) -> Column:
@@ -47,56 +45,72 @@ def _found(text: Column, regex: Column) -> Column:
 
 
 def _line(raw: Column, index: Column, roles: dict[str, Column]) -> Column:
-    """All facts about a line that do not depend on the lines before it."""
+    """What a line says by itself. Lists of names are only made where a later
+    step may look at them."""
 
     def facts(t: Column) -> Column:
-        lhs = F.substring_index(t, "=", 1)
         has_eq = F.contains(t, F.lit("="))
-        rhs = F.when(has_eq, F.substring(t, F.length(lhs) + 2, F.length(t)))
-        head = F.element_at(F.split(t, "[ \\t(]", -1), 1)
-        braces = lambda b: F.length(t) - F.length(F.replace(t, F.lit(b), F.lit("")))
+        returns = F.startswith(t, F.lit("return"))
         ignored = (
             (t == "") | F.startswith(t, F.lit("#")) | F.startswith(t, F.lit("//"))
         )
-        # A look-ahead keeps the rest of the line after every call.
-        calls = F.zip_with(
-            F.regexp_extract_all(t, F.lit(_CALL), F.lit(1)),
-            F.regexp_extract_all(t, F.lit(_CALL), F.lit(2)),
-            lambda name, rest: F.struct(
-                F.substring_index(name, ".", -1).alias("name"), _tokens(rest).alias("args")
-            ),
-        )
-        return F.struct(
-            index.alias("at"),
-            t.alias("t"),
-            ignored.alias("ignored"),
-            (t == "").alias("blank"),
-            (F.octet_length(raw) - F.octet_length(trim_start_ws(raw))).alias("indent"),
-            _found(t, roles["source"]).alias("source"),
-            _found(t, roles["sink"]).alias("sink"),
-            _found(t, roles["sanitizer"]).alias("sanitizer"),
-            F.rlike(t, F.lit(_PLAIN_ASSIGNMENT)).alias("assigns"),
-            has_eq.alias("has_eq"),
-            F.when(has_eq, _idents(lhs)).otherwise(_strings()).alias("lhs"),
-            F.coalesce(_tokens(rhs), _strings()).alias("rhs"),
-            _tokens(t).alias("words"),
-            _tokens(t, _NOT_DOTTED).alias("dotted"),
-            F.when(F.contains(t, F.lit("(")), calls).alias("calls"),
-            F.startswith(t, F.lit("return")).alias("returns"),
-            F.rlike(raw, F.lit(_DEF)).alias("is_def"),
-            (
-                F.contains(t, F.lit("("))
-                & F.contains(t, F.lit("{"))
-                & ~F.endswith(t, F.lit(";"))
-                & ~head.isin(*CONTROL_WORDS)
-                & F.rlike(t, F.lit(_BRACE_DEF))
-            ).alias("is_brace_def"),
-            (braces("{") - braces("}")).alias("nesting"),
-        )
+
+        def with_roles(role: Column) -> Column:
+            lhs = F.substring_index(t, "=", 1)
+            rhs = F.substring(t, F.length(lhs) + 2, F.length(t))
+            return F.struct(
+                index.alias("at"),
+                t.alias("t"),
+                (F.octet_length(raw) - F.octet_length(trim_start_ws(raw))).alias("indent"),
+                ignored.alias("ignored"),
+                role["source"].alias("source"),
+                role["sink"].alias("sink"),
+                role["sanitizer"].alias("sanitizer"),
+                has_eq.alias("has_eq"),
+                returns.alias("returns"),
+                F.when(has_eq, _all(lhs, IDENT)).otherwise(_strings()).alias("lhs"),
+                F.when(has_eq & ~role["source"], _all(rhs, _WORD))
+                .otherwise(_strings())
+                .alias("rhs"),
+                F.when(role["sink"] | returns, _all(t, _WORD)).otherwise(_strings()).alias("words"),
+            )
+
+        tested = [
+            F.when(ignored, False).otherwise(_found(t, regex)).alias(name)
+            for name, regex in roles.items()
+        ]
+        return let(F.struct(*tested), with_roles)
 
     return let(trim_ws(raw), facts)
 
 
+def _calls(t: Column) -> Column:
+    """Short name and argument words of every call on the line."""
+    return F.zip_with(
+        F.regexp_extract_all(t, F.lit(_CALL), F.lit(1)),
+        F.regexp_extract_all(t, F.lit(_CALL), F.lit(2)),
+        lambda name, rest: F.struct(
+            F.substring_index(name, ".", -1).alias("name"), _all(rest, _WORD).alias("args")
+        ),
+    )
+
+
+def _is_brace_def(t: Column) -> Column:
+    head = F.regexp_extract(t, "^([^ \t(]*)", 1)
+    return (
+        F.contains(t, F.lit("{"))
+        & F.contains(t, F.lit("("))
+        & ~F.endswith(t, F.lit(";"))
+        & F.rlike(t, F.lit(_BRACE_DEF))
+        & ~head.isin(*CONTROL_WORDS)
+    )
+
+
+def _nesting(t: Column) -> Column:
+    count = lambda b: F.length(t) - F.length(F.replace(t, F.lit(b), F.lit("")))
+    return count("{") - count("}")
+
+
 def _params(raw: Column) -> Column:
     names = F.transform(
         F.split(raw, ",", -1),
@@ -123,7 +137,7 @@ def _functions(rows: Column, spans: Column, brace: bool) -> Column:
             end.alias("end"),
         )
 
-    return F.zip_with(spans["starts"], spans["ends"], function)
+    return F.zip_with(spans["starts"], spans["ends"], function).cast(_FUNCTIONS)
 
 
 def _push(array: Column, value: Column, when: Column) -> Column:
@@ -145,11 +159,12 @@ def _indented_functions(rows: Column) -> Column:
 
     def step(s: Column, l: Column) -> Column:
         is_open = s["level"] >= 0
-        inside = is_open & (l["blank"] | (l["indent"] > s["level"]))
-        return F.when(inside, s).otherwise(
+        inside = is_open & ((l["t"] == "") | (l["indent"] > s["level"]))
+        is_def = F.startswith(l["t"], F.lit("def")) & F.rlike(l["t"], F.lit(_DEF))
+        return F.when(inside | ~(is_open | is_def), s).otherwise(
             _spans(
-                F.when(l["is_def"], l["indent"]).otherwise(-1),
-                _push(s["starts"], l["at"], l["is_def"]),
+                F.when(is_def, l["indent"]).otherwise(-1),
+                _push(s["starts"], l["at"], is_def),
                 _push(s["ends"], l["at"], is_open),
             )
         )
@@ -166,16 +181,17 @@ def _braced_functions(rows: Column) -> Column:
 
     def step(s: Column, l: Column) -> Column:
         is_open = s["level"] >= 0
-        depth = F.greatest(s["level"], F.lit(0)) + l["nesting"]
-        closes = depth <= 0
-        return F.when(
-            is_open | l["is_brace_def"],
-            _spans(
+        depth = F.greatest(s["level"], F.lit(0)) + _nesting(l["t"])
+
+        def moved(depth: Column) -> Column:
+            closes = depth <= 0
+            return _spans(
                 F.when(closes, -1).otherwise(depth),
                 _push(s["starts"], l["at"], ~is_open),
                 _push(s["ends"], l["at"] + 1, closes),
-            ),
-        ).otherwise(s)
+            )
+
+        return F.when(is_open | _is_brace_def(l["t"]), let(depth, moved)).otherwise(s)
 
     def close(s: Column) -> Column:
         return _spans(s["level"], s["starts"], _push(s["ends"], F.size(rows), s["level"] >= 0))
@@ -187,13 +203,13 @@ def _state(tainted: Column, hits: Column, leaks: Column) -> Column:
     return F.struct(tainted.alias("tainted"), hits.alias("hits"), leaks.alias("leaks")).cast(_STATE)
 
 
-def _analyse(rows: Column, seed: Column, leaky: Column, scoped: bool) -> Column:
-    """Fold one scope. ``leaky`` names functions that return tainted data; the
-    unscoped form knows no calls, cleans only plain assignments and reads
-    dotted names as one token."""
+def _analyse(rows: Column, seed: Column, leaky: Column, flat: Column) -> Column:
+    """Fold one scope. ``leaky`` names functions that return tainted data. In a
+    file without functions (``flat``) only plain assignments clean a name, and
+    dotted names are one word."""
 
     def step(s: Column, l: Column) -> Column:
-        cleans = l["has_eq"] if scoped else l["assigns"]
+        cleans = F.when(flat, F.rlike(l["t"], F.lit(_PLAIN_ASSIGNMENT))).otherwise(l["has_eq"])
         cleaned = _state(
             F.when(cleans, F.array_except(s["tainted"], l["lhs"])).otherwise(s["tainted"]),
             s["hits"],
@@ -201,79 +217,79 @@ def _analyse(rows: Column, seed: Column, leaky: Column, scoped: bool) -> Column:
         )
 
         def live(marked: Column) -> Column:
-            if scoped:
-                from_call = F.coalesce(
-                    F.exists(
-                        l["calls"],
-                        lambda c: F.array_contains(leaky, c["name"])
-                        & (
-                            F.arrays_overlap(c["args"], marked)
-                            | (F.size(c["args"]) == 0)
-                            | l["source"]
-                        ),
-                    ),
-                    F.lit(False),
-                )
-            else:
-                from_call = F.lit(False)
-            spreads = l["has_eq"] & ~l["source"] & (
-                F.arrays_overlap(l["rhs"], marked) | from_call
+            from_call = (F.size(leaky) > 0) & F.exists(
+                _calls(l["t"]),
+                lambda c: F.array_contains(leaky, c["name"])
+                & (
+                    F.arrays_overlap(c["args"], marked)
+                    | (F.size(c["args"]) == 0)
+                    | l["source"]
+                ),
             )
 
-            def seen(tainted: Column) -> Column:
-                words = l["words"] if scoped else l["dotted"]
-                reaches = (
-                    F.exists(words, lambda w: F.exists(tainted, lambda t: F.endswith(w, t)))
-                    | l["source"]
-                    | from_call
-                )
-                leaks = l["returns"] & (
-                    F.arrays_overlap(l["words"], tainted) | l["source"] | from_call
-                )
-                return _state(
-                    tainted,
-                    _push(s["hits"], l["at"] + 1, l["sink"] & reaches),
-                    s["leaks"] | leaks,
+            def called(from_call: Column) -> Column:
+                spreads = l["has_eq"] & ~l["source"] & (
+                    from_call | F.arrays_overlap(l["rhs"], marked)
                 )
+                tainted = F.when(spreads, F.array_union(marked, l["lhs"])).otherwise(marked)
+                return let(tainted, lambda t: seen(t, from_call))
 
-            return let(F.when(spreads, F.array_union(marked, l["lhs"])).otherwise(marked), seen)
+            return let(from_call, called)
+
+        def seen(tainted: Column, from_call: Column) -> Column:
+            words = F.when(flat, _all(l["t"], _DOTTED)).otherwise(l["words"])
+            reaches = l["sink"] & (
+                l["source"]
+                | from_call
+                | F.exists(words, lambda w: F.exists(tainted, lambda t: F.endswith(w, t)))
+            )
+            leaks = l["returns"] & (
+                l["source"] | from_call | F.arrays_overlap(l["words"], tainted)
+            )
+            return _state(
+                tainted, _push(s["hits"], l["at"] + 1, reaches), s["leaks"] | leaks
+            )
 
         named = F.array_except(l["lhs"], _strings(*STATEMENT_WORDS))
         flowing = let(
             F.when(l["source"], F.array_union(s["tainted"], named)).otherwise(s["tainted"]), live
         )
-        return F.when(l["ignored"], s).when(l["sanitizer"], cleaned).otherwise(flowing)
+        # A line without any role or name to carry changes nothing.
+        idle = l["ignored"] | ~(
+            l["has_eq"] | l["sink"] | l["source"] | l["sanitizer"] | l["returns"]
+        )
+        return F.when(idle, s).when(l["sanitizer"], cleaned).otherwise(flowing)
 
     start = _state(seed, F.array().cast("array<int>"), F.lit(False))
     return F.aggregate(rows, start, step)
 
 
-def _scoped_hits(rows: Column, fns: Column) -> Column:
+def _hits(rows: Column, fns: Column) -> Column:
     """First find the functions whose result is tainted when their parameters
     are, then scan the top level and all functions with that knowledge."""
+    flat = F.size(fns) == 0
 
     def body(f: Column) -> Column:
         return F.slice(rows, f["start"] + 2, f["end"] - f["start"] - 1)
 
-    leaking = F.filter(
-        fns, lambda f: _analyse(body(f), f["params"], _strings(), scoped=True)["leaks"]
-    )
+    leaking = F.filter(fns, lambda f: _analyse(body(f), f["params"], _strings(), flat)["leaks"])
 
-    def hits(leaky: Column) -> Column:
-        top = F.filter(
-            rows,
-            lambda l: ~F.exists(fns, lambda f: (l["at"] >= f["start"]) & (l["at"] < f["end"])),
+    def scopes_hits(leaky: Column) -> Column:
+        top = F.when(flat, rows).otherwise(
+            F.filter(
+                rows,
+                lambda l: ~F.exists(fns, lambda f: (l["at"] >= f["start"]) & (l["at"] < f["end"])),
+            )
         )
-        return F.concat(
-            _analyse(top, _strings(), leaky, scoped=True)["hits"],
-            F.flatten(
-                F.transform(
-                    fns, lambda f: _analyse(body(f), f["params"], leaky, scoped=True)["hits"]
-                )
-            ),
+        scope = lambda rs, seed: F.struct(rs.alias("rows"), seed.alias("seed"))
+        scopes = F.concat(
+            F.array(scope(top, _strings())), F.transform(fns, lambda f: scope(body(f), f["params"]))
+        )
+        return F.flatten(
+            F.transform(scopes, lambda c: _analyse(c["rows"], c["seed"], leaky, flat)["hits"])
         )
 
-    return let(F.array_distinct(F.transform(leaking, lambda f: f["name"])), hits)
+    return let(F.array_distinct(F.transform(leaking, lambda f: f["name"])), scopes_hits)
 
 
 def flow_lines(
@@ -284,18 +300,14 @@ def flow_lines(
     rows = F.transform(lines(text), lambda raw, i: _line(raw, i, roles))
 
     def with_rows(rows: Column) -> Column:
-        indented = _indented_functions(rows)
-        braced = _braced_functions(rows)
-        fns = (
-            F.when(lang.isin("python", "ruby"), indented)
-            .when(lang == "generic", F.concat(indented, braced))
-            .otherwise(braced)
+        none = F.array().cast(_FUNCTIONS)
+        by_indent = lang.isin("python", "ruby")
+        indented = F.when(
+            (by_indent | (lang == "generic")) & F.contains(text, F.lit("def")),
+            _indented_functions(rows),
         )
-
-        def with_functions(fns: Column) -> Column:
-            flat = _analyse(rows, _strings(), _strings(), scoped=False)["hits"]
-            return F.when(F.size(fns) == 0, flat).otherwise(_scoped_hits(rows, fns))
-
-        return let(fns, with_functions)
+        braced = F.when(~by_indent & F.contains(text, F.lit("{")), _braced_functions(rows))
+        fns = F.concat(F.coalesce(indented, none), F.coalesce(braced, none))
+        return let(fns, lambda fns: _hits(rows, fns))
 
     return F.array_sort(F.array_distinct(let(rows, with_rows)))
