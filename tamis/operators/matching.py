@@ -8,9 +8,10 @@ group of copies needs no special care because no key is grouped on.
 
 from __future__ import annotations
 
-import logging
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ from tamis.operators.flow import flow_lines
 from tamis.sources.rules import Flow, Rule, RuleSet
 from tamis.sources.small import small_table
 
-log = logging.getLogger(__name__)
-
 # A Unicode noncharacter that marks where matches start. A text that holds it
 # gets a longer marker of its own.
 MARK = "﷐"
@@ -223,8 +222,6 @@ def _chain(compiled: CompiledRules, text: Column, lang: Column) -> Column:
 def _automaton(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     """One pass over each text for all literals (Arrow batches). Python only
     sees the text and its language and only returns ordinals."""
-    import pandas as pd
-
     literals: dict[str, list[int]] = {}
     always: list[int] = []
     by_language: dict[str, set[int]] = {}
@@ -239,24 +236,29 @@ def _automaton(compiled: CompiledRules, text: Column, lang: Column) -> Column:
             always.append(row["pat_ord"])
 
     @F.pandas_udf("array<int>")
-    def look_up(texts: pd.Series, langs: pd.Series) -> pd.Series:
+    def look_up(
+        batches: Iterator[tuple[pd.Series, pd.Series]],
+    ) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for lit, ords in literals.items():
             automaton.add_word(lit, ords)
-        automaton.make_automaton()
+        if literals:
+            automaton.make_automaton()
         every = by_language.get("generic", set())
 
         def one(text: str | None, lang: str) -> list[int]:
             if text is None:
                 return []
             found = set(always)
-            for _, ords in automaton.iter(text):
-                found.update(ords)
+            if literals:
+                for _, ords in automaton.iter(text):
+                    found.update(ords)
             return sorted(found & (by_language.get(lang, set()) | every))
 
-        return pd.Series([one(t, l) for t, l in zip(texts, langs)])
+        for texts, langs in batches:
+            yield pd.Series([one(t, n) for t, n in zip(texts, langs)])
 
     return look_up(text, lang)
 

@@ -7,9 +7,12 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.functions.globs import path_allowed
 from tamis.functions.language import GENERIC, language_or_generic
+from tamis.sources.gitignore import not_git_ignored, read_ignore_files
+from tamis.sources.small import small_table
 
 # Fixed value: bigger files of unknown language are not read as text.
 GENERIC_LIMIT_BYTES = 10_000_000
@@ -42,97 +45,74 @@ def allowed(files: DataFrame, root: str, include: tuple = (), exclude: tuple = (
     return files.filter(path_allowed(F.col("path"), root, tuple(include), tuple(exclude)))
 
 
-def _hidden_below(root: Path) -> list[str]:
-    """Hidden files and directories, which Spark's listing leaves out. Only
-    the topmost ones: their content is found from there."""
+def _hidden_files(root: Path) -> list[str]:
+    """Files whose path below ``root`` has a part that Spark's file listing
+    takes for hidden. Only names are looked at."""
     out: list[str] = []
-    for here, dirs, files in os.walk(root):
-        hidden = [d for d in dirs if d[0] in "._" and d != ".git"]
-        dirs[:] = [d for d in dirs if d[0] not in "._"]
-        out += [os.path.join(here, f) for f in files if f[0] in "._"]
-        for d in hidden:
-            top = Path(here, d)
-            if any(p.is_file() and p.name[0] not in "._" for p in top.iterdir()) or any(
-                p.is_dir() and p.name[0] not in "._" for p in top.iterdir()
-            ):
-                out.append(str(top))
-            out += _hidden_below(top)
+    for here, _, names in os.walk(root):
+        below = Path(here).relative_to(root).parts
+        inside = any(part[0] in "._" for part in below)
+        out += [os.path.join(here, n) for n in names if inside or n[0] in "._"]
     return out
 
 
+@F.pandas_udf(T.BinaryType())
+def _content(paths):
+    import pandas as pd
+
+    def one(path):
+        try:
+            return Path(path).read_bytes()
+        except OSError:
+            return None
+
+    return pd.Series([one(p) for p in paths])
+
+
+def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
+    table = spread(small_table(spark, [{"path": p} for p in paths], "path:string"))
+    content = table.select("path", _content("path").alias("content"))
+    return content.select(
+        "path", "content", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length")
+    )
+
+
 def from_path(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root``, hidden ones too, without those that
     ``.gitignore`` files exclude. Column ``text`` is null where the content is
-    not UTF-8 (such files still count as seen)."""
+    not UTF-8 (such files still count as seen).
+
+    Spark lists and reads the tree in parallel. It leaves hidden files out, so
+    on a mounted file system these few are named one by one and read by the
+    tasks."""
     local = Path(root)
-    if "://" not in root and not local.exists():
+    mounted = "://" not in root
+    if mounted and not local.exists():
         raise FileNotFoundError(f"path does not exist: {root}")
-    paths = [root] + (_hidden_below(local) if local.is_dir() else [])
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    shown = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-    if "://" not in root and not local.is_absolute():
-        # Report paths the way the root was given.
-        base = str(local.resolve())
-        shown = F.when(
-            F.startswith(shown, F.lit(base)),
-            F.concat(F.lit(root.rstrip("/")), F.substring(shown, len(base) + 1, 2**31 - 1)),
-        ).otherwise(shown)
+    raw = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .select("path", "content", "length")
+    )
+    raw = raw.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    base = str(local.resolve()) if mounted else root
+    if mounted and local.is_dir():
+        hidden = _hidden_files(Path(base))
+        if hidden:
+            raw = raw.unionByName(_read_hidden(spark, hidden))
+        patterns = read_ignore_files([h for h in hidden if h.endswith("/.gitignore")])
+        raw = not_git_ignored(raw, patterns)
     files = raw.select(
-        shown.alias("path"),
+        "path",
         F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
         F.col("length").alias("n_bytes"),
-    ).withColumn("lang", language_or_generic(F.col("path")))
-    return not_git_ignored(files, root) if local.is_dir() else files
-
-
-def _ignore_regex(pattern: Column) -> Column:
-    """One ``.gitignore`` pattern as a regex over the path below its directory."""
-    body = F.regexp_replace(pattern, "^!", "")
-    anchored = F.rlike(F.regexp_replace(body, "/$", ""), F.lit("/"))
-    body = F.regexp_replace(F.regexp_replace(body, "^/", ""), "/$", "")
-    for raw, regex in (
-        (r"([.+(){}|^$\\])", r"\\$1"),
-        (r"\*\*/", "\u0001"),
-        (r"/\*\*$", "/\u0002"),
-        (r"\*\*", "\u0002"),
-        (r"\*", "[^/]*"),
-        (r"\?", "[^/]"),
-        ("\u0001", "(?:.*/)?"),
-        ("\u0002", ".*"),
-    ):
-        body = F.regexp_replace(body, raw, regex)
-    return F.concat(
-        F.when(anchored, "^").otherwise("^(?:.*/)?"),
-        body,
-        # A directory pattern hits what lies below, any other also the file.
-        F.when(F.endswith(pattern, F.lit("/")), "/").otherwise("(?:/|$)"),
-    )
-
-
-def not_git_ignored(files: DataFrame, root: str) -> DataFrame:
-    """Applies every ``.gitignore`` in the relation to the files below it: the
-    deepest and then the last pattern that hits decides."""
-    here = F.regexp_replace("path", "[^/]*$", "")
-    patterns = (
-        files.filter(F.endswith("path", F.lit("/.gitignore")))
-        .select(here.alias("dir"), F.posexplode(F.split("text", "\r?\n", -1)).alias("n", "raw"))
-        .select("dir", "n", F.rtrim("raw").alias("raw"))
-        .filter("raw <> '' and not startswith(raw, '#')")
-        .select("dir", "n", F.startswith("raw", F.lit("!")).alias("keep"), _ignore_regex(F.col("raw")).alias("regex"))
-    )
-    names = files.select("path")
-    depth = F.size(F.split(here, "/", -1)) - 1
-    ancestors = F.transform(
-        F.sequence(F.lit(1), depth),
-        lambda d: F.concat(F.array_join(F.slice(F.split(here, "/", -1), 1, d), "/"), F.lit("/")),
     )
-    below = F.substring(F.col("path"), F.length("dir") + 1, F.length("path"))
-    ignored = (
-        names.select("path", F.explode(ancestors).alias("dir"))
-        .join(patterns, "dir")
-        .filter(F.regexp_instr(below, F.col("regex")) > 0)
-        .groupBy("path")
-        .agg(F.max_by("keep", F.struct(F.length("dir"), "n")).alias("keep"))
-        .filter("not keep")
-    )
-    return files.join(ignored, "path", "left_anti")
+    if mounted and root != base:
+        # Report paths the way the root was given.
+        rest = F.substring(F.col("path"), len(base) + 1, 2**31 - 1)
+        given = F.concat(F.lit(root.rstrip("/")), rest)
+        files = files.withColumn(
+            "path", F.when(F.startswith("path", F.lit(base)), given).otherwise(F.col("path"))
+        )
+    return files.withColumn("lang", language_or_generic(F.col("path")))

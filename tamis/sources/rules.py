@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -10,8 +9,6 @@ import yaml
 
 from tamis.sources.portable import RuleSkipped, looks_portable, translate
 
-log = logging.getLogger(__name__)
-
 
 class RuleError(ValueError):
     """A rule file or a rule-set location cannot be used."""
