@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from tamis.catalog import relations as R  # noqa: E402
 from tamis.catalog import results, scans, supply  # noqa: E402
+from tamis.operators.matching import compile_rules  # noqa: E402
 from tamis.plans.scan import scan_files  # noqa: E402
 from tamis.sources.rules import load_rule_set  # noqa: E402
 
@@ -27,8 +28,11 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
+PACK = compile_rules(load_rule_set())
+
+
 def _whole_pack(relation):
-    return lambda spark, d: scan_files(relation(spark, d), load_rule_set()).findings
+    return lambda spark, d: scan_files(relation(spark, d), PACK).findings
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tamis
 from tamis.catalog import relations as R
 from tamis.catalog import rules as C
 from tamis.catalog.scans import SQL_DOC_FINDINGS, SQL_PAGE_FINDINGS
@@ -21,6 +22,7 @@ from tamis.plans import reports
 from tamis.plans.rule_test import rule_test, rule_test_totals
 from tamis.plans.scan import raw_findings, scan_files
 from tamis.plans.settle import shared_folder
+from tamis.sources.files import spread
 from tamis.sources.suppressions import Suppression
 from tamis.streaming.scan_stream import scan_stream, text_stream
 
@@ -123,7 +125,29 @@ def json_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.json_report(_docs(spark, d))
 
 
-@query("sarif_report")
+_POSITION = "list_position(['token-literal', 'mail-address', 'licence-notice', 'phone-number'], rule_id)"
+_SARIF_HEAD = (
+    f'{{"version":"2.1.0","$schema":"{reports.SARIF_SCHEMA}","runs":[{{"tool":{{"driver":'
+    f'{{"name":"tamis","version":"{tamis.__version__}","rules":['
+)
+
+
+@query(
+    "sarif_report",
+    f"""SELECT '{_SARIF_HEAD}' AS text UNION ALL SELECT ']}}}},"results":[' UNION ALL SELECT ']}}]}}'
+    UNION ALL
+    SELECT CASE WHEN row_number() OVER (ORDER BY first) = 1 THEN '' ELSE ',' END || to_json({{
+      'id': rule_id, 'name': rule_id, 'shortDescription': {{'text': message}},
+      'defaultConfiguration': {{'level': level}}, 'properties': {{'security-severity': score}}}})
+    FROM (SELECT rule_id, message, {_LEVEL} AS level, {_SCORE} AS score,
+            min((path, line, {_POSITION})) AS first FROM {SQL_DOC_FINDINGS} GROUP BY 1, 2, 3, 4)
+    UNION ALL
+    SELECT CASE WHEN row_number() OVER (ORDER BY path, line, {_POSITION}) = 1 THEN '' ELSE ',' END
+      || to_json({{'ruleId': rule_id, 'level': {_LEVEL}, 'message': {{'text': message}},
+        'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}},
+          'region': {{'startLine': line, 'startColumn': col + 1}}}}}}]}})
+    FROM {SQL_DOC_FINDINGS}""",
+)
 def sarif_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.sarif_report(_docs(spark, d))
 
@@ -210,7 +234,8 @@ _CORPUS_SQL = """(SELECT DISTINCT rule_id, cwe FROM (
 
 
 def _feed(spark: SparkSession, d: str) -> DataFrame:
-    return K.parse_feed(R.table(spark, d, "events").selectExpr(f"{_FEED} AS json"))
+    events = spread(R.table(spark, d, "events"))
+    return K.parse_feed(events.selectExpr(f"{_FEED} AS json"))
 
 
 def _corpus(spark: SparkSession) -> DataFrame:

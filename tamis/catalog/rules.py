@@ -70,6 +70,9 @@ SQL_TEXT_RULES = [
             f"regexp_matches({_capture(_PHONE)}, '^[0-9]{{3}}$')"),
 ]
 
+OF_WORD = Rule("of-word", _GENERIC, "INFO", "words", (", $WORD de ",))
+SQL_OF_WORD = SqlRule("of-word", "INFO", "words", (r",\s*(.+?)\s*de\s*",))
+
 SCRIPT = Rule("inline-script", _HTML, "ERROR", "script <in> page", ("<script>$CODE</script>",))
 STYLE = Rule("inline-style", _HTML, "INFO", "style in page", ("<style>...</style>",))
 ADVERT = Rule(

@@ -52,10 +52,10 @@ def scan_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "scan_conversations",
-    f"SELECT {_ALL} FROM {findings(R.SQL_CONVERSATIONS, C.SQL_TEXT_RULES)}",
+    f"SELECT {_ALL} FROM {findings(R.SQL_CONVERSATIONS, [*C.SQL_TEXT_RULES, C.SQL_OF_WORD])}",
 )
 def scan_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return _found(R.conversations(spark, d), C.TEXT_RULES)
+    return _found(R.conversations(spark, d), [*C.TEXT_RULES, C.OF_WORD])
 
 
 _EXT = (
@@ -109,18 +109,14 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("path", "line", "col", F.element_at("captures", F.lit("HOST")).alias("host"))
 
 
-_SPACED = C.SqlRule("any-comma", "INFO", "", (r",\s*(.+?)\s*de\s*",))
-
-
 @query(
     "line_col",
     f"SELECT path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, snippet "
-    f"FROM {all_matches(R.SQL_CONVERSATIONS, [_SPACED])} m",
+    f"FROM {all_matches(R.SQL_CONVERSATIONS, [C.SQL_OF_WORD])} m",
 )
 def line_col(spark: SparkSession, d: str) -> DataFrame:
     """Dense matches in accented text: every match, byte columns."""
-    rule = C.Rule("any-comma", ("generic",), "INFO", "", (", $WORD de ",))
-    hits = find_matches(R.conversations(spark, d), [rule], captures=False)
+    hits = find_matches(R.conversations(spark, d), [C.OF_WORD], captures=False)
     return hits.select("path", "line", "col", "snippet")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,12 @@ COMMENT_MARKERS = ("#", "//", "<!--", "/*")
 # -- inline ignores ----------------------------------------------------------
 
 
-def ignore_comments(text: Column, tokens: tuple[str, ...] = (IGNORE_TOKEN,)) -> Column:
-    """array<struct<line, ids>>: the lines on which ignore comments take
-    effect; null ids stand for all rules. Null when the text has no token."""
+@lru_cache(maxsize=16)
+def ignore_comments(tokens: tuple[str, ...] = (IGNORE_TOKEN,)) -> Column:
+    """array<struct<line, ids>>: the lines of column ``text`` on which ignore
+    comments take effect; null ids stand for all rules. Null when the text has
+    no token."""
+    text = F.col("text")
     names = "|".join(_quote(t) for t in tokens)
     # Token at a word boundary, optionally for the next line, optionally with
     # a list of ids. An open parenthesis without an end voids the comment.

@@ -6,6 +6,8 @@ has no reader in Spark, so one small Arrow UDF turns it into JSON first.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -439,33 +441,20 @@ def _in_order(deps: Column, repeats: Column) -> Column:
 # -- operators ---------------------------------------------------------------
 
 
-def parse_manifests(files: DataFrame) -> DataFrame:
-    """Dependencies of every manifest among (path, text) rows, one row each.
-
-    Malformed manifests give no rows. ``seq`` is the order of a row within its
-    manifest and ``cand`` that of the manifest name."""
-    rows = (
-        files.withColumn("cand", manifest_order(F.col("path")))
-        .filter("cand is not null and text is not null")
-        .select("path", "text", "cand", basename(F.col("path")).alias("base"))
-    )
-    is_toml = F.endswith("base", F.lit(".toml")) | F.col("base").isin("Cargo.lock", "poetry.lock")
-    is_json = F.endswith("base", F.lit(".json")) | (F.col("base") == "composer.lock")
-    rows = rows.withColumn(
-        "json",
-        F.when(is_toml, toml_to_json(F.when(is_toml, F.col("text")).otherwise("")))
-        .when(is_json, F.col("text")),
-    ).withColumn("doc", F.try_parse_json("json"))
-    text, doc, base = F.col("text"), F.col("doc"), F.col("base")
+@lru_cache(maxsize=1)
+def _manifest_columns() -> tuple[Column, Column, Column]:
+    """(text as JSON, dependencies in order, ecosystem) of rows with the columns
+    base, text, json and doc."""
+    base, text, doc = F.col("base"), F.col("text"), F.col("doc")
+    is_toml = F.endswith(base, F.lit(".toml")) | base.isin("Cargo.lock", "poetry.lock")
+    is_json = F.endswith(base, F.lit(".json")) | (base == "composer.lock")
+    as_json = F.when(is_toml, toml_to_json(F.when(is_toml, text).otherwise(""))).when(is_json, text)
     is_npm = base.isin("package-lock.json", "npm-shrinkwrap.json")
     has_packages = _at(doc, "$.packages", "map<string,variant>").isNotNull()
     # Only the old layout passes through Python, and only its text.
-    old = F.when(is_npm & doc.isNotNull() & ~has_packages, text)
+    old = F.coalesce(F.when(is_npm & doc.isNotNull() & ~has_packages, text), F.lit(""))
     deps = (
-        F.when(
-            is_npm,
-            F.when(has_packages, _npm_packages(doc)).otherwise(_npm_nested(F.coalesce(old, F.lit("")))),
-        )
+        F.when(is_npm, F.when(has_packages, _npm_packages(doc)).otherwise(_npm_nested(old)))
         .when(base == "Cargo.lock", _cargo_lock(doc))
         .when(base == "Cargo.toml", _cargo_toml(doc))
         .when(base == "Gemfile.lock", _gemfile_lock(text))
@@ -479,13 +468,23 @@ def parse_manifests(files: DataFrame) -> DataFrame:
     ecosystem = F.element_at(
         F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base
     )
-    listed = rows.select("path", "cand", "base", deps.alias("deps"))
-    return listed.select(
-        "path",
-        "cand",
-        ecosystem.alias("ecosystem"),
-        F.explode(_in_order(F.col("deps"), repeats)).alias("row"),
-    ).select(
+    return as_json, _in_order(deps, repeats), ecosystem
+
+
+def parse_manifests(files: DataFrame) -> DataFrame:
+    """Dependencies of every manifest among (path, text) rows, one row each.
+
+    Malformed manifests give no rows. ``seq`` is the order of a row within its
+    manifest and ``cand`` that of the manifest name."""
+    as_json, deps, ecosystem = _manifest_columns()
+    rows = (
+        files.withColumn("cand", manifest_order(F.col("path")))
+        .filter("cand is not null and text is not null")
+        .select("path", "text", "cand", basename(F.col("path")).alias("base"))
+        .withColumn("json", as_json)
+        .withColumn("doc", F.try_parse_json("json"))
+    )
+    return rows.select("path", "cand", ecosystem.alias("ecosystem"), F.explode(deps).alias("row")).select(
         "row.d.name",
         "row.d.version",
         "ecosystem",

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -442,20 +444,20 @@ def _checked_hits(marked: Column, mark: Column) -> Column:
     )
 
 
-def _pattern_hits(compiled: CompiledRules, every: bool, captures: bool) -> Column:
+def _pattern_hits(needs: Needs) -> Column:
     """Hits of a pattern row; parts of the expression that no rule of the set
     needs are left out."""
     text, mark, marked = F.col("text"), F.col("_mark"), F.col("_marked")
-    starts = _all_starts if every else _first_starts
+    starts = _all_starts if needs.every else _first_starts
     found = F.transform(
         starts(marked, mark), lambda s: _hit(s["line"], s["col"], s["snippet"])
     )
-    if captures:
+    if needs.captures:
         found = _checked_hits(marked, mark)
-    elif compiled.needs_captures:
+    elif needs.constraints:
         constrained = (F.size("constraints") > 0) | F.col("comparison").isNotNull()
         found = F.when(constrained, _checked_hits(marked, mark)).otherwise(found)
-    if any(r.pattern_not is not None for r in compiled.rules):
+    if needs.never:
         excluded = F.transform(
             _marked_lines(_marked(text, F.col("never"), mark), mark), lambda x: x["line"]
         )
@@ -480,6 +482,40 @@ def _flow_hits() -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Needs:
+    """Which parts of the match expression a set of rules uses."""
+
+    every: bool
+    captures: bool
+    constraints: bool
+    never: bool
+    inside: bool
+    patterns: bool
+    flows: bool
+    scope_flows: bool
+
+
+@lru_cache(maxsize=64)
+def _match_columns(needs: Needs) -> tuple[Column, Column, Column]:
+    """(marker, marked text, hits). They only depend on which parts are used,
+    and making them is many calls into the JVM, so they are kept."""
+    text, is_flow = F.col("text"), F.col("kind") == "flow"
+    in_scope = F.lit(True)
+    if needs.inside:
+        in_scope = F.col("inside").isNull() | (F.regexp_instr(text, F.col("inside")) > 0)
+    # Literal tests first: the regex only runs where all words are present.
+    has_words = F.forall(F.col("words"), lambda w: F.contains(text, w))
+    marked = F.when(
+        ~is_flow & has_words & in_scope, _marked(text, F.col("search"), F.col("_mark"))
+    )
+    hits = _pattern_hits(needs) if needs.patterns else None
+    if needs.flows:
+        flow = F.when(is_flow & in_scope if needs.scope_flows else is_flow, _flow_hits())
+        hits = flow if hits is None else flow.otherwise(hits)
+    return _mark_of(text), marked, hits
+
+
 def evaluate_pairs(
     pairs: DataFrame,
     compiled: CompiledRules,
@@ -496,25 +532,20 @@ def evaluate_pairs(
     flow rules as well."""
     drop = set(PATTERN_FIELDS) - {"pat_ord", "rule_ord", "rule_id"}
     keep = [c for c in pairs.columns if c not in drop | {"text"}]
-    text = F.col("text")
-    has_words = F.forall(F.col("words"), lambda w: F.contains(text, w))
-    in_scope = F.lit(True)
-    if any(r.pattern_inside is not None for r in compiled.rules):
-        in_scope = F.col("inside").isNull() | (F.regexp_instr(text, F.col("inside")) > 0)
-    is_flow = F.col("kind") == "flow"
-    # Literal tests first: the regex only runs where all words are present.
-    rows = pairs.withColumn("_mark", _mark_of(text)).withColumn(
-        "_marked",
-        F.when(
-            ~is_flow & has_words & in_scope,
-            _marked(text, F.col("search"), F.col("_mark")),
-        ),
+    rules = compiled.rules
+    mark, marked, hits = _match_columns(
+        Needs(
+            every=every_match or captures,
+            captures=captures,
+            constraints=compiled.needs_captures,
+            never=any(r.pattern_not is not None for r in rules),
+            inside=any(r.pattern_inside is not None for r in rules),
+            patterns=not rules or any(not r.flow for r in rules),
+            flows=any(r.flow for r in rules),
+            scope_flows=scope_flows,
+        )
     )
-    flows = [bool(r.flow) for r in compiled.rules]
-    hits = None if all(flows) else _pattern_hits(compiled, every_match or captures, captures)
-    if any(flows):
-        flow = F.when(is_flow & in_scope if scope_flows else is_flow, _flow_hits())
-        hits = flow if hits is None else flow.otherwise(hits)
+    rows = pairs.withColumn("_mark", mark).withColumn("_marked", marked)
     return rows.select(*keep, F.posexplode(hits).alias("match_ord", "hit")).select(
         *keep, "match_ord", "hit.*"
     )

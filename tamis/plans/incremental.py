@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators.matching import compile_rules
 from tamis.plans.scan import raw_findings
+from tamis.plans.settle import settled
 from tamis.sources.files import scannable
 
 # Up to this many changed files their keys are broadcast; with more of them a
@@ -76,7 +77,8 @@ def incremental_findings(
     of_rules = F.col("rules_hash") == version
     scanned = _read(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
     stored = _read(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
-    keys = files.select("path", "content_hash")
+    # The texts are read once to hash them, and once more where they changed.
+    keys = settled(files.select("path", "content_hash"))
     hits, misses = split_by_cache(keys, scanned)
     n_hits, n_misses = hits.count(), misses.count()
     todo = files

@@ -73,20 +73,22 @@ class ScanReport:
 
     def metrics(self) -> DataFrame:
         """One row: files, rules, findings, suppressed, cache_hits."""
-        n = lambda cond: F.count(F.when(cond, 1))
-        ignored, suppressed = F.col("ignored"), F.col("suppressed")
-        seen = self.files.agg(F.count("*").alias("files"))
-        judged = self.judged.agg(
-            n(~ignored & ~suppressed).alias("findings"),
-            n(ignored | suppressed).alias("suppressed"),
+        dropped = F.col("ignored") | F.col("suppressed")
+        none = F.lit(0).cast("bigint")
+        seen = self.files.agg(F.count("*").alias("files")).select(
+            "files", none.alias("findings"), none.alias("suppressed")
         )
-        # Both sides are single rows.
-        return seen.withColumn("k", F.lit(1)).join(judged.withColumn("k", F.lit(1)), "k").select(
-            "files",
-            F.lit(self.rules_loaded).alias("rules"),
-            "findings",
-            "suppressed",
-            F.lit(self.cache_hits).alias("cache_hits"),
+        judged = self.judged.agg(
+            F.count(F.when(~dropped, 1)).alias("findings"),
+            F.count(F.when(dropped, 1)).alias("suppressed"),
+        ).select(none.alias("files"), "findings", "suppressed")
+        total = lambda c: F.sum(c).alias(c)
+        return seen.unionByName(judged).agg(
+            total("files"),
+            F.first(F.lit(self.rules_loaded)).alias("rules"),
+            total("findings"),
+            total("suppressed"),
+            F.first(F.lit(self.cache_hits)).alias("cache_hits"),
         )
 
 
@@ -100,7 +102,7 @@ def raw_findings(
     ``carry`` names columns of the files to keep."""
     compiled = compile_rules(rules)
     rows = files.select(
-        "path", "text", "lang", *carry, ignore_comments(F.col("text"), ignore_tokens).alias("_ignores")
+        "path", "text", "lang", *carry, ignore_comments(tuple(ignore_tokens)).alias("_ignores")
     )
     hits = evaluate_pairs(candidate_pairs(rows, compiled), compiled)
     flagged = hits.select(
