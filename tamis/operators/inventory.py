@@ -87,22 +87,26 @@ def _dep(name, version, direct, resolved, license=None, can_declare=False) -> Co
 # -- VARIANT helpers ---------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def toml_to_json(texts):
-    """TOML as JSON; null when malformed. Dates become text in an object so
-    that they are not taken for strings."""
-    import json
-    import tomllib
+def _toml_to_json(text: Column) -> Column:
+    """TOML as JSON; null when malformed. Dates become objects so that they
+    are not taken for strings. (UDF bodies are local functions: they travel
+    with the plan, and executors need not have this package.)"""
 
-    import pandas as pd
+    def convert(texts):
+        import json
+        import tomllib
 
-    def one(text):
-        try:
-            return json.dumps(tomllib.loads(text), default=lambda d: {"toml": str(d)})
-        except (tomllib.TOMLDecodeError, TypeError):
-            return None
+        import pandas as pd
 
-    return pd.Series([one(t) for t in texts])
+        def one(text):
+            try:
+                return json.dumps(tomllib.loads(text), default=lambda d: {"toml": str(d)})
+            except (tomllib.TOMLDecodeError, TypeError):
+                return None
+
+        return pd.Series([one(t) for t in texts])
+
+    return F.pandas_udf(convert, T.StringType())(text)
 
 
 def _at(v: Column, path: str, kind: str) -> Column:
@@ -165,32 +169,35 @@ _NESTED = T.ArrayType(
 )
 
 
-@F.pandas_udf(_NESTED)
-def _nested_dependencies(texts):
+def _nested_dependencies(text: Column) -> Column:
     """The old lock layout nests dependencies to any depth: parents first, keys
     in order."""
-    import json
 
-    import pandas as pd
+    def flatten(texts):
+        import json
+
+        import pandas as pd
 
-    def walk(tree, top):
-        out = []
-        for name in sorted(tree):
-            meta = tree[name] if isinstance(tree[name], dict) else {}
-            text = {k: v for k, v in meta.items() if isinstance(v, str)}
-            out.append((name, text.get("version", ""), text.get("license"), top))
-            if isinstance(meta.get("dependencies"), dict):
-                out += walk(meta["dependencies"], False)
-        return out
+        def walk(tree, top):
+            out = []
+            for name in sorted(tree):
+                meta = tree[name] if isinstance(tree[name], dict) else {}
+                text = {k: v for k, v in meta.items() if isinstance(v, str)}
+                out.append((name, text.get("version", ""), text.get("license"), top))
+                if isinstance(meta.get("dependencies"), dict):
+                    out += walk(meta["dependencies"], False)
+            return out
 
-    def one(text):
-        try:
-            tree = json.loads(text).get("dependencies")
-        except (ValueError, AttributeError):
-            return []
-        return walk(tree, True) if isinstance(tree, dict) else []
+        def one(text):
+            try:
+                tree = json.loads(text).get("dependencies")
+            except (ValueError, AttributeError):
+                return []
+            return walk(tree, True) if isinstance(tree, dict) else []
 
-    return pd.Series([one(t) for t in texts])
+        return pd.Series([one(t) for t in texts])
+
+    return F.pandas_udf(flatten, _NESTED)(text)
 
 
 def _npm_nested(text: Column) -> Column:
@@ -441,14 +448,14 @@ def _in_order(deps: Column, repeats: Column) -> Column:
 # -- operators ---------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def _manifest_columns() -> tuple[Column, Column, Column]:
+@lru_cache(maxsize=4)
+def _manifest_columns(application: str) -> tuple[Column, Column, Column]:
     """(text as JSON, dependencies in order, ecosystem) of rows with the columns
-    base, text, json and doc."""
+    base, text, json and doc. Kept per application, to which UDFs belong."""
     base, text, doc = F.col("base"), F.col("text"), F.col("doc")
     is_toml = F.endswith(base, F.lit(".toml")) | base.isin("Cargo.lock", "poetry.lock")
     is_json = F.endswith(base, F.lit(".json")) | (base == "composer.lock")
-    as_json = F.when(is_toml, toml_to_json(F.when(is_toml, text).otherwise(""))).when(is_json, text)
+    as_json = F.when(is_toml, _toml_to_json(F.when(is_toml, text).otherwise(""))).when(is_json, text)
     is_npm = base.isin("package-lock.json", "npm-shrinkwrap.json")
     has_packages = _at(doc, "$.packages", "map<string,variant>").isNotNull()
     # Only the old layout passes through Python, and only its text.
@@ -476,7 +483,9 @@ def parse_manifests(files: DataFrame) -> DataFrame:
 
     Malformed manifests give no rows. ``seq`` is the order of a row within its
     manifest and ``cand`` that of the manifest name."""
-    as_json, deps, ecosystem = _manifest_columns()
+    as_json, deps, ecosystem = _manifest_columns(
+        files.sparkSession.sparkContext.applicationId
+    )
     rows = (
         files.withColumn("cand", manifest_order(F.col("path")))
         .filter("cand is not null and text is not null")

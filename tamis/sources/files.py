@@ -56,22 +56,27 @@ def _hidden_files(root: Path) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.BinaryType())
-def _content(paths):
-    import pandas as pd
+def _content(path: Column) -> Column:
+    """The bytes of the files, null where one cannot be read."""
 
-    def one(path):
-        try:
-            return Path(path).read_bytes()
-        except OSError:
-            return None
+    def read(paths):
+        import pandas as pd
 
-    return pd.Series([one(p) for p in paths])
+        def one(path):
+            try:
+                with open(path, "rb") as f:
+                    return f.read()
+            except OSError:
+                return None
+
+        return pd.Series([one(p) for p in paths])
+
+    return F.pandas_udf(read, T.BinaryType())(path)
 
 
 def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
     table = spread(small_table(spark, [{"path": p} for p in paths], "path:string"))
-    content = table.select("path", _content("path").alias("content"))
+    content = table.select("path", _content(F.col("path")).alias("content"))
     return content.select(
         "path", "content", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length")
     )
