@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # by application
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster, which all executors reach. Where
-    none is set, as in a local session, a new temporary one."""
+    """The checkpoint folder of the cluster, which all executors reach. A local
+    session, which is one machine, may do without the setting: it gets one
+    temporary folder. Anything else has to name a shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="tamis-")
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tamis-")
+    return _LOCAL[context.applicationId]
 
 
 def settled(df: DataFrame) -> DataFrame:
