@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import (
+    chat,
     decontaminate,
     language_id,
     packing,
@@ -33,6 +34,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, digest_only=True)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.held_out(F.col("doc_id"))
@@ -68,6 +73,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_token_files,
+        op3_chat_format,
         op4_language_id,
         op5_simhash,
         op6_url_filter,
