@@ -1,51 +1,76 @@
-"""The portable rule schema: recognised, and rewritten to native fields.
+"""The portable rule schema, rewritten to native fields.
 
-Constructs without a native counterpart make the rule be skipped with a reason.
+What a key of a rule means is one entry of a table: ``_ONE_RULE`` for the keys
+of a rule, ``_RESTRICTIONS`` for those that may also stand in its AND-list. A
+rule that needs something without a native counterpart is refused with a reason.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
 # Keys that only occur in the portable schema.
 PORTABLE_KEYS = frozenset({
     "mode", "pattern-sources", "pattern-sinks", "pattern-sanitizers",
     "fix-regex", "pattern-not-inside", "pattern-regex", "pattern-propagate",
     "focus-metavariable", "requires", "equivalences",
 })
-# Accepted language names per engine language.
+# Accepted language names.
 LANGUAGE_ALIASES = {
-    "python": ("python",),
-    "javascript": ("javascript", "js"),
-    "typescript": ("typescript", "ts", "tsx"),
-    "go": ("go", "golang"),
-    "java": ("java",),
-    "ruby": ("ruby", "rb"),
-    "php": ("php",),
-    "csharp": ("csharp", "c#"),
-    "c": ("c",),
-    "cpp": ("cpp", "c++"),
-    "kotlin": ("kotlin",),
-    "scala": ("scala",),
-    "ocaml": ("ocaml",),
-    "bash": ("bash", "sh", "shell"),
-    "yaml": ("yaml",),
-    "json": ("json",),
-    "terraform": ("terraform", "hcl"),
-    "dockerfile": ("dockerfile", "docker"),
-    "html": ("html",),
-    "rust": ("rust", "rs"),
-    "swift": ("swift",),
-    "dart": ("dart",),
-    "elixir": ("elixir",),
-    "lua": ("lua",),
-    "powershell": ("powershell", "pwsh", "ps1"),
-    "sql": ("sql",),
-    "generic": ("generic",),
+    "python": "python",
+    "javascript": "javascript",
+    "js": "javascript",
+    "typescript": "typescript",
+    "ts": "typescript",
+    "tsx": "typescript",
+    "go": "go",
+    "golang": "go",
+    "java": "java",
+    "ruby": "ruby",
+    "rb": "ruby",
+    "php": "php",
+    "csharp": "csharp",
+    "c#": "csharp",
+    "c": "c",
+    "cpp": "cpp",
+    "c++": "cpp",
+    "kotlin": "kotlin",
+    "scala": "scala",
+    "ocaml": "ocaml",
+    "bash": "bash",
+    "sh": "bash",
+    "shell": "bash",
+    "yaml": "yaml",
+    "json": "json",
+    "terraform": "terraform",
+    "hcl": "terraform",
+    "dockerfile": "dockerfile",
+    "docker": "dockerfile",
+    "html": "html",
+    "rust": "rust",
+    "rs": "rust",
+    "swift": "swift",
+    "dart": "dart",
+    "elixir": "elixir",
+    "lua": "lua",
+    "powershell": "powershell",
+    "pwsh": "powershell",
+    "ps1": "powershell",
+    "sql": "sql",
+    "generic": "generic",
 }
 # Severity spellings.
 SEVERITY_ALIASES = {
-    "ERROR": ("ERROR", "CRITICAL", "HIGH"),
-    "WARNING": ("WARNING", "WARN", "MEDIUM"),
-    "INFO": ("INFO", "LOW", "NOTE"),
+    "ERROR": "ERROR",
+    "CRITICAL": "ERROR",
+    "HIGH": "ERROR",
+    "WARNING": "WARNING",
+    "WARN": "WARNING",
+    "MEDIUM": "WARNING",
+    "INFO": "INFO",
+    "LOW": "INFO",
+    "NOTE": "INFO",
 }
 
 
@@ -53,230 +78,205 @@ class RuleSkipped(ValueError):
     """This rule cannot be expressed; the message says why."""
 
 
+def _need(value, kind: type, at: str):
+    """``value`` if it is of the kind. YAML has already read 010 and yes as a
+    number and a truth value, so what was written is lost: not a string."""
+    if isinstance(value, kind):
+        return value
+    if kind is str and isinstance(value, (bool, int, float)):
+        raise RuleSkipped(f"{at}: put quotes around {value!r}, YAML does not read it as text")
+    raise RuleSkipped(f"{at}: expected {_NAMES[kind]}, found {_NAMES.get(type(value), 'nothing')}")
+
+
+_NAMES = {str: "text", list: "a list", dict: "a mapping"}
+
+
 def looks_portable(doc) -> bool:
     if not isinstance(doc, dict):
         return False
-    if PORTABLE_KEYS & doc.keys():
-        return True
-    for key in ("metavariable-regex", "metavariable-comparison"):
-        if isinstance(doc.get(key), dict) and "metavariable" in doc[key]:
-            return True
-    listed = doc.get("patterns")
-    return isinstance(listed, list) and any(
-        not isinstance(i, dict) or set(i) != {"pattern"} for i in listed
+    tied = any(
+        "metavariable" in doc[k]
+        for k in ("metavariable-regex", "metavariable-comparison")
+        if isinstance(doc.get(k), dict)
     )
+    listed = doc.get("patterns")
+    richer = isinstance(listed, list) and not all(isinstance(x, dict) and x.keys() == {"pattern"} for x in listed)
+    return tied or richer or not PORTABLE_KEYS.isdisjoint(doc)
 
 
 def map_languages(names: list[str]) -> tuple[list[str], list[str]]:
     """(engine languages without repeats, names that have no counterpart)"""
-    by_alias = {a: lang for lang, aliases in LANGUAGE_ALIASES.items() for a in aliases}
-    found = [by_alias.get(n.lower()) for n in names]
-    known = list(dict.fromkeys(f for f in found if f))
-    return known, [n for n, f in zip(names, found) if not f]
+    found = {n: LANGUAGE_ALIASES.get(n.lower()) for n in names}
+    return list(dict.fromkeys(filter(None, found.values()))), [n for n in names if not found[n]]
 
 
 def map_severity(value) -> str:
-    if not isinstance(value, str):
-        raise RuleSkipped("missing severity")
-    for name, aliases in SEVERITY_ALIASES.items():
-        if value.upper() in aliases:
-            return name
-    raise RuleSkipped(f"unknown severity {value.upper()!r}")
-
-
-def _text(value, what: str) -> str:
-    """Bare numbers and booleans lose their spelling in YAML, so they are refused."""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, bool):
-        raise RuleSkipped(f"{what} is the bare boolean {str(value).lower()}; quote it")
-    if isinstance(value, (int, float)):
-        raise RuleSkipped(f"{what} is the bare number {value}; quote patterns with digits")
-    raise RuleSkipped(f"{what} must be a string")
-
-
-def _alternatives(value, what: str) -> list[str]:
-    if not isinstance(value, list):
-        raise RuleSkipped(f"{what} must be a list")
-    out = []
-    for i, item in enumerate(value):
-        if isinstance(item, str):
-            out.append(item)
-        elif isinstance(item, dict) and "pattern" in item:
-            out.append(_text(item["pattern"], f"{what}[{i}].pattern"))
+    try:
+        return SEVERITY_ALIASES[_need(value, str, "severity").upper()]
+    except KeyError:
+        raise RuleSkipped(f"severity: {value!r} is none of {', '.join(SEVERITY_ALIASES)}") from None
+
+
+def _union(value, at: str) -> Iterator[str]:
+    """All patterns of a list of alternatives, however they are nested."""
+    for n, x in enumerate(_need(value, list, at)):
+        here = f"{at}[{n}]"
+        if isinstance(x, str):
+            yield x
+            continue
+        nested = next((k for k in ("pattern", "patterns", "pattern-either") if k in _need(x, dict, here)), None)
+        if nested is None:
+            raise RuleSkipped(f"{here}: no pattern among {', '.join(map(str, x)) or 'its keys'}")
+        if nested == "pattern":
+            yield _need(x["pattern"], str, f"{here}.pattern")
         else:
-            raise RuleSkipped(f"{what}[{i}] unsupported")
-    return out
+            yield from _union(x[nested], f"{here}.{nested}")
 
 
 def flow_patterns(doc: dict, key: str) -> list[str]:
-    """Sources, sinks and sanitizers: any nesting of lists is one union."""
-    value = doc.get(key, [])
-    if not isinstance(value, list):
-        raise RuleSkipped(f"{key} must be a list")
-    out: list[str] = []
-    for i, item in enumerate(value):
-        here = f"{key}[{i}]"
-        if isinstance(item, str):
-            out.append(item)
-        elif not isinstance(item, dict):
-            raise RuleSkipped(f"{here} is not a pattern object")
-        elif "pattern" in item:
-            out.append(_text(item["pattern"], f"{here}.pattern"))
-        elif isinstance(item.get("patterns"), list):
-            out += [p for p in item["patterns"] if isinstance(p, str)]
-        elif "pattern-either" in item:
-            out += _alternatives(item["pattern-either"], f"{here}.pattern-either")
-        else:
-            raise RuleSkipped(f"{here} unsupported construct ({', '.join(map(str, item))})")
-    return out
+    return list(_union(doc.get(key, []), key))
 
 
 def regex_constraints(value) -> dict[str, str]:
-    if not isinstance(value, dict):
-        raise RuleSkipped("metavariable-regex must be an object")
-    if isinstance(value.get("metavariable"), str):
-        if not isinstance(value.get("regex"), str):
-            raise RuleSkipped("metavariable-regex missing regex")
-        return {value["metavariable"]: value["regex"]}
-    if not all(isinstance(k, str) and isinstance(v, str) for k, v in value.items()):
-        raise RuleSkipped("malformed metavariable-regex")
-    return dict(value)
+    """{name: regex}, from either of the two spellings."""
+    given = _need(value, dict, "metavariable-regex")
+    pairs = {given["metavariable"]: given.get("regex")} if "metavariable" in given else given
+    return {
+        _need(k, str, "metavariable-regex"): _need(v, str, f"metavariable-regex of {k}") for k, v in pairs.items()
+    }
 
 
 def comparison_text(value) -> str:
-    if not isinstance(value, dict):
-        raise RuleSkipped("metavariable-comparison must be an object")
-    for key in ("metavariable", "comparison"):
-        if not isinstance(value.get(key), str):
-            raise RuleSkipped(f"metavariable-comparison missing {key}")
-    return f"{value['metavariable']} {value['comparison']}"
-
-
-def _metadata(doc: dict, rid: str) -> tuple[dict[str, str], list[str]]:
-    out, notes = {}, []
-    for key, val in (doc.get("metadata") or {}).items():
-        if isinstance(val, bool):
-            out[str(key)] = str(val).lower()
-        elif isinstance(val, (str, int, float)):
-            out[str(key)] = str(val)
-        elif isinstance(val, list) and any(isinstance(v, str) for v in val):
-            out[str(key)] = ", ".join(v for v in val if isinstance(v, str))
-        else:
-            notes.append(f"rule {rid}: metadata.{key} dropped (non-scalar)")
-    return out, notes
+    given = _need(value, dict, "metavariable-comparison")
+    return " ".join(_need(given.get(k), str, f"metavariable-comparison.{k}") for k in ("metavariable", "comparison"))
+
+
+@dataclass
+class _Draft:
+    """A native rule in the making."""
+
+    fields: dict = field(default_factory=lambda: {"metavariable_regex": {}, "metadata": {}, "fix": None})
+    notes: list[str] = field(default_factory=list)
 
+    def once(self, name: str, value, key: str) -> None:
+        if name in self.fields:
+            raise RuleSkipped(f"{key}: given more than once, which has no counterpart")
+        self.fields[name] = value
 
-class _Slots:
-    """Parts of a rule that may be given once, in the list or beside it."""
 
-    def __init__(self) -> None:
-        self.once: dict[str, str] = {}
-        self.regexes: dict[str, str] = {}
+def _languages(draft: _Draft, value, key: str) -> None:
+    names = [n for n in _need(value, list, key) if isinstance(n, str)]
+    known, other = map_languages(names)
+    if not known:
+        raise RuleSkipped(f"{key}: none of {', '.join(names) or 'these'} is known")
+    if other:
+        draft.notes.insert(0, f"languages left out: {', '.join(other)}")
+    draft.fields["languages"] = tuple(known)
 
-    def add(self, key: str, value, where: str) -> None:
-        if key == "metavariable-regex":
-            self.regexes.update(regex_constraints(value))
-            return
-        if key == "metavariable-comparison":
-            text = comparison_text(value)
-        elif key in ("pattern-not", "pattern-inside"):
-            text = _text(value, where)
+
+def _metadata(draft: _Draft, value, key: str) -> None:
+    for name, x in (value or {}).items():
+        if isinstance(x, list):
+            x = ", ".join(v for v in x if isinstance(v, str)) or None
+        elif isinstance(x, bool):
+            x = "true" if x else "false"
+        if isinstance(x, (str, int, float)):
+            draft.fields["metadata"][str(name)] = str(x)
         else:
-            raise RuleSkipped(f"{where} not supported yet")
-        if key in self.once:
-            raise RuleSkipped(f"multiple {key} not supported")
-        self.once[key] = text
-
-
-def _conjunction(items, slots: _Slots) -> list[str]:
-    """The AND-list: exactly one positive pattern, the rest restricts it."""
-    if not isinstance(items, list):
-        raise RuleSkipped("patterns must be a list")
-    positives = []
-    for i, item in enumerate(items):
-        if not isinstance(item, dict):
-            raise RuleSkipped(f"patterns[{i}] is not an object")
-        for key, value in item.items():
-            where = f"patterns[{i}].{key}"
-            if key == "pattern":
-                positives.append(_text(value, where))
+            draft.notes.append(f"{key}.{name} left out: not a plain value")
+
+
+def _fix(draft: _Draft, value, key: str) -> None:
+    draft.fields["fix"] = value if isinstance(value, str) else None
+
+
+def _restricted(name: str) -> Callable[[_Draft, object, str], None]:
+    return lambda draft, value, key: draft.once(name, _need(value, str, key), key)
+
+
+# Key of a rule or of an entry of its AND-list -> what it adds.
+_RESTRICTIONS: dict[str, Callable[[_Draft, object, str], None]] = {
+    "pattern-not": _restricted("pattern_not"),
+    "pattern-inside": _restricted("pattern_inside"),
+    "metavariable-regex": lambda d, v, k: d.fields["metavariable_regex"].update(regex_constraints(v)),
+    "metavariable-comparison": lambda d, v, k: d.once("metavariable_comparison", comparison_text(v), k),
+}
+
+
+def _and_list(draft: _Draft, value, key: str) -> None:
+    positive = []
+    for n, entry in enumerate(_need(value, list, key)):
+        for name, x in _need(entry, dict, f"{key}[{n}]").items():
+            at = f"{key}[{n}].{name}"
+            if name == "pattern":
+                positive.append(_need(x, str, at))
+            elif name in _RESTRICTIONS:
+                _RESTRICTIONS[name](draft, x, at)
             else:
-                slots.add(key, value, where)
-    if not positives:
-        raise RuleSkipped("no positive pattern in patterns: list")
-    if len(positives) > 1:
-        raise RuleSkipped(
-            f"{len(positives)} AND-ed positive patterns not supported yet "
-            "(split the rule or use pattern-either)"
-        )
-    return positives
+                raise RuleSkipped(f"{at}: no native counterpart")
+    if len(positive) != 1:
+        raise RuleSkipped(f"{key}: needs one positive pattern, has {len(positive)}")
+    draft.fields["patterns"] = tuple(positive)
+
+
+def _either(draft: _Draft, value, key: str) -> None:
+    draft.fields["patterns"] = tuple(_union(value, key))
+    if not draft.fields["patterns"]:
+        raise RuleSkipped(f"{key}: no alternative given")
+
+
+def _single(draft: _Draft, value, key: str) -> None:
+    draft.fields["patterns"] = (_need(value, str, key),)
+
+
+def _text_field(draft: _Draft, value, key: str) -> None:
+    draft.fields[key] = _need(value, str, key)
+
+
+# The first of these that is given is the rule's positive part.
+_POSITIVE: dict[str, Callable[[_Draft, object, str], None]] = {
+    "pattern": _single,
+    "pattern-either": _either,
+    "patterns": _and_list,
+}
+# Keys every rule has, and keys it may have, in the order they are looked at.
+_REQUIRED: dict[str, Callable[[_Draft, object, str], None]] = {
+    "id": _text_field,
+    "message": _text_field,
+    "severity": lambda d, v, k: d.fields.update(severity=map_severity(v)),
+    "languages": _languages,
+}
+_OPTIONAL: dict[str, Callable[[_Draft, object, str], None]] = {"metadata": _metadata, "fix": _fix}
+
+
+def _flow(draft: _Draft, doc: dict) -> None:
+    roles = {role: tuple(flow_patterns(doc, f"pattern-{role}")) for role in ("sources", "sinks", "sanitizers")}
+    for role in ("sources", "sinks"):
+        if not roles[role]:
+            raise RuleSkipped(f"pattern-{role}: a flow needs at least one")
+    draft.fields["flow"] = tuple(roles.values())
 
 
 def translate(doc: dict) -> tuple[dict, list[str]]:
     """Native rule fields and warnings; raises RuleSkipped."""
-    rid = doc.get("id")
-    if not isinstance(rid, str):
-        raise RuleSkipped("missing id")
-    try:
-        return _translate(doc, rid)
-    except RuleSkipped as e:
-        raise RuleSkipped(f"rule {rid}: {e}") from e
-
-
-def _translate(doc: dict, rid: str) -> tuple[dict, list[str]]:
-    if not isinstance(doc.get("message"), str):
-        raise RuleSkipped("missing message")
-    severity = map_severity(doc.get("severity"))
-    if not isinstance(doc.get("languages"), list):
-        raise RuleSkipped("missing languages")
-    wanted = [n for n in doc["languages"] if isinstance(n, str)]
-    languages, dropped = map_languages(wanted)
-    if not languages:
-        raise RuleSkipped(f"no supported languages (wanted: {', '.join(wanted)})")
-    metadata, notes = _metadata(doc, rid)
-    if dropped:
-        notes.insert(0, f"rule {rid}: unsupported language(s) dropped: {', '.join(dropped)}")
-    fix = doc.get("fix") if isinstance(doc.get("fix"), str) else None
-    if "fix-regex" in doc and fix is None:
-        notes.append(f"rule {rid}: fix-regex ignored (no portable equivalent yet)")
-    fields = {
-        "id": rid,
-        "languages": tuple(languages),
-        "severity": severity,
-        "message": doc["message"],
-        "fix": fix,
-        "metadata": metadata,
-        "metavariable_regex": {},
-    }
-    if doc.get("mode") == "taint" or {"pattern-sources", "pattern-sinks"} & doc.keys():
-        roles = [
-            tuple(flow_patterns(doc, f"pattern-{r}")) for r in ("sources", "sinks", "sanitizers")
-        ]
-        for role, name in zip(roles, ("sources", "sinks")):
-            if not role:
-                raise RuleSkipped(f"taint rule without pattern-{name}")
-        fields["flow"] = tuple(roles)
-        return fields, notes
-    slots = _Slots()
-    if "pattern" in doc:
-        positives = [_text(doc["pattern"], "pattern")]
-    elif "pattern-either" in doc:
-        positives = _alternatives(doc["pattern-either"], "pattern-either")
-        if not positives:
-            raise RuleSkipped("empty pattern-either")
-    elif "patterns" in doc:
-        positives = _conjunction(doc["patterns"], slots)
-    else:
-        raise RuleSkipped("no pattern / pattern-either / patterns / taint construct")
-    for key in ("pattern-not", "pattern-inside", "metavariable-regex", "metavariable-comparison"):
+    draft = _Draft()
+    for key, add in _REQUIRED.items():
+        add(draft, doc.get(key), key)
+    for key, add in _OPTIONAL.items():
         if key in doc:
-            slots.add(key, doc[key], key)
-    fields.update(
-        patterns=tuple(positives),
-        pattern_not=slots.once.get("pattern-not"),
-        pattern_inside=slots.once.get("pattern-inside"),
-        metavariable_regex=slots.regexes,
-        metavariable_comparison=slots.once.get("metavariable-comparison"),
-    )
-    return fields, notes
+            add(draft, doc[key], key)
+    if "fix-regex" in doc and draft.fields["fix"] is None:
+        draft.notes.append("fix-regex left out: only whole fixes are known")
+    if doc.get("mode") == "taint" or "pattern-sources" in doc or "pattern-sinks" in doc:
+        _flow(draft, doc)
+    else:
+        positive = next((k for k in _POSITIVE if k in doc), None)
+        if positive is None:
+            raise RuleSkipped(f"nothing to look for: none of {', '.join(_POSITIVE)} is given")
+        _POSITIVE[positive](draft, doc[positive], positive)
+        for key, add in _RESTRICTIONS.items():
+            if key in doc:
+                add(draft, doc[key], key)
+        for name in ("pattern_not", "pattern_inside", "metavariable_comparison"):
+            draft.fields.setdefault(name, None)
+    return draft.fields, [f"rule {draft.fields['id']}: {note}" for note in draft.notes]

@@ -56,7 +56,7 @@ class RuleSet:
 
 def _choices(value, key: str) -> tuple[str, ...]:
     if not isinstance(value, list):
-        raise RuleError(f"{key} must be a list")
+        raise RuleError(f"{key}: a list is needed")
     out = []
     for item in value:
         if isinstance(item, dict) and isinstance(item.get("pattern"), str):
@@ -64,7 +64,7 @@ def _choices(value, key: str) -> tuple[str, ...]:
         elif isinstance(item, str):
             out.append(item)
         else:
-            raise RuleError(f"{key} entries must be patterns")
+            raise RuleError(f"{key}: an entry holds no pattern")
     return tuple(out)
 
 
@@ -75,16 +75,16 @@ def _parts(value) -> tuple[str, ...]:
 def native_rule(doc) -> Rule:
     """One rule in the native schema. All scalars arrive as written."""
     if not isinstance(doc, dict):
-        raise RuleError("rule is not a mapping")
+        raise RuleError("a rule has to be a mapping of keys")
     rid = doc.get("id", "")
     for key in ("id", "languages", "severity", "message"):
         if key not in doc:
-            raise RuleError(f"rule {rid}: missing {key}")
+            raise RuleError(f"rule {rid!r} lacks the key {key}")
     if not isinstance(rid, str) or not rid.strip():
-        raise RuleError("rule id empty")
+        raise RuleError("a rule needs a name in id")
     langs = doc["languages"]
     if not isinstance(langs, list) or not langs:
-        raise RuleError(f"rule {rid} has no languages")
+        raise RuleError(f"rule {rid!r} names no language")
     # One positive slot is used, in this order; lists are alternatives.
     if "pattern" in doc:
         patterns = (doc["pattern"],)
@@ -95,7 +95,7 @@ def native_rule(doc) -> Rule:
     elif "taint" in doc:
         patterns = ()
     else:
-        raise RuleError(f"rule {rid} has no pattern/taint")
+        raise RuleError(f"rule {rid!r} has nothing to look for")
     flow = None
     if doc.get("taint"):
         taint = doc["taint"]
@@ -135,7 +135,7 @@ def parse_rules(text: str, src: str = "<text>") -> RuleSet:
         typed = yaml.safe_load(text)
         plain = yaml.load(text, Loader=yaml.BaseLoader)
     except yaml.YAMLError as e:
-        raise RuleError(f"parsing {src}: {e}") from e
+        raise RuleError(f"{src} is not YAML: {e}") from e
     typed = typed if isinstance(typed, list) else [typed]
     plain = plain if isinstance(plain, list) else [plain]
     any_portable = any(looks_portable(t) for t in typed)
@@ -147,8 +147,7 @@ def parse_rules(text: str, src: str = "<text>") -> RuleSet:
             try:
                 rule, notes = _portable_rule(t)
             except RuleSkipped as e:
-                reason = str(e).removeprefix(f"rule {label}: ")
-                out.warnings.append(f"{src}: rule {label} skipped: {reason}")
+                out.warnings.append(f"{src}: rule {label} left out: {e}")
                 continue
             out.warnings += [f"{src}: {n}" for n in notes]
             out.rules.append(rule)
@@ -158,7 +157,7 @@ def parse_rules(text: str, src: str = "<text>") -> RuleSet:
         except RuleError as e:
             if not any_portable:
                 raise RuleError(f"{src}: {e}") from e
-            out.warnings.append(f"{src}: rule {label} skipped: {e}")
+            out.warnings.append(f"{src}: rule {label} left out: {e}")
     return out
 
 
@@ -199,14 +198,14 @@ def load_rule_set(rules: str | Path | None = None, config: list[str] | tuple = (
         return load_rules_dir(root) if root.is_dir() else out
     for loc in config:
         if _is_remote(loc):
-            raise RuleError(f"remote rule location {loc!r} is not supported; use a local path")
+            raise RuleError(f"{loc!r}: rules are only read from local paths")
         p = Path(loc)
         if p.is_dir():
             _extend(out, load_rules_dir(p))
         elif p.is_file():
             _extend(out, parse_rules(p.read_text(encoding="utf-8"), loc))
         else:
-            raise RuleError(f"rule config path does not exist: {loc}")
+            raise RuleError(f"{loc!r}: no such file or folder of rules")
     return out
 
 

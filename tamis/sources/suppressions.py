@@ -40,21 +40,21 @@ def valid_date(text: str) -> bool:
 
 def _entry(doc, src: str) -> Suppression:
     if not isinstance(doc, dict):
-        raise SuppressionError(f"{src}: suppression entry is not a mapping")
+        raise SuppressionError(f"{src}: an entry has to be a mapping of keys")
     unknown = set(doc) - _KEYS
     if unknown:
-        raise SuppressionError(f"{src}: unknown field {sorted(unknown)[0]!r}")
+        raise SuppressionError(f"{src}: no such key as {sorted(unknown)[0]!r}")
     rule, reason = str(doc.get("rule") or ""), str(doc.get("reason") or "")
     if not rule.strip():
-        raise SuppressionError(f"{src}: suppression `rule` must not be empty")
+        raise SuppressionError(f"{src}: an entry names no rule")
     if not reason.strip():
-        raise SuppressionError(f"{src}: suppression for rule {rule} has no `reason`")
+        raise SuppressionError(f"{src}: the entry for {rule} gives no reason")
     line = doc.get("line") or None
     if line is not None and not str(line).isdigit():
-        raise SuppressionError(f"{src}: suppression for rule {rule}: bad `line`")
+        raise SuppressionError(f"{src}: the entry for {rule} has a line that is no number")
     expires = doc.get("expires") or None
     if expires is not None and not valid_date(str(expires)):
-        raise SuppressionError(f"{src}: suppression for rule {rule}: bad `expires`")
+        raise SuppressionError(f"{src}: the entry for {rule} has no valid date in expires")
     return Suppression(
         rule=rule,
         reason=reason,
