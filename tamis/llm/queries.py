@@ -14,6 +14,7 @@ from tamis.llm import (
     secrets,
     simhash,
     sql,
+    suffix,
     token_files,
     top_k,
     url_filter,
@@ -55,6 +56,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -77,6 +83,7 @@ QUERIES = {
         op4_language_id,
         op5_simhash,
         op6_url_filter,
+        op7_suffix_dedup,
         op8_top_k,
         op9_secret_scan,
         op10_decontaminate,
