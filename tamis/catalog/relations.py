@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.plans.settle import settled
 from tamis.sources.files import from_table, spread
 
 DOC_PATH = "'docs/' || source || '/' || doc_id || '.txt'"
@@ -95,3 +96,18 @@ SQL_DOCUMENTS = sql_files(DOC_PATH, "text", "documents")
 SQL_PAGES = sql_files(PAGE_PATH, "html", "pages", "'html'")
 SQL_CONVERSATIONS = sql_files(CONV_PATH, "text", "conversations")
 SQL_CODE = sql_files(CODE_PATH, CODE_TEXT, "lineitem", CODE_LANG)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with the place they have in their order: the partition's first
+    place, from one count per partition, and the place within it."""
+    rows = settled(rows)
+    numbered = rows.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()})
+    counts = {r[0]: r[1] for r in numbered.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        before.append(F.lit(total))
+        total += counts.get(part, 0)
+    first = F.get(F.array(*before), F.col("_part")) if before else F.lit(0)
+    within = F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("place", (first + within).cast("bigint"))

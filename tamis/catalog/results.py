@@ -15,7 +15,7 @@ from tamis.catalog.sqlgen import all_matches
 from tamis.catalog.sqlgen import findings as sql_findings
 from tamis.functions.nodes import callees, node_snippet, normalise_kind
 from tamis.operators import coverage as K
-from tamis.operators.findings import FINDING_COLUMNS
+from tamis.operators.findings import FINDING_COLUMNS, ordered
 from tamis.operators.matching import compile_rules
 from tamis.operators.triage import patched_files, triage, verified
 from tamis.plans import reports
@@ -132,6 +132,16 @@ _SARIF_HEAD = (
 )
 
 
+@query(
+    "findings_ordered",
+    f"""SELECT row_number() OVER (ORDER BY path, line, {_POSITION}) - 1 AS place, rule_id, path, line
+    FROM {SQL_DOC_FINDINGS}""",
+)
+def findings_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each row as it comes out of the sort."""
+    return R.placed(ordered(_docs(spark, d))).select("place", "rule_id", "path", "line")
+
+
 @query(
     "sarif_report",
     f"""SELECT '{_SARIF_HEAD}' AS text UNION ALL SELECT ']}}}},"results":[' UNION ALL SELECT ']}}]}}'
@@ -201,20 +211,20 @@ def secret_tokens_by_source(spark: SparkSession, d: str) -> DataFrame:
 # -- weakness coverage -------------------------------------------------------
 
 _FEED = (
-    "'{\"cve\": {\"id\": \"CVE-' || (event_id % 9973) || '\", \"published\": \"2024-01-0' || "
-    "(event_id % 9973 % 9 + 1) || 'T10:00:00.000\", \"metrics\": {' || "
-    "CASE event_id % 9973 % 4 WHEN 3 THEN '' ELSE '\"cvssMetricV' || "
-    "CASE event_id % 9973 % 4 WHEN 0 THEN '31' WHEN 1 THEN '30' ELSE '2' END || "
-    "'\": [{\"cvssData\": {\"baseScore\": ' || (event_id % 9973 % 10) || '.' || (event_id % 9973 % 7) || "
-    "', \"baseSeverity\": \"' || CASE event_id % 9973 % 5 WHEN 0 THEN 'critical' ELSE 'HIGH' END || "
+    "'{\"cve\": {\"id\": \"CVE-' || (event_id) || '\", \"published\": \"2024-01-0' || "
+    "(event_id % 9 + 1) || 'T10:00:00.000\", \"metrics\": {' || "
+    "CASE event_id % 4 WHEN 3 THEN '' ELSE '\"cvssMetricV' || "
+    "CASE event_id % 4 WHEN 0 THEN '31' WHEN 1 THEN '30' ELSE '2' END || "
+    "'\": [{\"cvssData\": {\"baseScore\": ' || (event_id % 10) || '.' || (event_id % 7) || "
+    "', \"baseSeverity\": \"' || CASE event_id % 5 WHEN 0 THEN 'critical' ELSE 'HIGH' END || "
     "'\"}}]' END || '}, \"descriptions\": [{\"lang\": \"es\", \"value\": \"No. Uno\"}, "
-    "{\"lang\": \"en\", \"value\": \" A flaw in part ' || (event_id % 9973) || '. More text. \"}], "
+    "{\"lang\": \"en\", \"value\": \" A flaw in part ' || (event_id) || '. More text. \"}], "
     "\"weaknesses\": [{\"description\": [{\"lang\": \"en\", \"value\": \"CWE-' || "
-    "(event_id % 9973 % 60) || '\"}, {\"lang\": \"en\", \"value\": \"NVD-CWE-noinfo\"}]}, "
-    "{\"description\": [{\"lang\": \"en\", \"value\": \"CWE-' || (event_id % 9973 % 11 + 50) || "
+    "(event_id % 60) || '\"}, {\"lang\": \"en\", \"value\": \"NVD-CWE-noinfo\"}]}, "
+    "{\"description\": [{\"lang\": \"en\", \"value\": \"CWE-' || (event_id % 11 + 50) || "
     "'\"}]}]}}'"
 )
-_ID = "event_id % 9973"
+_ID = "event_id"
 _PARSED = f"""(SELECT DISTINCT 'CVE-' || k AS id, '2024-01-0' || (k % 9 + 1) AS published,
     CASE WHEN k % 4 = 3 THEN 0.0 ELSE CAST((k % 10) || '.' || (k % 7) AS DOUBLE) END AS score,
     CASE WHEN k % 4 = 3 THEN '' WHEN k % 5 = 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
@@ -259,6 +269,15 @@ def cwe_coverage_gap(spark: SparkSession, d: str) -> DataFrame:
     return gaps.withColumn("examples", F.array_join("examples", " "))
 
 
+@query(
+    "cve_gap_report",
+    f"""SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, cwe) AS INT) AS place, cwe, count(*) AS n_cves
+    FROM {_SEEN} WHERE cwe NOT IN (SELECT cwe FROM {_CORPUS_SQL}) GROUP BY cwe""",
+)
+def cve_gap_report(spark: SparkSession, d: str) -> DataFrame:
+    return K.gap_report(_feed(spark, d), _corpus(spark)).select("place", "cwe", "n_cves")
+
+
 @query(
     "cwe_covered_rules",
     f"""SELECT cwe, array_to_string((list_sort(list(rule_id)))[1:4], ' ') AS rules,
@@ -328,20 +347,18 @@ _TOKENS = sql_findings(R.SQL_DOCUMENTS, [C.SQL_TEXT_RULES[0]])
 
 @query(
     "verify_fixes",
-    f"""SELECT rule_id, path, line FROM {_TOKENS}
-    WHERE line % 2 = 1 OR NOT regexp_matches(snippet, 'token = "[0-9a-f]{{20,}}"')""",
+    f"SELECT rule_id, path, line FROM {_TOKENS} WHERE line % 2 = 1",
 )
 def verify_fixes(spark: SparkSession, d: str) -> DataFrame:
-    """A real fix on odd lines, the line's own snippet on even ones: the latter
-    only helps where the snippet was cut before the match."""
+    """A real fix on odd lines; on even ones the secret is only moved to
+    another name, which the scan finds again."""
     files = R.documents(spark, d)
     found = raw_findings(files, [C.TOKEN])
+    moved = F.regexp_replace("snippet", "token = ", "other_token = ")
     fixes = found.select(
         "path",
         "line",
-        F.when(F.col("line") % 2 == 1, "token = read()").otherwise(F.col("snippet")).alias(
-            "fixed_snippet"
-        ),
+        F.when(F.col("line") % 2 == 1, "token = read()").otherwise(moved).alias("fixed_snippet"),
     )
     after = raw_findings(patched_files(files, fixes), [C.TOKEN], carry=("patched_line",))
     return verified(found, after).select("rule_id", "path", "line")

@@ -70,6 +70,19 @@ SQL_TEXT_RULES = [
             f"regexp_matches({_capture(_PHONE)}, '^[0-9]{{3}}$')"),
 ]
 
+# Constraints in all of their language: Unicode and POSIX classes, the very end,
+# {,n}, a named group; the last one is broken and only costs its own rule.
+CLASS_RULES = [
+    Rule("letters", _GENERIC, "INFO", "letters", (", $WORD de ",), metavariable_regex={"WORD": r"^\p{L}+\z"}),
+    Rule("posix", _GENERIC, "INFO", "letters", (", $WORD de ",), metavariable_regex={"WORD": r"^(?P<w>[[:alpha:]]{,9})$"}),
+    Rule("broken", _GENERIC, "INFO", "broken", (", $WORD de ",), metavariable_regex={"WORD": r"(?P<q>a)(?P=q)"}),
+]
+_OF = r",\s*(.+?)\s*de\s*"
+SQL_CLASS_RULES = [
+    SqlRule("letters", "INFO", "letters", (_OF,), f"regexp_matches({_capture(_OF)}, '^\\p{{L}}+$')"),
+    SqlRule("posix", "INFO", "letters", (_OF,), f"regexp_matches({_capture(_OF)}, '^[A-Za-z]{{0,9}}$')"),
+]
+
 OF_WORD = Rule("of-word", _GENERIC, "INFO", "words", (", $WORD de ",))
 SQL_OF_WORD = SqlRule("of-word", "INFO", "words", (r",\s*(.+?)\s*de\s*",))
 

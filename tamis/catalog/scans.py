@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from tamis.catalog.sqlgen import all_matches, findings, quote
 from tamis.functions.language import language_or_generic
 from tamis.operators.findings import FINDING_COLUMNS, severity_floor
 from tamis.operators.matching import candidate_rules, find_matches
-from tamis.plans.incremental import content_hash, split_by_cache
-from tamis.plans.scan import raw_findings, scan_files
+from tamis.plans.incremental import content_hash, incremental_findings, split_by_cache
+from tamis.plans.scan import IGNORE_TOKEN, raw_findings, scan_files
+from tamis.plans.settle import shared_folder
+from tamis.sources.rules import load_rule_set
 from tamis.sources.suppressions import Suppression, live_suppressions
 from tamis.operators.suppression import flag_suppressed, on_changed_lines
 from tamis.sources.diffs import changed_lines
@@ -50,6 +54,17 @@ def scan_pages(spark: SparkSession, d: str) -> DataFrame:
     return _found(R.pages(spark, d), C.PAGE_RULES)
 
 
+@query("scan_documents_all_rules")
+def scan_documents_all_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The whole shipped rule pack."""
+    return _found(R.documents(spark, d), load_rule_set())
+
+
+@query("scan_pages_all_rules")
+def scan_pages_all_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _found(R.pages(spark, d), load_rule_set())
+
+
 @query(
     "scan_conversations",
     f"SELECT {_ALL} FROM {findings(R.SQL_CONVERSATIONS, [*C.SQL_TEXT_RULES, C.SQL_OF_WORD])}",
@@ -164,6 +179,14 @@ def metavar_regex(spark: SparkSession, d: str) -> DataFrame:
     return _found(R.documents(spark, d), [C.TOKEN, C.PHONE]).select("path", "line", "col", "snippet")
 
 
+@query(
+    "metavar_regex_classes",
+    f"SELECT rule_id, path, line, col FROM {findings(R.SQL_DOCUMENTS, C.SQL_CLASS_RULES)}",
+)
+def metavar_regex_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _found(R.documents(spark, d), C.CLASS_RULES).select("rule_id", "path", "line", "col")
+
+
 @query(
     "metavar_comparison",
     f"SELECT path, line, col, snippet FROM {findings(R.SQL_PAGES, [C.SQL_PAGE_RULES[2]])}",
@@ -331,14 +354,14 @@ _HUNK = (
     "CASE o_custkey % 3 WHEN 0 THEN '' ELSE ',' || (o_custkey % 4) END || ' @@ tail'"
 )
 _DIFF = (
-    "'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/' || (o_orderkey % 2000) "
+    "'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/' || o_orderkey "
     f"|| '.txt' || chr(10) || {_HUNK} || chr(10) || '+text' || chr(10) || '+++ b/sub/' "
-    f"|| (o_orderkey % 10) || '.md' || chr(10) || {_HUNK} || chr(10)"
+    f"|| o_orderkey || '.md' || chr(10) || {_HUNK} || chr(10)"
 )
 _CHANGED_SQL = """(SELECT DISTINCT path, CAST(o_orderkey % 5 + 1 + k AS INT) AS line FROM (
   SELECT *, unnest(range(0, n)) AS k FROM (
     SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 1 ELSE o_custkey % 4 END AS n,
-           unnest([(o_orderkey % 2000) || '.txt', 'sub/' || (o_orderkey % 10) || '.md']) AS path
+           unnest([o_orderkey || '.txt', 'sub/' || o_orderkey || '.md']) AS path
     FROM orders)))"""
 
 
@@ -402,15 +425,10 @@ def cache_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cache_incremental", f"SELECT rule_id, path, line, snippet FROM {SQL_DOC_FINDINGS}")
 def cache_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of a first scan over half the documents, completed by a scan
-    of the rest: together they are those of one scan."""
-    docs = R.documents(spark, d, "doc_id").withColumn("content_hash", content_hash())
-    first = docs.filter("doc_id % 2 = 0")
-    stored = raw_findings(first, C.TEXT_RULES, carry=("content_hash",))
-    done = first.select("path", "content_hash", F.lit("r1").alias("run"))
-    keys = docs.select("path", "content_hash")
-    hits, misses = split_by_cache(keys, done)
-    rest = docs.join(misses, ["path", "content_hash"], "left_semi")
-    columns = ("rule_id", "path", "line", "snippet")
-    old = stored.join(hits, ["path", "content_hash"], "left_semi").select(*columns)
-    return old.unionByName(raw_findings(rest, C.TEXT_RULES).select(*columns))
+    """A first scan of half the documents fills the cache; a scan of all of them
+    reads these back and adds the rest: together they are those of one scan."""
+    docs = R.documents(spark, d, "doc_id")
+    cache = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    incremental_findings(docs.filter("doc_id % 2 = 0").drop("doc_id"), C.TEXT_RULES, cache, (IGNORE_TOKEN,))
+    found = incremental_findings(docs.drop("doc_id"), C.TEXT_RULES, cache, (IGNORE_TOKEN,)).findings
+    return found.filter("not ignored").select("rule_id", "path", "line", "snippet")

@@ -34,9 +34,9 @@ SELECT {quote(r.id)} AS rule_id, {quote(r.severity)} AS severity, {quote(r.messa
 FROM (
   SELECT *, 1 + length(before) - length(replace(before, chr(10), '')) AS line,
          strlen(split_part(before, chr(10), -1)) AS col,
-         left(regexp_replace(split_part(text, chr(10),
+         regexp_replace(split_part(text, chr(10),
               CAST(1 + length(before) - length(replace(before, chr(10), '')) AS INT)),
-              '^\\s+|\\s+$', '', 'g'), 300) AS snippet
+              '^\\s+|\\s+$', '', 'g') AS snippet
   FROM (
     SELECT *, hits[i] AS hit,
            coalesce(list_aggregate(list_transform(range(1, i), lambda j: gaps[j] || hits[j]),

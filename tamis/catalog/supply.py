@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from tamis.catalog import relations as R
 from tamis.catalog import rules as C
 from tamis.catalog.scans import SQL_DOC_FINDINGS
-from tamis.operators.inventory import DEPENDENCY_COLUMNS, merge_inventory, parse_manifests
+from tamis.operators.inventory import (
+    DEPENDENCY_COLUMNS,
+    ECOSYSTEMS,
+    inventory_order,
+    merge_inventory,
+    parse_manifests,
+)
 from tamis.operators.licences import is_problem, licence_findings, licence_summary
 from tamis.operators.lookalikes import known_names, lookalikes, suspects_by_ecosystem
 from tamis.plans.scan import raw_findings
@@ -221,6 +227,15 @@ def inventory_merge(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d)
 
 
+@query(
+    "inventory_ordered",
+    f"""SELECT row_number() OVER (ORDER BY list_position([{', '.join(f"'{e}'" for e in ECOSYSTEMS)}], ecosystem), name)
+      - 1 AS place, ecosystem, name, version FROM {_MERGED}""",
+)
+def inventory_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return R.placed(inventory_order(_merged(spark, d))).select("place", "ecosystem", "name", "version")
+
+
 POLICY = Policy(allow=("MIT", "Apache-2.0"), deny=("GPL-3.0",), scope="all")
 
 

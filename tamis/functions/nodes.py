@@ -25,8 +25,6 @@ KINDS = {
         "expression_statement",
     ),
 }
-NODE_TEXT_CHARS = 512
-CALLEE_CHARS = 128
 
 
 def normalise_kind(grammar_kind: Column) -> Column:
@@ -45,6 +43,6 @@ def callees(nodes: DataFrame) -> DataFrame:
     name = trim_ws(F.substring_index("text", "(", 1))
     return (
         nodes.filter(F.col("kind") == "call")
-        .withColumn("callee", F.substring(name, 1, CALLEE_CHARS))
+        .withColumn("callee", name)
         .filter("callee <> ''")
     )

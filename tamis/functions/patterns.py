@@ -164,6 +164,46 @@ def flow_regex(pattern: str) -> tuple[str, tuple[str, ...]]:
     return ".*?".join(re.escape(p) for p in parts), tuple(p for p in parts if p)
 
 
+# The ASCII classes of the constraint language.
+POSIX_CLASSES = {
+    "alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "ascii": "\\x00-\\x7F", "blank": "\\t ",
+    "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~",
+    "punct": "!-/:-@\\[-`{-~", "space": "\\t-\\r ", "upper": "A-Z", "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
+_SYNTAX = re.compile(
+    r"\\u\{(?P<code>[0-9a-fA-F]+)\}|\\.|\[:(?P<not>\^?)(?P<posix>[a-z]+):\]|\(\?P?<(?P<group>[A-Za-z_]\w*)>"
+    r"|\{,(?P<most>\d+)\}|(?P<open>\[\^?\]?)|(?P<close>\])|(?P<end>\$)|.",
+    re.S,
+)
+
+
 def java_regex(regex: str) -> str:
-    """A user-written regex for the JVM: Unicode classes, Java group names."""
-    return "(?U)" + regex.replace("(?P<", "(?<")
+    """A constraint's regex in the syntax of the JVM, with Unicode classes.
+
+    The constraint language has POSIX classes, \\u{...}, named groups (of which
+    only the grouping matters here), {,n}, and $ for the very end unless (?m) is
+    set. Whether the result is valid is for the JVM to say."""
+    depth, out = 0, []
+    multiline = re.search(r"\(\?[a-zA-Z]*m", regex)
+
+    for m in _SYNTAX.finditer(regex):
+        part = m[0]
+        if m["code"]:
+            part = f"\\x{{{m['code']}}}"
+        elif m["posix"] in POSIX_CLASSES and depth:
+            part = f"[{m['not']}{POSIX_CLASSES[m['posix']]}]"
+        elif m["open"]:
+            # a bracket right behind the opening one stands for itself
+            part = "[" + part[1:].replace("]", "\\]")
+            depth += 1
+        elif m["close"] and depth:
+            depth -= 1
+        elif m["group"] and not depth:
+            part = "(?:"
+        elif m["most"] and not depth:
+            part = f"{{0,{m['most']}}}"
+        elif m["end"] and not depth and not multiline:
+            part = r"\z"
+        out.append(part)
+    return "(?U)" + "".join(out)

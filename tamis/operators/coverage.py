@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.text import trim_ws
+from tamis.plans.settle import settled
 
 CWE = r"CWE-\d+"
 _METRIC = "array<struct<cvssData:struct<baseScore:double,baseSeverity:string>,baseSeverity:string>>"
@@ -17,9 +18,6 @@ FEED_RECORD = f"""
       descriptions:array<struct<lang:string,value:string>>,
       weaknesses:array<struct<description:array<struct<lang:string,value:string>>>>>
 """
-DESCRIPTION_CHARS = 160
-EXAMPLES_PER_GAP = 3
-RULES_PER_CWE = 4
 
 
 def _cwes(text: Column) -> Column:
@@ -49,7 +47,7 @@ def parse_feed(records: DataFrame, column: str = "json") -> DataFrame:
         F.array_sort(
             F.array_distinct(F.coalesce(named, F.array().cast("array<string>")))
         ).alias("cwes"),
-        F.substring(F.get(sentence, F.lit(0)), 1, DESCRIPTION_CHARS).alias("desc"),
+        F.get(sentence, F.lit(0)).alias("desc"),
     )
     rest = [c for c in parsed.columns if c != "id"]
     one = F.min_by(F.struct(*rest), F.struct(*rest)).alias("r")
@@ -76,42 +74,52 @@ def observed(cves: DataFrame) -> DataFrame:
     return cves.select(F.explode(F.array_distinct("cwes")).alias("cwe"), "id", "score")
 
 
-def coverage_gaps(cves: DataFrame, corpus: DataFrame) -> DataFrame:
+def coverage_gaps(cves: DataFrame, corpus: DataFrame, examples: int = 3) -> DataFrame:
     """Observed classes without a rule: (cwe, n_cves, examples), where examples
-    are the three ids with the highest score. The ranking keeps three rows per
-    class already before the shuffle."""
+    are the ids with the highest score. One pass over the feed: the counts ride
+    on the ranks, of which the first ``examples`` and the last are kept."""
     seen = observed(cves)
     gaps = seen.join(corpus.select("cwe").distinct(), "cwe", "left_anti")
-    by_score = Window.partitionBy("cwe").orderBy(F.desc("score"), "id")
-    top = (
-        gaps.withColumn("place", F.row_number().over(by_score))
-        .filter(F.col("place") <= EXAMPLES_PER_GAP)
+    per_class = Window.partitionBy("cwe")
+    by_score = per_class.orderBy(F.desc("score"), "id")
+    ranked = gaps.select(
+        "cwe", "id", F.row_number().over(by_score).alias("place"), F.count("*").over(per_class).alias("n_cves")
+    )
+    return (
+        ranked.filter(F.col("place") <= examples)
         .groupBy("cwe")
         .agg(
+            F.max("n_cves").alias("n_cves"),
             F.transform(
                 F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]
-            ).alias("examples")
+            ).alias("examples"),
         )
     )
-    return gaps.groupBy("cwe").agg(F.count("*").alias("n_cves")).join(top, "cwe")
 
 
-def covered_classes(cves: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Observed classes with rules: (cwe, rules, more), the first four rule ids
-    in name order and whether there are others."""
+def gap_report(cves: DataFrame, corpus: DataFrame, examples: int = 3) -> DataFrame:
+    """The gaps in report order with their place: most advisories first, then by class."""
+    order = Window.orderBy(F.desc("n_cves"), "cwe")
+    # One row per weakness class: as few as there are classes, whatever the feed.
+    return coverage_gaps(cves, corpus, examples).withColumn("place", F.row_number().over(order))
+
+
+def covered_classes(cves: DataFrame, corpus: DataFrame, shown: int = 4) -> DataFrame:
+    """Observed classes with rules: (cwe, rules, more), the first ``shown`` rule
+    ids in name order and whether there are others."""
     seen = observed(cves).select("cwe").distinct()
     names = Window.partitionBy("cwe").orderBy("rule_id")
     ranked = corpus.join(seen, "cwe", "left_semi").withColumn(
         "place", F.row_number().over(names)
     )
     return (
-        ranked.filter(F.col("place") <= RULES_PER_CWE + 1)
+        ranked.filter(F.col("place") <= shown + 1)
         .groupBy("cwe")
         .agg(F.array_sort(F.collect_list("rule_id")).alias("found"))
         .select(
             "cwe",
-            F.slice("found", 1, RULES_PER_CWE).alias("rules"),
-            (F.size("found") > RULES_PER_CWE).alias("more"),
+            F.slice("found", 1, shown).alias("rules"),
+            (F.size("found") > shown).alias("more"),
         )
     )
 
@@ -140,7 +148,8 @@ def by_score(cves: DataFrame, top: int = 0) -> DataFrame:
 
 
 def coverage_summary(cves: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row of counts for the report header."""
+    """One row of counts for the report header. The feed is read once."""
+    cves = settled(cves)
     n = lambda s: F.count(F.when(F.col("severity") == s, 1))
     covered = corpus.select("cwe").distinct().withColumn("known", F.lit(True))
     classes = (

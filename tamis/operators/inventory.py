@@ -109,6 +109,43 @@ def _toml_to_json(text: Column) -> Column:
     return F.pandas_udf(convert, T.StringType())(text)
 
 
+def _compact_json(text: Column) -> Column:
+    """A lock file with only what is read from it, the last of repeated keys;
+    null when malformed. For the rare texts that are no VARIANT as they are:
+    they repeat keys or are too large."""
+
+    def convert(texts):
+        import json
+
+        import pandas as pd
+
+        read = ("name", "version", "license")
+
+        def one(text):
+            try:
+                doc = json.loads(text) if text else None
+            except ValueError:
+                return None
+            if not isinstance(doc, dict):
+                return None
+            out = {k: v for k, v in doc.items() if k == "dependencies"}
+            for key in ("packages", "packages-dev"):
+                entries = doc.get(key)
+                cut = lambda e: {k: e[k] for k in read if k in e} if isinstance(e, dict) else e
+                if isinstance(entries, list):
+                    out[key] = [cut(e) for e in entries]
+                elif isinstance(entries, dict):
+                    out[key] = {k: cut(e) for k, e in entries.items()}
+                    root = entries.get("")
+                    if isinstance(root, dict) and "dependencies" in root:
+                        out[key][""]["dependencies"] = root["dependencies"]
+            return json.dumps(out)
+
+        return pd.Series([one(t) for t in texts])
+
+    return F.pandas_udf(convert, T.StringType())(text)
+
+
 def _at(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -449,9 +486,10 @@ def _in_order(deps: Column, repeats: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _manifest_columns(application: str) -> tuple[Column, Column, Column]:
-    """(text as JSON, dependencies in order, ecosystem) of rows with the columns
-    base, text, json and doc. Kept per application, to which UDFs belong."""
+def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]:
+    """(text as JSON, the same read otherwise, dependencies in order, ecosystem)
+    of rows with the columns base, text, json and doc. Kept per application, to
+    which UDFs belong."""
     base, text, doc = F.col("base"), F.col("text"), F.col("doc")
     is_toml = F.endswith(base, F.lit(".toml")) | base.isin("Cargo.lock", "poetry.lock")
     is_json = F.endswith(base, F.lit(".json")) | (base == "composer.lock")
@@ -475,24 +513,36 @@ def _manifest_columns(application: str) -> tuple[Column, Column, Column]:
     ecosystem = F.element_at(
         F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base
     )
-    return as_json, _in_order(deps, repeats), ecosystem
+    failed = is_json & F.try_parse_json("json").isNull()
+    compact = _compact_json(F.when(failed, text).otherwise(""))
+    return as_json, compact, _in_order(deps, repeats), ecosystem
 
 
-def parse_manifests(files: DataFrame) -> DataFrame:
-    """Dependencies of every manifest among (path, text) rows, one row each.
-
-    Malformed manifests give no rows. ``seq`` is the order of a row within its
-    manifest and ``cand`` that of the manifest name."""
-    as_json, deps, ecosystem = _manifest_columns(
-        files.sparkSession.sparkContext.applicationId
-    )
-    rows = (
+def _manifest_rows(files: DataFrame) -> DataFrame:
+    as_json, compact, _, _ = _manifest_columns(files.sparkSession.sparkContext.applicationId)
+    return (
         files.withColumn("cand", manifest_order(F.col("path")))
         .filter("cand is not null and text is not null")
         .select("path", "text", "cand", basename(F.col("path")).alias("base"))
         .withColumn("json", as_json)
-        .withColumn("doc", F.try_parse_json("json"))
+        .withColumn("compact", compact)
+        .withColumn("doc", F.coalesce(F.try_parse_json("json"), F.try_parse_json("compact")))
     )
+
+
+def unreadable_manifests(files: DataFrame) -> DataFrame:
+    """(path) of the manifests that are no valid TOML or JSON."""
+    by_tree = F.col("base").rlike(r"\.(toml|json)$") | F.col("base").isin("Cargo.lock", "poetry.lock", "composer.lock")
+    return _manifest_rows(files).filter(by_tree & F.col("doc").isNull()).select("path")
+
+
+def parse_manifests(files: DataFrame) -> DataFrame:
+    """Dependencies of every manifest among (path, text) rows, one row each.
+
+    Malformed manifests give no rows. ``seq`` is the order of a row within its
+    manifest and ``cand`` that of the manifest name."""
+    _, _, deps, ecosystem = _manifest_columns(files.sparkSession.sparkContext.applicationId)
+    rows = _manifest_rows(files)
     return rows.select("path", "cand", ecosystem.alias("ecosystem"), F.explode(deps).alias("row")).select(
         "row.d.name",
         "row.d.version",
@@ -542,5 +592,10 @@ def merge_inventory(deps: DataFrame) -> DataFrame:
     )
 
 
+def inventory_order(deps: DataFrame) -> DataFrame:
+    """By ecosystem, in its fixed order, then by name."""
+    return deps.orderBy(eco_ord(F.col("ecosystem")), "name")
+
+
 def inventory(files: DataFrame) -> DataFrame:
     return merge_inventory(parse_manifests(files))

@@ -8,12 +8,11 @@ group of copies needs no special care because no key is grouped on.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +31,8 @@ from tamis.sources.small import small_table
 # A Unicode noncharacter that marks where matches start. A text that holds it
 # gets a longer marker of its own.
 MARK = "﷐"
-SNIPPET_CHARS = 300
 # The compiled patterns are broadcast; their size is known on the driver.
 BROADCAST_LIMIT_BYTES = 256 << 20
-# Up to this many literals the look-up is one chain of built-in substring
-# tests; beyond it one automaton pass over the text is cheaper.
-CHAIN_LIMIT = 64
 
 PATTERN_FIELDS = {
     "pat_ord": "int",
@@ -83,6 +78,7 @@ class CompiledRules:
         # Per pattern the literal that decides whether it can match at all;
         # None when there is none.
         self.anchors: list[tuple[str, ...] | None] = []
+        self._checked = False
         for rule_ord, rule in enumerate(self.rules):
             self._add(rule_ord, rule)
 
@@ -99,15 +95,24 @@ class CompiledRules:
             return None
 
     def _constraints(self, rule: Rule) -> list[dict]:
-        out = []
-        for name, regex in rule.metavariable_regex.items():
-            try:
-                re.compile(regex)
-                out.append({"name": name, "regex": java_regex(regex)})
-            except re.error as e:
-                self._warn(rule, e)
-                out.append({"name": name, "regex": None})
-        return out
+        return [{"name": n, "regex": java_regex(r)} for n, r in rule.metavariable_regex.items()]
+
+    def _check_constraints(self, spark: SparkSession) -> None:
+        """Only the engine that runs them knows which regexes are valid. A rule
+        with one that is not finds nothing, and the others are not affected."""
+        if self._checked:
+            return
+        self._checked = True
+        compiler = spark._jvm.java.util.regex.Pattern
+        bad: dict[str, str] = {}
+        for row in self.rows:
+            for c in row.get("constraints") or []:
+                try:
+                    compiler.compile(c["regex"])
+                except (Py4JJavaError, IllegalArgumentException) as e:
+                    bad[row["rule_id"]] = f"unusable constraint on {c['name']}: {str(e).splitlines()[0]}"
+                    c["regex"] = None
+        self.warnings += [f"rule {rid}: {why}; it finds nothing" for rid, why in bad.items()]
 
     def _add(self, rule_ord: int, rule: Rule) -> None:
         inside = self._compiled(rule, rule.pattern_inside)
@@ -171,6 +176,7 @@ class CompiledRules:
         return any(r.metavariable_regex or r.metavariable_comparison for r in self.rules)
 
     def pattern_table(self, spark: SparkSession) -> DataFrame:
+        self._check_constraints(spark)
         return small_table(spark, self.rows, _fields(PATTERN_FIELDS))
 
     def rule_table(self, spark: SparkSession) -> DataFrame:
@@ -221,67 +227,13 @@ def _chain(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     return F.array_compact(F.array(*ords)) if ords else F.array().cast("array<int>")
 
 
-def _automaton(compiled: CompiledRules, text: Column, lang: Column) -> Column:
-    """One pass over each text for all literals (Arrow batches). Python only
-    sees the text and its language and only returns ordinals."""
-    literals: dict[str, list[int]] = {}
-    always: list[int] = []
-    by_language: dict[str, set[int]] = {}
-    for row, anchor in zip(compiled.rows, compiled.anchors):
-        for name in row["languages"]:
-            by_language.setdefault(name, set()).add(row["pat_ord"])
-        # Very short literals are in almost every text: no use looking for them.
-        if anchor and min(map(len, anchor)) >= 3:
-            for a in anchor:
-                literals.setdefault(a, []).append(row["pat_ord"])
-        else:
-            always.append(row["pat_ord"])
-
-    @F.pandas_udf("array<int>")
-    def look_up(
-        batches: Iterator[tuple[pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for lit, ords in literals.items():
-            automaton.add_word(lit, ords)
-        if literals:
-            automaton.make_automaton()
-        every = by_language.get("generic", set())
-
-        def one(text: str | None, lang: str) -> list[int]:
-            if text is None:
-                return []
-            found = set(always)
-            if literals:
-                for _, ords in automaton.iter(text):
-                    found.update(ords)
-            return sorted(found & (by_language.get(lang, set()) | every))
-
-        for texts, langs in batches:
-            yield pd.Series([one(t, n) for t, n in zip(texts, langs)])
-
-    return look_up(text, lang)
-
-
 def candidate_ordinals(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     """Ordinals of the patterns that apply to the language and whose rarest
-    literal occurs in the text."""
-    n_literals = sum(len(a) for a in compiled.anchors if a)
-    if n_literals > CHAIN_LIMIT and _has_automaton():
-        return _automaton(compiled, text, lang)
+    literal occurs in the text. A literal that several patterns share is looked
+    for once: equal tests are common subexpressions of the generated code."""
     return _chain(compiled, text, lang)
 
 
-def _has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
 def candidate_rules(files: DataFrame, rules: RuleSet | list[Rule]) -> DataFrame:
     """(path, rule_ord, rule_id) for every rule with an index literal in the
     lower-cased text, and for every rule that has no such literal."""
@@ -341,7 +293,7 @@ def _marked_lines(marked: Column, mark: Column) -> Column:
 
 
 def _start(x: Column, mark: Column, col: Column) -> Column:
-    snippet = F.substring(trim_ws(F.replace(x["t"], mark, F.lit(""))), 1, SNIPPET_CHARS)
+    snippet = trim_ws(F.replace(x["t"], mark, F.lit("")))
     return F.struct(
         x["line"].alias("line"), col.cast("int").alias("col"), snippet.alias("snippet")
     )
@@ -477,7 +429,7 @@ def _flow_hits() -> Column:
         lines(text),
         lambda ls: F.transform(
             at,
-            lambda n: _hit(n, F.lit(0), F.substring(F.element_at(ls, n), 1, SNIPPET_CHARS)),
+            lambda n: _hit(n, F.lit(0), F.element_at(ls, n)),
         ),
     )
 
@@ -511,7 +463,12 @@ def _match_columns(needs: Needs) -> tuple[Column, Column, Column]:
     )
     hits = _pattern_hits(needs) if needs.patterns else None
     if needs.flows:
-        flow = F.when(is_flow & in_scope if needs.scope_flows else is_flow, _flow_hits())
+        # Nothing flows in a text without a sink, or with neither a source nor a
+        # function whose parameters may be one; folding is for the others.
+        starts = F.coalesce(F.regexp_instr(text, F.col("source")) > 0, F.lit(False))
+        functions = F.contains(text, F.lit("def")) | F.contains(text, F.lit("{"))
+        flows = is_flow & (F.regexp_instr(text, F.col("sink")) > 0) & (functions | starts)
+        flow = F.when(flows & in_scope if needs.scope_flows else flows, _flow_hits())
         hits = flow if hits is None else flow.otherwise(hits)
     return _mark_of(text), marked, hits
 

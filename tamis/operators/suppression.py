@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.globs import glob_regex, is_glob, relative_path
-from tamis.functions.text import basename
 from tamis.sources.small import small_table
 from tamis.sources.suppressions import Suppression
 
@@ -78,30 +77,25 @@ def flag_suppressed(
     )
 
 
-def _same_file_keys(path: Column, ends: str, is_end: str) -> Column:
-    """Keys under which two paths meet if one ends with the other: the same
-    file name, or a bare name that ends the other's file name."""
-    name = basename(path)
-    ends_of_name = F.when(
-        F.length(name) > 1,
-        F.transform(
-            F.sequence(F.lit(2), F.length(name)),
-            lambda i: F.concat(F.lit(ends), F.substring(name, i, F.length(name))),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    bare = F.when(~F.contains(path, F.lit("/")), F.concat(F.lit(is_end), path))
-    return F.array_compact(
-        F.concat(F.array(F.concat(F.lit("="), name), bare), ends_of_name)
+def _endings(path: Column) -> Column:
+    """All ends of a path, the whole of it first."""
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))),
+        lambda i: F.substring(path, i, F.length(path)),
     )
 
 
 def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings on changed lines. A file is the same when one path ends with
-    the other."""
-    left = findings.select("path", "line").distinct()
-    left = left.withColumn("key", F.explode(_same_file_keys(F.col("path"), "<", ">")))
-    right = changed.select(F.col("path").alias("file"), "line").distinct()
-    right = right.withColumn("key", F.explode(_same_file_keys(F.col("file"), ">", "<")))
-    same = F.endswith("path", F.col("file")) | F.endswith("file", F.col("path"))
-    hit = left.join(right, ["line", "key"]).filter(same).select("path", "line").distinct()
+    the other.
+
+    The ends of the distinct paths of one side meet the whole paths of the
+    other, so the join only makes true pairs; lines come in when these are known."""
+    places = findings.select("path", "line").distinct()
+    lines = changed.select(F.col("path").alias("file"), "line").distinct()
+    paths, files = places.select("path").distinct(), lines.select("file").distinct()
+    longer = paths.select("path", F.explode(_endings(F.col("path"))).alias("file")).join(files, "file")
+    shorter = files.select("file", F.explode(_endings(F.col("file"))).alias("path")).join(paths, "path")
+    same = longer.select("path", "file").union(shorter.select("path", "file")).distinct()
+    hit = places.join(same, "path").join(lines, ["file", "line"], "left_semi").select("path", "line").distinct()
     return findings.join(hit, ["path", "line"], "left_semi")

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from tamis.operators.matching import compile_rules
 from tamis.plans.scan import raw_findings
 from tamis.plans.settle import settled
-from tamis.sources.files import scannable
 
-# Up to this many changed files their keys are broadcast; with more of them a
-# plain scan of everything is cheaper than shuffling all texts.
-BROADCAST_KEYS = 2_000_000
+# Keys of changed files are broadcast up to this size, which is measured. More
+# of them are joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
 _SCANNED = "path string, content_hash bigint, run string, rules_hash string"
 _FINDINGS = (
     "rule_id string, path string, line int, snippet string, language string, col int, "
@@ -44,9 +43,12 @@ def rules_hash(rules, ignore_tokens: tuple[str, ...] = ()) -> str:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table, empty before the first run. A damaged one is an error."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -73,20 +75,22 @@ def incremental_findings(
     compiled = compile_rules(rules)
     version = rules_hash(compiled, ignore_tokens)
     run = uuid.uuid4().hex
-    files = scannable(files).withColumn("content_hash", content_hash())
+    files = files.withColumn("content_hash", content_hash())
     of_rules = F.col("rules_hash") == version
     scanned = _read(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
     stored = _read(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
     # The texts are read once to hash them, and once more where they changed.
     keys = settled(files.select("path", "content_hash"))
     hits, misses = split_by_cache(keys, scanned)
-    n_hits, n_misses = hits.count(), misses.count()
+    n_hits = hits.count()
+    n_misses, n_bytes = misses.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("path") + 64), F.lit(0))
+    ).first()
     todo = files
-    if n_hits and n_misses <= BROADCAST_KEYS:
-        # Only the keys move; the texts stay where they are read.
-        todo = files.join(F.broadcast(misses), ["path", "content_hash"], "left_semi")
-    elif n_hits:
-        n_hits, n_misses = 0, n_hits + n_misses
+    if n_hits:
+        # Where the keys are small only they move; the texts stay where they are read.
+        wanted = F.broadcast(misses) if n_bytes <= BROADCAST_BYTES else misses
+        todo = files.join(wanted, ["path", "content_hash"], "left_semi")
     if n_misses:
         fresh = raw_findings(todo, compiled, ignore_tokens, carry=("content_hash",))
         stamp = {"run": F.lit(run), "rules_hash": F.lit(version)}

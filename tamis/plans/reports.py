@@ -2,7 +2,8 @@
 
 A report is a DataFrame (order columns, text) that is sorted and written by
 all tasks; its part files, read in order, are the document. No report is ever
-put together in one row, one task or on the driver.
+put together in one row, one task or on the driver. Separators and totals need
+the findings several times; they are settled first, so the input is scanned once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import tamis
 from tamis.functions.severity import report_level, security_score
 from tamis.functions.text import xml_escape
 from tamis.operators.findings import FINDING_COLUMNS, ORDER_COLUMNS
+from tamis.plans.settle import settled
 
 TOOL = "tamis"
 _KEY = ("path", "line", *ORDER_COLUMNS)
@@ -56,6 +58,7 @@ def _sorted(parts: list[DataFrame]) -> DataFrame:
 
 def json_report(findings: DataFrame) -> DataFrame:
     """An array of findings, one per line."""
+    findings = settled(findings)
     key = F.struct(*_KEY)
     item = _separated(findings, key, _json_object(*FINDING_COLUMNS))
     return _sorted(
@@ -92,6 +95,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif_report(findings: DataFrame) -> DataFrame:
+    findings = settled(findings)
     text = lambda c: F.struct(F.col(c).alias("text"))
     key = F.struct(*_KEY)
     rules = sarif_rules(findings)
@@ -137,6 +141,7 @@ def junit_suites(findings: DataFrame) -> DataFrame:
 
 
 def junit_report(findings: DataFrame) -> DataFrame:
+    findings = settled(findings)
     total = findings.agg(F.count("*")).scalar()
     x = lambda c: xml_escape(F.col(c))
     suites = junit_suites(findings).select(
@@ -180,17 +185,19 @@ def junit_report(findings: DataFrame) -> DataFrame:
     )
 
 
-def finding_line() -> Column:
-    """Display form of a finding."""
-    return F.format_string("%s:%d [%s] %s - %s", "path", "line", "severity", "rule_id", "snippet")
+def finding_line(width: int = 0) -> Column:
+    """Display form of a finding; ``width`` of 0 shows whole snippets."""
+    snippet = F.left(F.col("snippet"), F.lit(width)) if width else F.col("snippet")
+    return F.format_string("%s:%d [%s] %s - %s", "path", "line", "severity", "rule_id", snippet)
 
 
-def table_report(findings: DataFrame) -> DataFrame:
+def table_report(findings: DataFrame, width: int = 0) -> DataFrame:
+    findings = settled(findings)
     total = findings.agg(F.count("*")).scalar()
     head = F.when(total == 0, f"{TOOL}: no findings").otherwise(
         F.concat(F.lit(f"{TOOL}: "), total, F.lit(" finding(s)"))
     )
-    return _sorted([_fixed(findings, 0, head), _lines(findings, 1, 0, finding_line())])
+    return _sorted([_fixed(findings, 0, head), _lines(findings, 1, 0, finding_line(width))])
 
 
 def evidence_lines(findings: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from tamis.operators.findings import (
 from tamis.operators.matching import candidate_pairs, compile_rules, evaluate_pairs
 from tamis.operators.suppression import flag_suppressed, on_changed_lines
 from tamis.sources.diffs import git_diff
-from tamis.sources.files import allowed, from_path, scannable
+from tamis.sources.files import allowed, from_path
 from tamis.sources.rules import load_rule_set
 from tamis.sources.suppressions import find_suppressions, live_suppressions
 
@@ -148,7 +148,7 @@ def scan_files(
     if min_severity is not None:
         parse_floor(min_severity)
     compiled = compile_rules(rules)
-    found = raw_findings(scannable(files), compiled, ignore_tokens)
+    found = raw_findings(files, compiled, ignore_tokens)
     judged = judge(
         found, min_severity=min_severity, suppressions=suppressions, root=root, changed=changed
     )
@@ -178,7 +178,7 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanReport:
         cached = incremental_findings(files, compiled, options.cache_dir, options.ignore_tokens)
         found, n_hits = cached.findings, cached.cache_hits
     else:
-        found, n_hits = raw_findings(scannable(files), compiled, options.ignore_tokens), 0
+        found, n_hits = raw_findings(files, compiled, options.ignore_tokens), 0
     judged = judge(
         found,
         min_severity=options.min_severity,

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions.globs import relative_path
-from tamis.operators.inventory import inventory, manifest_order
+from tamis.operators.inventory import MANIFESTS, inventory, manifest_order
 from tamis.operators.licences import (
     is_problem,
     licence_findings,
     licence_line,
     licence_order,
-    licence_summary,
 )
 from tamis.operators.lookalikes import lookalikes, suspect_line, suspect_order
 from tamis.sources.files import from_path
@@ -21,7 +20,7 @@ from tamis.sources.policy import load_policy
 
 def collect_inventory(spark: SparkSession, root: str) -> DataFrame:
     """The merged inventory with manifest paths relative to ``root``."""
-    files = from_path(spark, root).filter(manifest_order(F.col("path")).isNotNull())
+    files = from_path(spark, root, names=MANIFESTS).filter(manifest_order(F.col("path")).isNotNull())
     rel = F.coalesce(relative_path(F.col("path"), root), F.col("path"))
     return inventory(files.withColumn("path", rel))
 
@@ -48,13 +47,3 @@ def lookalike_text(suspects: DataFrame) -> DataFrame:
     return suspect_order(suspects).select(
         F.concat(F.col("ecosystem"), F.lit(": "), suspect_line()).alias("text")
     )
-
-
-__all__ = [
-    "collect_inventory",
-    "licence_report",
-    "licence_summary",
-    "licence_text",
-    "lookalike_report",
-    "lookalike_text",
-]

@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions.globs import path_allowed
-from tamis.functions.language import GENERIC, language_or_generic
+from tamis.functions.language import language_or_generic
 from tamis.sources.gitignore import not_git_ignored, read_ignore_files
 from tamis.sources.small import small_table
 
-# Fixed value: bigger files of unknown language are not read as text.
-GENERIC_LIMIT_BYTES = 10_000_000
-
 
 def from_table(df: DataFrame, path: Column, text: Column, *keep: str) -> DataFrame:
     """Any table with a text column as a file relation."""
@@ -35,12 +32,6 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def scannable(files: DataFrame) -> DataFrame:
-    """Drops oversized files of unknown language. Unreadable files have no text
-    and so no matches; they need no test."""
-    return files.filter((F.col("n_bytes") <= GENERIC_LIMIT_BYTES) | (F.col("lang") != GENERIC))
-
-
 def allowed(files: DataFrame, root: str, include: tuple = (), exclude: tuple = ()) -> DataFrame:
     return files.filter(path_allowed(F.col("path"), root, tuple(include), tuple(exclude)))
 
@@ -82,11 +73,13 @@ def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def from_path(spark: SparkSession, root: str) -> DataFrame:
+def from_path(spark: SparkSession, root: str, names: tuple[str, ...] = ()) -> DataFrame:
     """All files below ``root``, hidden ones too, without those that
     ``.gitignore`` files exclude. Column ``text`` is null where the content is
     not UTF-8 (such files still count as seen).
 
+    With ``names`` only files so called are listed, before any content is read.
+
     Spark lists and reads the tree in parallel. It leaves hidden files out, so
     on a mounted file system these few are named one by one and read by the
     tasks."""
@@ -94,18 +87,17 @@ def from_path(spark: SparkSession, root: str) -> DataFrame:
     mounted = "://" not in root
     if mounted and not local.exists():
         raise FileNotFoundError(f"path does not exist: {root}")
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "content", "length")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if names and (not mounted or local.is_dir()):
+        reader = reader.option("pathGlobFilter", "{" + ",".join(names) + "}")
+    raw = reader.load(root).select("path", "content", "length")
     raw = raw.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     base = str(local.resolve()) if mounted else root
     if mounted and local.is_dir():
         hidden = _hidden_files(Path(base))
-        if hidden:
-            raw = raw.unionByName(_read_hidden(spark, hidden))
+        wanted = [h for h in hidden if not names or os.path.basename(h) in names]
+        if wanted:
+            raw = raw.unionByName(_read_hidden(spark, wanted))
         patterns = read_ignore_files([h for h in hidden if h.endswith("/.gitignore")])
         raw = not_git_ignored(raw, patterns)
     files = raw.select(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tamis.operators.findings import FINDING_COLUMNS, IGNORE_TOKEN, ORDER_COLUMNS
 from tamis.operators.matching import candidate_pairs, compile_rules, evaluate_pairs
 from tamis.plans.scan import raw_findings
-from tamis.sources.files import from_table, scannable
+from tamis.sources.files import from_table
 
 
 def text_stream(
@@ -29,7 +29,7 @@ def match_stream(files: DataFrame, rules) -> DataFrame:
     """Hits of a stream of files. Matching keeps no state, so this appends
     without a watermark; hits of several patterns of one rule may repeat."""
     compiled = compile_rules(rules)
-    rows = scannable(files).select("path", "text", "lang")
+    rows = files.select("path", "text", "lang")
     return evaluate_pairs(candidate_pairs(rows, compiled), compiled)
 
 
@@ -45,7 +45,7 @@ def scan_stream(
     compiled = compile_rules(rules)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        found = raw_findings(scannable(batch), compiled, ignore_tokens)
+        found = raw_findings(batch, compiled, ignore_tokens)
         (
             found.filter("not ignored")
             .select(*FINDING_COLUMNS, *ORDER_COLUMNS, F.lit(batch_id).alias("batch_id"))

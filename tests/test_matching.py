@@ -116,11 +116,8 @@ def random_case(rng):
     return patterns, [(f"{i}.txt", text(rng.randint(0, 40))) for i in range(40)]
 
 
-@pytest.mark.parametrize("automaton", [False, True])
-def test_equals_brute_force(files, automaton, monkeypatch):
-    """Spark's matches against the plain regexes over all pairs, with either
-    candidate look-up."""
-    monkeypatch.setattr(M, "CHAIN_LIMIT", -1 if automaton else 10_000)
+def test_equals_brute_force(files):
+    """Spark's matches against the plain regexes over all pairs."""
     patterns, texts = random_case(random.Random(7))
     want = []
     for i, p in enumerate(patterns):
@@ -156,3 +153,25 @@ def test_same_result_for_any_partitioning(files, spark):
     one = rows(raw_findings(f.coalesce(1), rules), *[F.col(c) for c in ("path", "rule_id", "line", "col")])
     many = rows(raw_findings(f.repartition(7), rules), *[F.col(c) for c in ("path", "rule_id", "line", "col")])
     assert one == many
+
+
+def test_constraint_language(files):
+    """Unicode and POSIX classes, the very end, {,n}; a broken regex costs its rule only."""
+    f = files(("a.txt", "call(été)\ncall(abc)\ncall(abcdefgh)"))
+    cases = {
+        r"^\p{L}+$": [1, 2, 3], r"abc\z": [2], "^[[:alpha:]]+$": [2, 3], "^(?P<q>[a-z]){,3}$": [2],
+        "(?P<q>a)(?P=q)": [], "[": [], r"^[^[:^lower:]]+$": [2, 3],
+    }
+    rules = [rule(f"r{i}", "call($X)", metavariable_regex={"X": r}) for i, r in enumerate(cases)]
+    compiled = compile_rules(rules)
+    found = rows(find_matches(f, compiled), "rule_id", "line")
+    assert found == sorted((f"r{i}", n) for i, lines in enumerate(cases.values()) for n in lines)
+    assert [w.split(":")[0] for w in compiled.warnings] == ["rule r4", "rule r5"]
+
+
+def test_large_files_and_long_lines_are_kept(files):
+    big = "x" * 10_000_010 + " token(a)"
+    found = rows(find_matches(files(("big.unknown", big)), [rule("r", "token($X)")]), "path", "line", "col")
+    assert found == [("big.unknown", 1, 10_000_011)]
+    line = "token(" + "y" * 1000 + ")"
+    assert find_matches(files(("a.txt", line)), [rule("r", "token($X)")]).first()["snippet"] == line

@@ -183,14 +183,14 @@ def test_scan_of_a_directory(spark, tmp_path):
     report = scan(spark, ScanOptions(path=root, rules=str(tmp_path / "rules")))
     got = sorted(r.path.removeprefix(root + "/") for r in report.rows().collect())
     assert got == sorted([
-        "a b%2B+.txt", ".env", ".github/w.yml", ".github/.deep/_x", "big.py", "keep.log", "sub/top.txt", "b.tmp",
+        "a b%2B+.txt", ".env", ".github/w.yml", ".github/.deep/_x", "big.odd", "big.py", "keep.log", "sub/top.txt", "b.tmp",
     ])
     m = report.metrics().first()
-    # unreadable and oversized files count as seen
-    assert m.files == len(got) + 2 + 2 and m.rules == 1
+    # unreadable files count as seen
+    assert m.files == len(got) + 1 + 2 and m.rules == 1
     put("r/.tamis-suppressions.yml", "- {rule: k, path: '.github/**', reason: x}\n- {rule: k, reason: y, expires: 2020-01-01}\n")
     report = scan(spark, ScanOptions(path=root, rules=str(tmp_path / "rules"), exclude=("*.py",), cache_dir=str(tmp_path / "cache")))
-    assert report.findings.count() == 5 and "expired" in report.warnings[0]
+    assert report.findings.count() == 6 and "expired" in report.warnings[0]
     assert report.metrics().first().suppressed == 2
     with pytest.raises(FileNotFoundError):
         scan(spark, ScanOptions(path=str(tmp_path / "none")))

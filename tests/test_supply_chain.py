@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.operators.inventory import inventory, parse_manifests
+from tamis.operators.inventory import inventory, parse_manifests, unreadable_manifests
 from tamis.operators.licences import licence_findings, licence_order, licence_summary
 from tamis.operators.lookalikes import edit_distance, known_names, lookalikes, suspect_order
 from tamis.plans.supply_chain import collect_inventory, licence_report
@@ -213,3 +213,12 @@ def test_directory(spark, tmp_path):
     assert [(r.name, r.manifest) for r in rows] == [("flask", "sub/requirements.txt"), ("serde", "Cargo.toml")]
     found, problems = licence_report(spark, str(tmp_path))
     assert found.count() == 2 and problems.first().package == "serde"
+
+
+def test_repeated_keys_and_unreadable_manifests(files):
+    lock = '{"name": "x", "name": "y", "packages": {"": {"dependencies": {"a": "1"}}, "node_modules/a": {"version": "0"}, "node_modules/a": {"version": "1"}}}'
+    composer = '{"packages": [{"name": "p/q", "version": "1", "version": "2"}]}'
+    f = files(("package-lock.json", lock), ("x/composer.lock", composer), ("y/Cargo.lock", "= bad"), ("z/composer.lock", "{"))
+    found = {(r["name"], r["version"], r["direct"]) for r in inventory(f).collect()}
+    assert found == {("a", "1", True), ("p/q", "2", True)}
+    assert sorted(r[0] for r in unreadable_manifests(f).collect()) == ["y/Cargo.lock", "z/composer.lock"]
