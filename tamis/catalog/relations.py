@@ -59,6 +59,20 @@ FUNC_TEXT = _NL.join(
     ]
 )
 
+BRACE_PATH = f"'lib/' || {_ROW_KEY} || '.js'"
+# The same in a language whose functions are told by braces.
+BRACE_TEXT = _NL.join(
+    [
+        "'function load' || l_partkey || '(name) {'",
+        "CASE WHEN l_linestatus = 'F' THEN '  return name + \"s\";' ELSE '  return \"s\";' END",
+        "'}'",
+        "'x = load' || l_partkey || '();'",
+        "CASE WHEN l_returnflag = 'A' THEN 'x = escape(x);' ELSE ';' END",
+        "'run_cmd(x);'",
+        "''",
+    ]
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,6 +102,10 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(table(spark, sf_dir, "lineitem"), FUNC_PATH, FUNC_TEXT)
 
 
+def brace_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(table(spark, sf_dir, "lineitem"), BRACE_PATH, BRACE_TEXT)
+
+
 def sql_files(path: str, text: str, source: str, lang: str = "'generic'", keep: str = "") -> str:
     return f"(SELECT {keep}{path} AS path, {text} AS text, {lang} AS language FROM {source})"
 

@@ -115,6 +115,10 @@ FLOW = Rule(
     "flow-command", _GENERIC, "ERROR", "input reaches a command",
     flow=Flow(("read_input(...)",), ("run_cmd(...)",), ("escape(...)",)),
 )
+BRACE_FLOW = Rule(
+    "flow-brace-function", ("javascript",), "ERROR", "result reaches a command",
+    flow=Flow(("read_input(...)",), ("run_cmd(...)",), ("escape(...)",)),
+)
 FUNCTION_FLOW = Rule(
     "flow-function", ("python",), "ERROR", "result reaches a command",
     flow=Flow(("read_input(...)",), ("run_cmd(...)",), ("escape(...)",)),

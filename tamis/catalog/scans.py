@@ -270,6 +270,15 @@ def taint_function_summary(spark: SparkSession, d: str) -> DataFrame:
     return _found(R.functions(spark, d), [C.FUNCTION_FLOW]).select("path", "line")
 
 
+@query(
+    "taint_brace_functions",
+    f"""SELECT DISTINCT {R.BRACE_PATH} AS path, 6 AS line FROM lineitem
+    WHERE l_linestatus = 'F' AND l_returnflag <> 'A'""",
+)
+def taint_brace_functions(spark: SparkSession, d: str) -> DataFrame:
+    return _found(R.brace_functions(spark, d), [C.BRACE_FLOW]).select("path", "line")
+
+
 # -- filters -----------------------------------------------------------------
 
 
