@@ -87,6 +87,28 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 _ANCHORS = "anchor bigint, context bigint, id bigint, rid bigint, start bigint, n int"
 
 
+def _known_repeats(columns: list[np.ndarray]) -> None:
+    """Marks, by a negative number of windows, the rows of a batch whose context
+    an earlier row of the batch has. They are settled and need not meet the
+    others of their anchor, so copies do not gather: their anchor becomes a
+    random one."""
+    anchor, context, ids, rids, start, n = columns
+    mixed = (anchor ^ (context * np.int64(0x2545F4914F6CDD1D))).view(np.uint64)
+    order = np.argsort(mixed)
+    equal = mixed[order][1:] == mixed[order][:-1]
+    often = np.zeros(len(order), bool)
+    often[1:] |= equal
+    often[:-1] |= equal
+    at = order[often]
+    at = at[np.lexsort((start[at], rids[at], ids[at], context[at], anchor[at]))]
+    a, b = at[:-1], at[1:]
+    same = (anchor[a] == anchor[b]) & (context[a] == context[b])
+    same &= (ids[a] != ids[b]) | (rids[a] != rids[b]) | (start[a] != start[b])
+    known = b[same]
+    n[known] *= -1
+    anchor[known] = (_both(ids[known].view(np.uint64), start[known].view(np.uint64)) >> np.uint64(16)).astype(np.int64)
+
+
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """A row for each anchor of each document."""
 
@@ -116,7 +138,8 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     out.append(rows_of(pieces))
             names = [x.split()[0] for x in _ANCHORS.split(", ")]
             types = [pa.int64()] * 5 + [pa.int32()]
-            columns = [np.concatenate(c) for c in zip(*out)] or [[]] * 6
+            columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64) for _ in range(6)]
+            _known_repeats(columns)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         return convert
@@ -137,10 +160,15 @@ def _repeats(found: DataFrame, length: int) -> DataFrame:
         def rows(table: np.ndarray, first: bool) -> pa.RecordBatch:
             anchor = pa.array(table[:, 0] if first else [None] * len(table), pa.int64())
             numbers = [pa.array(table[:, k]) for k in (2, 3, 4)]
-            return pa.RecordBatch.from_arrays([anchor, *numbers, pa.array(table[:, 5])], ["anchor", "id", "rid", "start", "n"])
+            n = pa.array(np.abs(table[:, 5]))
+            return pa.RecordBatch.from_arrays([anchor, *numbers, n], ["anchor", "id", "rid", "start", "n"])
 
         for batch in batches:
             table = np.column_stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+            known = table[:, 5] < 0
+            if known.any():
+                yield rows(table[known], first=False)
+                table = table[~known]
             if not len(table):
                 continue
             lead = table if before is None else np.vstack([before, table])
