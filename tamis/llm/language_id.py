@@ -8,6 +8,7 @@ text that is further from it than texts of that language ever were is rejected.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +22,15 @@ from tamis.llm.tables import chunks, per_batch, written
 FEATURES = 1 << 14
 MAX_MODEL_BYTES = 128 << 20
 _LETTER = r"\p{L}"
+_OTHER = re.compile(r"[\W\d_]+")
 _PART = 1 << 20
 
 
 def features(text: str, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of 1 to ``n`` characters that occur in the whole text, and
-    how often. Long texts are counted part by part."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    """Hashed n-grams of 1 to ``n`` letters and gaps that occur in the whole
+    text, and how often. What is no letter is a gap. Long texts are counted part
+    by part."""
+    points = np.frombuffer(_OTHER.sub(" ", text.lower()).encode("utf-32-le", "replace"), np.uint32)
     counts = np.zeros(FEATURES, np.int64)
     for at in range(0, len(points), _PART):
         part = points[at : at + _PART + n - 1]
@@ -76,20 +79,27 @@ class LanguageModel:
         return self.languages[at], score, bool(score < self.floors[at])
 
 
-def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 4, slack: float = 0.5) -> LanguageModel | None:
+def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 4, slack: float = 0.3) -> LanguageModel | None:
     """A model from (text, lang), or None where nothing can be learned.
 
-    Fitted on a bounded sample: of each language the ``per_language`` texts of
-    smallest hash that have a letter. A language's sample is one small group;
+    Fitted on a bounded sample: of each language the ``per_language`` different
+    texts of smallest hash that have a letter. A language's sample is one small group;
     the model has ``clusters`` centroids of 64 KB per language and may not
     exceed MAX_MODEL_BYTES. The rejection floor of a language is ``slack`` times
     the lowest cosine of its sample."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")
     hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"))
+    # the last hash to take of each language, found without the texts; equal texts count once
     order = Window.partitionBy("lang").orderBy("h")
+    first = hashed.select("lang", "h").distinct().withColumn("r", F.row_number().over(order))
+    limits = first.where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h")).collect()
+    if len(limits) * clusters * FEATURES * 4 > MAX_MODEL_BYTES:
+        raise ValueError("more languages than the model may hold: is lang a column of languages?")
+    if not limits:
+        return None
+    last = F.create_map(*(F.lit(x) for r in limits for x in r))[F.col("lang")]
     sample = written(
-        hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "text"),
-        "language-sample",
+        hashed.where(F.col("h") <= last).dropDuplicates(["lang", "h"]).select("lang", "text"), "language-sample"
     )
 
     def make():
@@ -103,8 +113,6 @@ def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 4, slack:
         return convert
 
     n = sample.count()
-    if not n:
-        return None
     idf = np.full(FEATURES, np.log(1 + n) + 1)
     spread = per_batch(sample.select("text"), "feature bigint, n bigint", make)
     for feature, seen in spread.groupBy("feature").agg(F.sum("n")).collect():  # at most FEATURES rows
@@ -119,8 +127,6 @@ def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 4, slack:
         floor = slack * float((rows @ centres.T).max(axis=1).min())
         return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": floor, "centre": [c.tobytes() for c in centres]})
 
-    if sample.select("lang").distinct().count() * clusters * FEATURES * 4 > MAX_MODEL_BYTES:
-        raise ValueError("more languages than the model may hold: is lang a column of languages?")
     found = sample.groupBy("lang").applyInPandas(train, "lang string, floor double, centre binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
     centroids = np.array([np.frombuffer(r["centre"], np.float32) for r in found]).T
