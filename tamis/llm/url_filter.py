@@ -74,21 +74,20 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(list(LONG_SUFFIXES)), three).otherwise(two)
 
 
-def _shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
-    """``children`` (key, parent, n, bad) with the posterior's a and b and its
-    mean. ``parents`` has the mean to shrink to. The weight of the prior is that
-    of a beta-binomial whose variance between siblings is the one found."""
-    joined = children.join(parents.select(parent, F.col("mean").alias("prior")), parent)
+def _shrunk(siblings: DataFrame, *keys: str) -> DataFrame:
+    """``siblings`` (keys, n, bad and the mean to shrink to, ``prior``) with the
+    posterior's a and b and its mean. The weight of the prior is that of a
+    beta-binomial whose variance between siblings is the one found."""
     spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2))
     noise = F.sum(F.col("prior") * (1 - F.col("prior")))
     size = F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior")))
     # E[spread] = noise + (size - noise) / (weight + 1), siblings of all parents together
-    found, noise_of, size_of = joined.agg(spread, noise, size).first()
+    found, noise_of, size_of = siblings.agg(spread, noise, size).first()
     weight = MAX_WEIGHT
     if found is not None and found > noise_of:
         weight = min(max((size_of - noise_of) / (found - noise_of) - 1, MIN_WEIGHT), MAX_WEIGHT)
     a, b = F.col("bad") + weight * F.col("prior"), F.col("n") - F.col("bad") + weight * (1 - F.col("prior"))
-    return joined.select(key, parent, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+    return siblings.select(*keys, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
 
 
 def reputations(pages: DataFrame, z: float = 1.645) -> DataFrame:
@@ -103,11 +102,11 @@ def reputations(pages: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = written(hosts, "hosts").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = total(hosts, "domain", "suffix")
-    suffixes = total(domains, "suffix").withColumn("all", F.lit(1))
-    everything = total(suffixes, "all").select("all", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"))
-    suffix = _shrunk(suffixes, everything, "suffix", "all")
-    domain = _shrunk(domains, suffix, "domain", "suffix")
-    host = _shrunk(hosts.drop("suffix"), domain, "host", "domain")
+    n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    suffix = _shrunk(total(hosts, "suffix").withColumn("prior", F.lit((bad + 0.5) / (n + 1))), "suffix")
+    prior = lambda parents, key: parents.select(key, F.col("mean").alias("prior"))
+    domain = _shrunk(domains.join(prior(suffix, "suffix"), "suffix"), "domain")
+    host = _shrunk(hosts.join(prior(domain, "domain"), "domain"), "host")
     a, b = F.col("a"), F.col("b")
     sd = F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
     return host.select("host", "mean", (F.col("mean") - z * sd).alias("low"), (F.col("mean") + z * sd).alias("high"))
