@@ -513,7 +513,7 @@ def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]
     ecosystem = F.element_at(
         F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base
     )
-    failed = is_json & F.try_parse_json("json").isNull()
+    failed = is_json & F.try_parse_json("text").isNull()  # from text alone: one pass with the TOML
     compact = _compact_json(F.when(failed, text).otherwise(""))
     return as_json, compact, _in_order(deps, repeats), ecosystem
 
