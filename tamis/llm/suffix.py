@@ -112,22 +112,29 @@ def _known_repeats(columns: list[np.ndarray]) -> None:
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """A row for each anchor of each document."""
 
-    def make():
-        def rows_of(pieces: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
-            ends = np.cumsum([len(x[3]) for x in pieces])
-            data = np.frombuffer(b"".join(x[3] for x in pieces), np.uint8)
-            anchor, context, first, count = anchors(data, ends, length)
-            segment = np.searchsorted(ends, first, side="right")
-            ids, rids, base = (np.array([x[k] for x in pieces], np.int64)[segment] for k in range(3))
-            begin = np.concatenate([[0], ends[:-1]])[segment]
-            return [anchor.astype(np.int64), context.view(np.int64), ids, rids, first - begin + base, count.astype(np.int32)]
+    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+    types = [pa.int64()] * 5 + [pa.int32()]
+
+    def rows_of(pieces: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
+        ends = np.cumsum([len(x[3]) for x in pieces])
+        data = np.frombuffer(b"".join(x[3] for x in pieces), np.uint8)
+        anchor, context, first, count = anchors(data, ends, length)
+        segment = np.searchsorted(ends, first, side="right")
+        ids, rids, base = (np.array([x[k] for x in pieces], np.int64)[segment] for k in range(3))
+        begin = np.concatenate([[0], ends[:-1]])[segment]
+        return [anchor.astype(np.int64), context.view(np.int64), ids, rids, first - begin + base, count.astype(np.int32)]
+
+    def made(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*out)]
+        _known_repeats(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list[np.ndarray]] = []
-            for part in chunks(batch, "text", CHUNK):
-                pieces, size = [], 0
-                for i, rid, text in zip(part["id"].to_pylist(), part["rid"].to_pylist(), part["text"].to_pylist()):
-                    raw = (text or "").encode()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 4 * CHUNK):
+                out, pieces, size = [], [], 0
+                for i, rid, text in zip(part["id"].to_pylist(), part["rid"].to_pylist(), part["text"]):
+                    raw = (text.as_py() or "").encode()
                     for at in range(0, len(raw) - length + 1, CHUNK):  # windows that start in this piece
                         pieces.append((i, rid, at, raw[at : at + CHUNK + length - 1]))
                         size += len(pieces[-1][3])
@@ -136,15 +143,10 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                             pieces, size = [], 0
                 if pieces:
                     out.append(rows_of(pieces))
-            names = [x.split()[0] for x in _ANCHORS.split(", ")]
-            types = [pa.int64()] * 5 + [pa.int32()]
-            columns = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64) for _ in range(6)]
-            _known_repeats(columns)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-        return convert
+                if out:
+                    yield made(out)
 
-    return per_batch(docs, _ANCHORS, make)
+    return docs.mapInArrow(run, _ANCHORS)
 
 
 def _repeats(found: DataFrame, length: int) -> DataFrame:
