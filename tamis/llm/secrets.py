@@ -42,9 +42,18 @@ BASE_RULES = (
     SecretRule("access", "AKIA[A-Z0-9]+", least=20),
     SecretRule("hex", "[0-9a-f]+", least=24),
 )
+# A key goes with its body and END line. Without one, armour headers and runs of
+# base64 go, with line breaks (escaped ones too) and the word a last one leads to.
+# Loops over groups have bounds, as Java recurses in them.
+_LABEL = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_RUN = "[ \\t\\r\\n\\\\]+[A-Za-z0-9+/=]{20,}[A-Za-z0-9+/=\\r\\n\\\\]*"
+PRIVATE_KEY = (
+    f"-----BEGIN {_LABEL}(?:[^-]*(?:-{{1,4}}[^-]+){{0,99}}-----END {_LABEL}"
+    "|(?:[ \\t\\r\\n]+[A-Za-z][A-Za-z-]*: [^\\n]*){0,20}" + f"(?:{_RUN}){{0,50}}" * 4 + ")"
+)
 RULES = (
     *BASE_RULES,
-    SecretRule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("private_key", PRIVATE_KEY),
     SecretRule("github", "gh[pousr]_[A-Za-z0-9]+", least=40),
     SecretRule("slack", "xox[abprs]-[A-Za-z0-9-]+", least=15),
 )
