@@ -9,7 +9,7 @@ expression, and rules without mandatory trigrams are run on all texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser
@@ -170,8 +170,9 @@ def candidates(index: DataFrame, queries: Sequence[Query], vocabulary: Sequence[
     return masks.select("doc_id", found.alias("rules")).where(F.size("rules") > 0)
 
 
-def _running_sum(values: Column) -> Column:
-    """Sums of all prefixes, in steps so that no long array is copied per element."""
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Sums (or what ``step`` makes of two) of all prefixes from zero, in steps
+    so that no long array is copied per element."""
     empty = F.array().cast("array<int>")
 
     def fold(array: Column, start: Column) -> Column:
@@ -179,30 +180,34 @@ def _running_sum(values: Column) -> Column:
             array,
             F.struct(start.cast("int").alias("total"), empty.alias("seen")),
             lambda acc, x: F.struct(
-                (acc["total"] + x).alias("total"), F.array_append(acc["seen"], acc["total"] + x).alias("seen")
+                step(acc["total"], x).alias("total"), F.array_append(acc["seen"], step(acc["total"], x)).alias("seen")
             ),
             lambda acc: acc["seen"],
         )
 
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _STEP).cast("int")),
-        lambda i: F.slice(values, i * _STEP + 1, _STEP),
-    )
     return F.aggregate(
-        parts,
+        _parts(values),
         F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("seen")),
         lambda acc, part: F.struct(
-            (acc["total"] + F.aggregate(part, F.lit(0), lambda a, x: a + x)).alias("total"),
+            step(acc["total"], F.aggregate(part, F.lit(0), step)).alias("total"),
             F.array_append(acc["seen"], fold(part, acc["total"])).alias("seen"),
         ),
         lambda acc: F.flatten(acc["seen"]),
     )
 
 
+def _parts(values: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _STEP).cast("int")),
+        lambda i: F.slice(values, i * _STEP + 1, _STEP),
+    )
+
+
 def _spans(n: int, rule: SecretRule) -> Column:
     """Of the pieces between matches, the matches and the deciding groups: (start, order, end)."""
     before, size, kept = F.col(f"__before{n}"), F.col(f"__size{n}"), F.col(f"__kept{n}")
-    ends = _running_sum(F.zip_with(before, size, lambda b, s: F.coalesce(b, F.lit(0)) + F.coalesce(s, F.lit(0))))
+    both = F.zip_with(before, size, lambda b, s: F.coalesce(b, F.lit(0)) + F.coalesce(s, F.lit(0)))
+    ends = _running(both, lambda a, b: a + b)
     spans = F.zip_with(
         F.slice(ends, 1, F.size(size)),
         F.zip_with(size, kept, lambda s, k: F.struct(s.alias("s"), k.alias("k"))),
@@ -254,25 +259,45 @@ def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFr
     return docs.select(*columns, secrets.alias("secrets"))
 
 
-def _replaced(text: Column, rule: SecretRule) -> Column:
-    matches, groups = (F.regexp_extract_all(text, F.lit(rule.regex), F.lit(g)) for g in (0, rule.group))
-    shown = F.zip_with(
-        matches, groups, lambda m, g: F.when(F.length(g) >= rule.least, F.lit(f"[{rule.kind}]")).otherwise(m)
-    )
-    joined = F.zip_with(
-        F.split(text, rule.regex, -1), shown, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
-    )
-    return F.array_join(joined, "")
-
-
 def redact(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
     """``docs`` with every secret in text replaced by its kind in brackets; a
-    column n_chars is counted anew. Texts without secrets stay as they are."""
-    clean = scan_secrets(docs, rules)
+    column n_chars is counted anew. Texts without secrets stay as they are.
+
+    The spans of all rules are cut from the original text. Those that overlap
+    are one, of the kind of the first."""
     columns = [c for c in docs.columns if c != "secrets"]
-    for rule in rules:  # a step each: an expression of all would look at the text anew for every part of it
-        found = F.exists("secrets", lambda x: x["kind"] == rule.kind)
-        clean = clean.withColumn("text", F.when(found, _replaced(F.col("text"), rule)).otherwise(F.col("text")))
+    has = F.size("secrets") > 0
+    reach = _running(F.transform("secrets", lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    clean = scan_secrets(docs, rules).withColumn("__reach", F.when(has, reach))
+    # a cut starts where no span before reaches; the text kept before it starts where the last cut ended
+    ended = F.concat(F.array(F.lit(0)), F.col("__reach"))
+    cuts = F.zip_with(
+        "secrets", F.slice(ended, 1, F.size("secrets")), lambda x, e: F.struct(x["kind"], x["start"], e.alias("from"))
+    )
+    clean = clean.withColumn("__cuts", F.when(has, F.filter(cuts, lambda x: x["start"] >= x["from"])))
+    # in parts, as a substring is sought from the start of its text
+    parts = F.transform(
+        _parts(F.col("__cuts")),
+        lambda p: F.struct(
+            p.alias("cuts"),
+            p[0]["from"].alias("at"),
+            F.col("text").substr(p[0]["from"] + 1, F.element_at(p, -1)["start"] - p[0]["from"]).alias("text"),
+        ),
+    )
+    shown = F.transform(
+        parts,
+        lambda p: F.array_join(
+            F.transform(
+                p["cuts"],
+                lambda x: F.concat(
+                    p["text"].substr(x["from"] - p["at"] + 1, x["start"] - x["from"]), F.lit("["), x["kind"], F.lit("]")
+                ),
+            ),
+            "",
+        ),
+    )
+    rest = F.col("text").substr(F.element_at("__reach", -1) + 1, F.length("text"))
+    clean = clean.withColumn("text", F.when(has, F.concat(F.array_join(shown, ""), rest)).otherwise(F.col("text")))
     clean = clean.select(*columns)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else clean
 

@@ -38,3 +38,23 @@ def test_long_bodies(spark, end):
     found = redacted(spark, text)
     assert found.startswith("[private_key]") and not re.search(LINES[0][:20].replace("+", "."), found)
     assert found.count("done-and-over") == 9000
+
+
+def test_overlapping_secrets_go_whole(spark):
+    texts = {
+        "ghp_" + "0a" * 12 + "QRSTUVWXYZqr": "[github]",
+        "AKIA" + "A0" * 8 + "c0ffee" * 3: "[access]c0ffeec0ffeec0ffee",
+        "AKIA" + "A0" * 7 + "42" * 8 + "ab" * 6: "[access]",
+        "xoxb-1234567890-ghp_" + "a1" * 20 + "!": "[slack]!",
+        "é𝔘 " + "token=abcdefgh é " * 600 + "end": "é𝔘 " + "[assign] é " * 600 + "end",
+        "AKIA" + "A0" * 8 + ";" + "ab" * 12: "[access];[hex]",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert found == dict(enumerate(texts.values()))
+
+
+def test_key_that_holds_other_secrets(spark):
+    lines = ["0123456789abcdef" * 4, "AKIA" + "B7" * 30, LINES[0]]
+    text = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines])
+    assert redacted(spark, text + "; rest") == "[private_key]; rest"
