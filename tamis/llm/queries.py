@@ -10,6 +10,7 @@ from tamis.llm import (
     chat,
     decontaminate,
     language_id,
+    multiset_hash,
     packing,
     secrets,
     simhash,
@@ -74,6 +75,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES = {
         op8_top_k,
         op9_secret_scan,
         op10_decontaminate,
+        op11_multiset_hash,
     )
 }
 SQL: dict[str, str] = {
