@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import (
     chat,
     decontaminate,
     language_id,
+    merkle,
     multiset_hash,
     packing,
     secrets,
@@ -79,6 +80,15 @@ def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def tampered() -> Column:
+    """A third of the ids, by their checksum."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,9 +103,11 @@ QUERIES = {
         op9_secret_scan,
         op10_decontaminate,
         op11_multiset_hash,
+        op12_merkle,
     )
 }
 SQL: dict[str, str] = {
+    "op12_merkle": sql.merkle_manifest(),
     "op6_url_filter": sql.url_verdicts(),
     "op8_top_k": sql.TOP_K,
     "op9_secret_scan": sql.secret_spans(),

@@ -110,3 +110,54 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """Of the UTF-8 bytes, a bit after the other."""
+    return f"""xor(4294967295, list_reduce(list_transform(range(1, octet_length(encode({text})) + 1),
+        lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i - 1, 2)) AS BIGINT)),
+        lambda r, b: list_reduce(range(8), lambda q, i: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384) ELSE q >> 1 END, xor(r, b)),
+        4294967295))"""
+
+
+def merkle_manifest(levels: int = 5) -> str:
+    """``levels`` levels in each tree suffice for 8 ** levels leaves and as many languages."""
+
+    def part(value: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(*values: str) -> str:
+        return f"sha256({' || '.join(map(part, values))})"
+
+    fields = ("doc_id", "source", "lang", "n_chars")
+    low = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    steps, last = [], "leaves"
+    for i in range(2 * levels):
+        if i == levels:  # the subroots are the leaves of one more tree
+            steps.append(f"""
+subroots AS MATERIALIZED (SELECT tree AS lang, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place FROM {last}),
+below AS MATERIALIZED (SELECT f.id, f.doc_id, f.leaf, f.siblings, f.folded, s.digest AS subroot, s.tree, s.place
+    FROM {last}_f f JOIN subroots s ON s.lang = f.tree)""")
+            last = "subroots"
+        here, rows = f"l{i}", "below" if i == levels else f"{last}_f" if i else "leaves_f"
+        keep = ", subroot" if i >= levels else ""
+        steps.append(f"""
+{last}_n AS (SELECT tree, count(*) AS n FROM {last} GROUP BY tree),
+{here} AS MATERIALIZED (SELECT tree, CASE WHEN n > 1 THEN place // 8 ELSE place END AS place,
+    CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) ELSE min(digest) END AS digest
+    FROM {last} JOIN {last}_n USING (tree) GROUP BY tree, n, CASE WHEN n > 1 THEN place // 8 ELSE place END),
+{here}_f AS MATERIALIZED (SELECT f.id, f.doc_id, f.leaf{keep}, f.tree, CASE WHEN n > 1 THEN f.place // 8 ELSE f.place END AS place,
+    f.siblings || CASE WHEN n > 1 THEN coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE s.place <> f.place), '') ELSE '' END AS siblings,
+    CASE WHEN n > 1 THEN sha256(string_agg(CASE WHEN s.place = f.place THEN f.folded ELSE s.digest END, '' ORDER BY s.place)) ELSE f.folded END AS folded
+    FROM {rows} f JOIN {last}_n USING (tree) JOIN {last} s ON s.tree = f.tree AND s.place // 8 = f.place // 8
+    GROUP BY f.id, f.doc_id, f.leaf{keep}, f.tree, f.place, f.siblings, f.folded, n)""")
+        last = here
+    return f"""
+WITH hashed AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf(*fields, "text")} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(*fields, low)} ELSE {leaf(*fields, "text")} END AS folded FROM documents),
+placed AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+leaves AS MATERIALIZED (SELECT tree, place, leaf AS digest FROM placed),
+leaves_f AS MATERIALIZED (SELECT id, doc_id, leaf, tree, place, '' AS siblings, folded FROM placed),{",".join(steps)}
+SELECT f.doc_id, f.leaf, f.subroot, r.digest AS root, sha256(f.siblings) AS proof_sha256, f.folded AS folded_root,
+       f.folded = r.digest AS verified
+FROM {last}_f f, {last} r"""
