@@ -3,7 +3,8 @@
 import corpus_pipeline
 from tamis.llm import secrets
 from tamis.llm.tables import table
-from tests.llm.test_contracts import check_packing, contamination, fingerprint, reach, spans
+from tests.llm.test_contracts import check_packing, contamination, spans
+from tests.llm.test_near_copies import kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,9 +22,8 @@ def test_stages(spark, data, rows):
     gone = inputs["language"].keys() - inputs["near_duplicates"].keys()
     assert len(gone) <= 0.02 * len(inputs["language"])
 
-    prints = {i: fingerprint(d["text"]) for i, d in inputs["near_duplicates"].items()}
-    of = reach(prints.items())
-    assert inputs["benchmarks"].keys() == {i for i, p in prints.items() if of[p] == i}
+    first, _ = kept([(i, d["text"]) for i, d in inputs["near_duplicates"].items()])
+    assert inputs["benchmarks"].keys() == first
 
     items = [(b["item_id"], b["text"]) for b in rows("benchmark")]
     found = contamination([(i, d["text"]) for i, d in inputs["benchmarks"].items()], items)
@@ -49,3 +49,20 @@ def test_empty_documents(spark, data, tmp_path):
     for name in ("documents", "benchmark"):
         table(spark, data, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_odd_rows(spark, data, rows):
+    """What operators add takes no column of the documents away."""
+    prose = [r for r in rows("documents") if r["n_chars"] > 500][:40]
+    names = "doc_id long, text string, lang string, n_chars long, score double, rejected string, lang_pred string, n_words string, n_hit string, secrets string, contaminated string, row string"
+    make = lambda i, t, lang: (i, t, lang, len(t or ""), 7.5, "r", "p", "mine", "h", "s", "c", "k")
+    odd = [make(r["doc_id"], r["text"], r["lang"]) for r in prose] + [make(None, None, None), make(None, "", "en"), make(10**6, prose[0]["text"] + " token = abcdefgh", "en")]
+    odd += [odd[3], make(None, odd[5][1], None)]
+    docs = spark.createDataFrame(odd, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, data)
+        assert found.columns == docs.columns
+        kept_rows = found.collect()
+        assert kept_rows and all(r["score"] == 7.5 and r["n_words"] == "mine" and r["secrets"] == "s" for r in kept_rows)
+        docs = spark.createDataFrame(kept_rows, names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() >= len(kept_rows)
