@@ -9,6 +9,7 @@ expression, and rules without mandatory trigrams are run on all texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from re import _constants as op
@@ -44,12 +45,12 @@ BASE_RULES = (
 )
 # A key goes with its body and END line. Without one, armour headers and runs of
 # base64 go, with line breaks (escaped ones too) and the word a last one leads to.
-# Loops over groups have bounds, as Java recurses in them.
+# Loops over groups give nothing back ("*+"): Java runs these without recursion.
 _LABEL = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 _RUN = "[ \\t\\r\\n\\\\]+[A-Za-z0-9+/=]{20,}[A-Za-z0-9+/=\\r\\n\\\\]*"
 PRIVATE_KEY = (
-    f"-----BEGIN {_LABEL}(?:[^-]*(?:-{{1,4}}[^-]+){{0,99}}-----END {_LABEL}"
-    "|(?:[ \\t\\r\\n]+[A-Za-z][A-Za-z-]*: [^\\n]*){0,20}" + f"(?:{_RUN}){{0,50}}" * 4 + ")"
+    f"-----BEGIN {_LABEL}(?:[^-]*(?:-{{1,4}}[^-]+)*+-----END {_LABEL}"
+    "|(?:[ \\t\\r\\n]+[A-Za-z][A-Za-z-]*: [^\\n]*)*+" + f"(?:{_RUN})*+)"
 )
 RULES = (
     *BASE_RULES,
@@ -242,7 +243,8 @@ def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFr
             F.lit(True) if query is None else F.coalesce(F.array_contains("__rules", n), F.lit(False))
         )
         if query is None:  # one look without captures spares most texts the rest
-            applies = applies & F.col("text").rlike(f"{rule.regex[:-1]}{{{rule.least},}}" if rule.regex[-1] == "+" and not rule.group else rule.regex)
+            one_class = not rule.group and re.fullmatch(r"\[[^\[\]\\]*\]\+", rule.regex)
+            applies = applies & F.col("text").rlike(f"{rule.regex[:-1]}{{{rule.least},}}" if one_class else rule.regex)
         regex = F.lit(rule.regex)
         for name, value in (
             ("before", F.split("text", rule.regex, -1)),

@@ -68,7 +68,7 @@ def secret_spans() -> str:
         regex = r.regex.replace("(?i:password|passwd|secret|token|api_?key)", "(?:" + "|".join(
             "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
             for w in ("password", "passwd", "secret", "token", "api_?key")
-        ) + ")").replace("'", "''")
+        ) + ")").replace("*+", "*").replace("'", "''")
         if not r.group and regex.endswith("+"):
             head = {"AKIA[A-Z0-9]+": 4, "gh[pousr]_[A-Za-z0-9]+": 4, "xox[abprs]-[A-Za-z0-9-]+": 5}.get(r.regex, 0)
             regex = f"{regex[:-1]}{{{r.least - head},}}"

@@ -58,3 +58,20 @@ def test_key_that_holds_other_secrets(spark):
     lines = ["0123456789abcdef" * 4, "AKIA" + "B7" * 30, LINES[0]]
     text = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines])
     assert redacted(spark, text + "; rest") == "[private_key]; rest"
+
+
+def test_no_bound_on_lines_dashes_and_headers(spark):
+    """1,000 indented lines without END, 500 dash runs and 60 headers before the body."""
+    indented = "-----BEGIN RSA PRIVATE KEY-----" + "".join(f"\n    {x}" for x in LINES * 40)
+    assert redacted(spark, f"a {indented} b") == "a [private_key] b"
+    dashes = "-----BEGIN PRIVATE KEY-----\n" + "a-b--c\n" * 500 + "\n".join(LINES) + "\n-----END PRIVATE KEY-----"
+    assert redacted(spark, f"a {dashes} b") == "a [private_key] b"
+    headers = "-----BEGIN PRIVATE KEY-----\n" + "Some-Header: x-y\n" * 60 + "\n" + "\n".join(LINES)
+    assert redacted(spark, f"{headers}; b") == "[private_key]; b"
+
+
+def test_rule_without_trigrams_keeps_its_whole_expression(spark):
+    rule = secrets.SecretRule("odd", "[xyzuvwabc][0-9]+", least=5)
+    docs = spark.createDataFrame([(1, "x1234 y12 z99999"), (2, "x123")], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"]] for r in secrets.scan_secrets(docs, [rule]).collect()}
+    assert found == {1: [(0, 5), (10, 16)], 2: []}
