@@ -123,3 +123,22 @@ FUNCTION_FLOW = Rule(
     "flow-function", ("python",), "ERROR", "result reaches a command",
     flow=Flow(("read_input(...)",), ("run_cmd(...)",), ("escape(...)",)),
 )
+
+
+# -- a pack of the size of a whole rule corpus -------------------------------
+
+_NUMBERS = range(0, 10_000, 8)
+_SYLLABLES = ("an", "at", "ea", "ed", "en", "er", "es", "ha", "he", "hi", "in", "is", "nd", "nt", "on", "or", "ou", "re", "sh", "st", "th", "ti", "tion", "wh")
+
+
+def large_pack(size: int | None = None) -> list[Rule]:
+    """A rule per listed phone number and per two syllables that start a
+    sentence: over 1,800, of which ``size`` are taken evenly."""
+    texts = [f"555-{n:04d}" for n in _NUMBERS] + [a.capitalize() + b for a in _SYLLABLES for b in _SYLLABLES]
+    texts = texts[:: max(len(texts) // size, 1)][:size] if size else texts
+    return [Rule(f"listed-{t}", ("generic",), "INFO", "listed text", (t,)) for t in texts]
+
+
+SQL_LARGE_PACK = f"""(SELECT '555-' || lpad(CAST(i * {_NUMBERS.step} AS VARCHAR), 4, '0') AS listed
+  FROM range({len(_NUMBERS)}) r(i)
+  UNION ALL SELECT upper(a[1]) || a[2:] || b FROM (SELECT unnest({list(_SYLLABLES)}) AS a), (SELECT unnest({list(_SYLLABLES)}) AS b))"""

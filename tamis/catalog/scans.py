@@ -114,6 +114,18 @@ def match_count_by_rule(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "large_pack_matches",
+    f"""SELECT 'listed-' || listed AS rule_id, CAST(sum((length(text) - length(replace(text, listed, ''))) // length(listed)) AS BIGINT) AS matches,
+      count(*) AS files FROM {R.SQL_DOCUMENTS} f JOIN {C.SQL_LARGE_PACK} p ON contains(text, listed) GROUP BY 1""",
+)
+def large_pack_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Over 1,800 rules at once."""
+    hits = find_matches(R.documents(spark, d), C.large_pack(), captures=False)
+    per_file = hits.groupBy("rule_id", "path").agg(F.count("*").alias("n"))
+    return per_file.groupBy("rule_id").agg(F.sum("n").alias("matches"), F.count("*").alias("files"))
+
+
 @query(
     "captures",
     f"""SELECT path, line, col, regexp_extract(hit, '(?s){C._MAIL}', 1) AS host

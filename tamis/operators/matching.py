@@ -8,6 +8,7 @@ group of copies needs no special care because no key is grouped on.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ from tamis.functions.patterns import (
 )
 from tamis.functions.text import let, lines, trim_ws
 from tamis.operators.flow import flow_lines
+from tamis.operators.literals import ordinals
 from tamis.sources.rules import Flow, Rule, RuleSet
 from tamis.sources.small import small_table
 
@@ -210,28 +212,18 @@ def parse_comparison(text: str | None) -> dict | None:
 # -- candidates --------------------------------------------------------------
 
 
-def _applies(lang: Column, languages: tuple[str, ...]) -> Column:
-    return F.lit(True) if "generic" in languages else lang.isin(*languages)
-
-
-def _chain(compiled: CompiledRules, text: Column, lang: Column) -> Column:
-    ords = []
-    for row, anchor in zip(compiled.rows, compiled.anchors):
-        cond = _applies(lang, tuple(row["languages"]))
-        if anchor:
-            hit = F.contains(text, F.lit(anchor[0]))
-            for a in anchor[1:]:
-                hit = hit | F.contains(text, F.lit(a))
-            cond = cond & hit
-        ords.append(F.when(cond, F.lit(row["pat_ord"])))
-    return F.array_compact(F.array(*ords)) if ords else F.array().cast("array<int>")
-
-
 def candidate_ordinals(compiled: CompiledRules, text: Column, lang: Column) -> Column:
     """Ordinals of the patterns that apply to the language and whose rarest
-    literal occurs in the text. A literal that several patterns share is looked
-    for once: equal tests are common subexpressions of the generated code."""
-    return _chain(compiled, text, lang)
+    literal occurs in the text, ascending."""
+    found = ordinals(text, compiled.anchors)
+    if all("generic" in row["languages"] for row in compiled.rows):
+        return found
+    # by language, what applies to it; "" stands for all that no rule names
+    named = {x for row in compiled.rows for x in row["languages"]} - {"generic"}
+    applies = {x: [x in row["languages"] or "generic" in row["languages"] for row in compiled.rows] for x in ("", *named)}
+    table = F.from_json(F.lit(json.dumps(applies)), "map<string,array<boolean>>")
+    own = F.when(lang.isin(*named), F.try_element_at(table, lang)).otherwise(table[""])
+    return let(own, lambda flags: F.filter(found, lambda i: F.get(flags, i)))
 
 
 def candidate_rules(files: DataFrame, rules: RuleSet | list[Rule]) -> DataFrame:
@@ -243,18 +235,12 @@ def candidate_rules(files: DataFrame, rules: RuleSet | list[Rule]) -> DataFrame:
     for i, r in enumerate(rules):
         lits = [x for p in r.positive_patterns() for x in index_literals(p)]
         entries.append((i, r.id, list(dict.fromkeys(lits))))
-    lower = F.lower("text")
-    ords = []
-    for i, _, lits in entries:
-        cond = F.lit(not lits)
-        for lit in lits:
-            cond = cond | F.contains(lower, F.lit(lit))
-        ords.append(F.when(cond, F.lit(i)))
+    ords = ordinals(F.lower("text"), [lits or None for _, _, lits in entries])
     names = small_table(
         spark, [{"rule_ord": i, "rule_id": r} for i, r, _ in entries], "rule_ord:int,rule_id:string"
     )
     return (
-        files.select("path", F.explode(F.array_compact(F.array(*ords))).alias("rule_ord"))
+        files.select("path", F.explode(ords).alias("rule_ord"))
         .join(names, "rule_ord")
         .select("path", "rule_ord", "rule_id")
     )
