@@ -109,10 +109,91 @@ def _toml_to_json(text: Column) -> Column:
     return F.pandas_udf(convert, T.StringType())(text)
 
 
+def _json_of_any_depth():
+    """(loads, walk) without recursion. They are made here so that they travel
+    with the plan."""
+    import json
+    import re
+
+    token = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s{}\[\],:"]+))')
+
+    def by_tokens(text):
+        """Containers on a stack of our own: (value, key waited for, what may come)."""
+        stack, result, at, end = [], None, 0, len(text.rstrip(" \t\r\n"))
+        may, key = {"value"}, None
+
+        def put(value):
+            nonlocal result, may
+            if not stack:
+                result, may = value, set()
+            elif isinstance(stack[-1][0], list):
+                stack[-1][0].append(value)
+                may = {",", "]"}
+            else:
+                stack[-1][0][stack[-1][1]] = value
+                may = {",", "}"}
+
+        while at < end:
+            m = token.match(text, at)
+            if not m:
+                raise ValueError("no JSON")
+            at, (mark, string, other) = m.end(), m.groups()
+            if mark and mark in "{[":
+                if "value" not in may:
+                    raise ValueError("no JSON")
+                inner = {} if mark == "{" else []
+                put(inner)
+                stack.append((inner, key))
+                may = {"key", "}"} if mark == "{" else {"value", "]"}
+            elif mark:
+                if mark not in may:
+                    raise ValueError("no JSON")
+                if mark == ",":
+                    may = {"key"} if isinstance(stack[-1][0], dict) else {"value"}
+                elif mark == ":":
+                    may = {"value"}
+                else:
+                    stack.pop()
+                    may = {",", "}" if isinstance(stack[-1][0], dict) else "]"} if stack else set()
+            elif "key" in may and string:
+                stack[-1] = (stack[-1][0], json.loads(string))
+                may = {":"}
+            elif "value" in may:
+                put(json.loads(string or other))
+            else:
+                raise ValueError("no JSON")
+        if stack or may:
+            raise ValueError("no JSON")
+        return result
+
+    def loads(text):
+        try:
+            return json.loads(text)
+        except RecursionError:
+            return by_tokens(text)
+
+    def walk(tree):
+        """(name, version, license, top): parents first, keys in order."""
+        out, todo = [], [(tree, name, True) for name in sorted(tree, reverse=True)]
+        while todo:
+            within, name, top = todo.pop()
+            meta = within[name] if isinstance(within[name], dict) else {}
+            text = {k: v for k, v in meta.items() if isinstance(v, str)}
+            out.append((name, text.get("version", ""), text.get("license"), top))
+            inner = meta.get("dependencies")
+            if isinstance(inner, dict):
+                todo += [(inner, x, False) for x in sorted(inner, reverse=True)]
+        return out
+
+    return loads, walk
+
+
 def _compact_json(text: Column) -> Column:
     """A lock file with only what is read from it, the last of repeated keys;
     null when malformed. For the rare texts that are no VARIANT as they are:
-    they repeat keys or are too large."""
+    they repeat keys, are too large or nested too deep. Nested dependencies
+    become the list ``flat``."""
+    loads, walk = _json_of_any_depth()
 
     def convert(texts):
         import json
@@ -121,24 +202,35 @@ def _compact_json(text: Column) -> Column:
 
         read = ("name", "version", "license")
 
+        def scalar(v):
+            return None if isinstance(v, (dict, list)) else v
+
+        def shallow(v):
+            if isinstance(v, dict):
+                return {k: scalar(x) for k, x in v.items()}
+            return [scalar(x) for x in v] if isinstance(v, list) else v
+
+        def cut(entry):
+            return {k: shallow(entry[k]) for k in read if k in entry} if isinstance(entry, dict) else scalar(entry)
+
         def one(text):
             try:
-                doc = json.loads(text) if text else None
+                doc = loads(text) if text else None
             except ValueError:
                 return None
             if not isinstance(doc, dict):
                 return None
-            out = {k: v for k, v in doc.items() if k == "dependencies"}
+            tree = doc.get("dependencies")
+            out = {"flat": [dict(zip((*read, "top"), d)) for d in walk(tree)] if isinstance(tree, dict) else []}
             for key in ("packages", "packages-dev"):
                 entries = doc.get(key)
-                cut = lambda e: {k: e[k] for k in read if k in e} if isinstance(e, dict) else e
                 if isinstance(entries, list):
                     out[key] = [cut(e) for e in entries]
                 elif isinstance(entries, dict):
                     out[key] = {k: cut(e) for k, e in entries.items()}
                     root = entries.get("")
                     if isinstance(root, dict) and "dependencies" in root:
-                        out[key][""]["dependencies"] = root["dependencies"]
+                        out[key][""]["dependencies"] = shallow(root["dependencies"])
             return json.dumps(out)
 
         return pd.Series([one(t) for t in texts])
@@ -209,37 +301,26 @@ _NESTED = T.ArrayType(
 def _nested_dependencies(text: Column) -> Column:
     """The old lock layout nests dependencies to any depth: parents first, keys
     in order."""
+    loads, walk = _json_of_any_depth()
 
     def flatten(texts):
-        import json
-
         import pandas as pd
 
-        def walk(tree, top):
-            out = []
-            for name in sorted(tree):
-                meta = tree[name] if isinstance(tree[name], dict) else {}
-                text = {k: v for k, v in meta.items() if isinstance(v, str)}
-                out.append((name, text.get("version", ""), text.get("license"), top))
-                if isinstance(meta.get("dependencies"), dict):
-                    out += walk(meta["dependencies"], False)
-            return out
-
         def one(text):
             try:
-                tree = json.loads(text).get("dependencies")
+                tree = loads(text).get("dependencies")
             except (ValueError, AttributeError):
                 return []
-            return walk(tree, True) if isinstance(tree, dict) else []
+            return walk(tree) if isinstance(tree, dict) else []
 
         return pd.Series([one(t) for t in texts])
 
     return F.pandas_udf(flatten, _NESTED)(text)
 
 
-def _npm_nested(text: Column) -> Column:
+def _npm_nested(nested: Column) -> Column:
     return F.transform(
-        _nested_dependencies(text),
+        nested,
         lambda d: _dep(
             d["name"], d["version"], d["top"], F.lit(True), d["license"], can_declare=True
         ),
@@ -497,9 +578,12 @@ def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]
     is_npm = base.isin("package-lock.json", "npm-shrinkwrap.json")
     has_packages = _at(doc, "$.packages", "map<string,variant>").isNotNull()
     # Only the old layout passes through Python, and only its text.
-    old = F.coalesce(F.when(is_npm & doc.isNotNull() & ~has_packages, text), F.lit(""))
+    compacted = F.col("compact").isNotNull()
+    old = F.coalesce(F.when(is_npm & doc.isNotNull() & ~has_packages & ~compacted, text), F.lit(""))
+    flat = _at(doc, "$.flat", _NESTED.simpleString())
+    nested = _npm_nested(F.when(compacted, flat).otherwise(_nested_dependencies(old)))
     deps = (
-        F.when(is_npm, F.when(has_packages, _npm_packages(doc)).otherwise(_npm_nested(old)))
+        F.when(is_npm, F.when(has_packages, _npm_packages(doc)).otherwise(nested))
         .when(base == "Cargo.lock", _cargo_lock(doc))
         .when(base == "Cargo.toml", _cargo_toml(doc))
         .when(base == "Gemfile.lock", _gemfile_lock(text))
