@@ -37,7 +37,7 @@ ruled AS (SELECT page_id, host, path, {fits} AS rule, {verdicts} AS listed FROM
 hosts AS (SELECT host, CASE WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain,
              CASE WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END AS suffix,
              CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE listed = 'block') AS DOUBLE) AS bad
-             FROM ruled GROUP BY host),
+             FROM ruled WHERE listed IS NOT NULL GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 1 AS every, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 everything AS (SELECT every, (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes GROUP BY every),

@@ -118,14 +118,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, limit: float
     The longest fitting rule decides. A page that no rule fits is blocked if the
     lower bound of its host's bad share is above ``limit``. The labelled outcome
     of a page is what the list says of it: bad if a rule blocks it, not bad if a
-    rule allows it or none lists it. Null urls and urls without :// have the
-    empty host, which is judged like any other; repeated rows count each."""
+    rule allows it. A page that no rule lists has no outcome and does not count,
+    and a host without any outcome is allowed. Null urls and urls without ://
+    have the empty host, which is judged like any other; repeated rows count each."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     host, path = F.col("host"), F.col("path")
     ruled = parsed.withColumns(
         {"rule": rule_column(host, path, rules, "name"), "listed": rule_column(host, path, rules, "verdict")}
     )
-    outcomes = ruled.select("host", F.coalesce(F.col("listed") == "block", F.lit(False)).alias("bad"))
+    outcomes = ruled.select("host", (F.col("listed") == "block").alias("bad"))
     blocked = reputations(outcomes, z).where(F.col("low") > limit).select(F.col("host").alias("bad_host"))
     # pages with a rule need no reputation: they meet no host
     key = F.when(F.col("rule").isNull(), host)

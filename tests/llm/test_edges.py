@@ -121,3 +121,16 @@ def test_empty_tables(spark, odd_docs, tmp_path):
     assert decontaminate.decontaminate(odd_docs, bench).where("contaminated").count() == 0
     token_files.write_token_files(none, f"{tmp_path}/t", queries.TOKENIZER)
     assert token_files.read_token_files(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_posterior_decides_unlisted_pages(spark):
+    """Hosts on both sides of the limit, and one of which nothing is known."""
+    rules = (url_filter.UrlRule("block", "com", "/bad/"), url_filter.UrlRule("allow", "com", "/good/"))
+    pages = []
+    for host, bad, good in (("a.x.com", 40, 0), ("b.x.com", 38, 2), ("c.y.com", 0, 40), ("d.y.com", 2, 38), ("e.z.com", 0, 0)):
+        pages += [f"http://{host}/bad/{i}" for i in range(bad)] + [f"http://{host}/good/{i}" for i in range(good)]
+        pages += [f"http://{host}/other/{i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    found = url_filter.judge_urls(df, rules).where("rule is null").select("host", "verdict").distinct().collect()
+    verdict = {r["host"]: r["verdict"] for r in found}
+    assert [verdict[h] for h in ("a.x.com", "b.x.com", "c.y.com", "d.y.com", "e.z.com")] == ["block", "block", "allow", "allow", "allow"]
