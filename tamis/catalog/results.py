@@ -258,6 +258,21 @@ def cve_feed(spark: SparkSession, d: str) -> DataFrame:
     return _feed(spark, d).withColumn("cwes", F.array_join("cwes", " "))
 
 
+@query(
+    "findings_rollup",
+    f"""SELECT severity, language, rule_id, CAST(GROUPING(severity, language, rule_id) AS INT) AS level,
+      count(*) AS findings, count(DISTINCT path) AS files
+    FROM (SELECT severity, language, rule_id, path FROM {SQL_DOC_FINDINGS}
+      UNION ALL SELECT severity, language, rule_id, path FROM {SQL_PAGE_FINDINGS})
+    GROUP BY ROLLUP (severity, language, rule_id)""",
+)
+def findings_rollup(spark: SparkSession, d: str) -> DataFrame:
+    both = _docs(spark, d).select("severity", "language", "rule_id", "path").union(
+        _pages(spark, d).select("severity", "language", "rule_id", "path")
+    )
+    return reports.findings_rollup(both)
+
+
 @query(
     "cwe_coverage_gap",
     f"""SELECT cwe, count(*) AS n_cves, array_to_string(

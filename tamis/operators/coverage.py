@@ -76,25 +76,15 @@ def observed(cves: DataFrame) -> DataFrame:
 
 def coverage_gaps(cves: DataFrame, corpus: DataFrame, examples: int = 3) -> DataFrame:
     """Observed classes without a rule: (cwe, n_cves, examples), where examples
-    are the ids with the highest score. One pass over the feed: the counts ride
-    on the ranks, of which the first ``examples`` and the last are kept."""
-    seen = observed(cves)
-    gaps = seen.join(corpus.select("cwe").distinct(), "cwe", "left_anti")
-    per_class = Window.partitionBy("cwe")
-    by_score = per_class.orderBy(F.desc("score"), "id")
-    ranked = gaps.select(
-        "cwe", "id", F.row_number().over(by_score).alias("place"), F.count("*").over(per_class).alias("n_cves")
-    )
-    return (
-        ranked.filter(F.col("place") <= examples)
-        .groupBy("cwe")
-        .agg(
-            F.max("n_cves").alias("n_cves"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]
-            ).alias("examples"),
-        )
-    )
+    are the ids with the highest score. Counts are combined and ranks limited
+    before the shuffle, so that no class is brought together as a whole. The feed
+    is read once."""
+    gaps = settled(observed(cves).join(corpus.select("cwe").distinct(), "cwe", "left_anti"))
+    counts = gaps.groupBy("cwe").agg(F.count("*").alias("n_cves"))
+    by_score = Window.partitionBy("cwe").orderBy(F.desc("score"), "id")
+    first = gaps.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= examples)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"])
+    return counts.join(first.groupBy("cwe").agg(ids.alias("examples")), "cwe")
 
 
 def gap_report(cves: DataFrame, corpus: DataFrame, examples: int = 3) -> DataFrame:

@@ -275,12 +275,10 @@ def _hits(rows: Column, fns: Column) -> Column:
     leaking = F.filter(fns, lambda f: _analyse(body(f), f["params"], _strings(), flat)["leaks"])
 
     def scopes_hits(leaky: Column) -> Column:
-        top = F.when(flat, rows).otherwise(
-            F.filter(
-                rows,
-                lambda l: ~F.exists(fns, lambda f: (l["at"] >= f["start"]) & (l["at"] < f["end"])),
-            )
-        )
+        # lines of functions as a set, so that no line meets every function
+        covered = F.flatten(F.transform(fns, lambda f: F.sequence(f["start"], f["end"] - 1)))
+        outside = F.array_except(F.transform(rows, lambda l: l["at"]), covered)
+        top = F.when(flat, rows).otherwise(F.transform(outside, lambda at: F.element_at(rows, at + 1)))
         scope = lambda rs, seed: F.struct(rs.alias("rows"), seed.alias("seed"))
         scopes = F.concat(
             F.array(scope(top, _strings())), F.transform(fns, lambda f: scope(body(f), f["params"]))

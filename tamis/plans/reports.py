@@ -23,6 +23,17 @@ _ORDER = ("part", *_KEY, "sub")
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
+def findings_rollup(findings: DataFrame) -> DataFrame:
+    """Findings and files by severity, language and rule with all subtotals.
+    ``level`` tells which of the three a row sums over: 0 none, 1 the rules, 3
+    also the languages, 7 everything; summed columns are null."""
+    return findings.rollup("severity", "language", "rule_id").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count("*").alias("findings"),
+        F.countDistinct("path").alias("files"),
+    )
+
+
 def _json_object(*cols: str | Column) -> Column:
     """JSON with null fields kept."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
