@@ -44,6 +44,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sum(values: Column, step: int = 256) -> Column:
+    """Sums of all prefixes of an array of ints. In parts, so that a long array
+    is not copied for every element."""
+    none = F.array().cast("array<int>")
+
+    def within(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("total"), none.alias("seen"))
+
+        def add(s: Column, v: Column) -> Column:
+            total = (s["total"] + v).cast("int")
+            return F.struct(total.alias("total"), F.array_append(s["seen"], total).alias("seen"))
+
+        return F.aggregate(part, state, add, lambda s: s["seen"])
+
+    def next_part(s: Column, i: Column) -> Column:
+        part = within(F.slice(values, i * step + 1, step), s["total"])
+        return let(part, lambda p: F.struct(F.element_at(p, -1).alias("total"), F.array_append(s["seen"], p).alias("seen")))
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / step).cast("int"))
+    state = F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("seen"))
+    sums = F.aggregate(parts, state, next_part, lambda s: F.flatten(s["seen"]))
+    return F.when(F.size(values) > 0, sums).otherwise(none)
+
+
 def xml_escape(col: Column) -> Column:
     for raw, safe in (
         ("&", "&amp;"),

@@ -24,7 +24,7 @@ from tamis.functions.patterns import (
     index_literals,
     java_regex,
 )
-from tamis.functions.text import let, lines, trim_ws
+from tamis.functions.text import let, lines, running_sum, trim_ws
 from tamis.operators.flow import flow_lines
 from tamis.operators.literals import ordinals
 from tamis.sources.rules import Flow, Rule, RuleSet
@@ -278,8 +278,11 @@ def _marked_lines(marked: Column, mark: Column) -> Column:
     return F.array_compact(numbered)
 
 
-def _start(x: Column, mark: Column, col: Column) -> Column:
-    snippet = trim_ws(F.replace(x["t"], mark, F.lit("")))
+def _snippet(x: Column, mark: Column) -> Column:
+    return trim_ws(F.replace(x["t"], mark, F.lit("")))
+
+
+def _start(x: Column, col: Column, snippet: Column) -> Column:
     return F.struct(
         x["line"].alias("line"), col.cast("int").alias("col"), snippet.alias("snippet")
     )
@@ -291,7 +294,7 @@ def _first_starts(marked: Column, mark: Column) -> Column:
 
     def first(x: Column) -> Column:
         before = F.call_function("substring_index", x["t"], mark, F.lit(1))
-        return _start(x, mark, F.octet_length(before))
+        return _start(x, F.octet_length(before), _snippet(x, mark))
 
     return F.transform(_marked_lines(marked, mark), first)
 
@@ -300,18 +303,13 @@ def _all_starts(marked: Column, mark: Column) -> Column:
     """(line, col, snippet) of every match."""
 
     def on_line(x: Column) -> Column:
-        def starts(parts: Column) -> Column:
-            # Running sum of the part lengths.
-            cols = F.aggregate(
-                F.slice(parts, 2, F.size(parts) - 2),
-                F.array(F.octet_length(F.element_at(parts, 1))).cast("array<int>"),
-                lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.octet_length(p)).cast(
-                    "array<int>"
-                ),
-            )
-            return F.transform(cols, lambda c: _start(x, mark, c))
-
-        return let(F.split(x["t"], mark, -1), starts)
+        def starts(snippet: Column) -> Column:
+            lengths = F.transform(F.split(x["t"], mark, -1), lambda p: F.octet_length(p))
+            before = lambda n: running_sum(F.slice(n, 1, F.size(n) - 1))
+            cols = let(lengths, before)
+            return F.transform(cols, lambda c: _start(x, c, snippet))
+
+        return let(_snippet(x, mark), starts)
 
     return F.flatten(F.transform(_marked_lines(marked, mark), on_line))
 
