@@ -21,10 +21,15 @@ from tamis.operators.triage import patched_files, triage, verified
 from tamis.plans import reports
 from tamis.plans.rule_test import rule_test, rule_test_totals
 from tamis.plans.scan import raw_findings, scan_files
-from tamis.plans.settle import shared_folder
+from tamis.plans.settle import settled, shared_folder
 from tamis.sources.files import spread
 from tamis.sources.suppressions import Suppression
-from tamis.streaming.scan_stream import scan_stream, text_stream
+from tamis.streaming.scan_stream import (
+    latest_findings,
+    scan_stream,
+    scan_stream_latest,
+    text_stream,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -368,7 +373,7 @@ def verify_fixes(spark: SparkSession, d: str) -> DataFrame:
     """A real fix on odd lines; on even ones the secret is only moved to
     another name, which the scan finds again."""
     files = R.documents(spark, d)
-    found = raw_findings(files, [C.TOKEN])
+    found = settled(raw_findings(files, [C.TOKEN]))
     moved = F.regexp_replace("snippet", "token = ", "other_token = ")
     fixes = found.select(
         "path",
@@ -472,3 +477,22 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     ).start().awaitTermination()
     found = spark.read.parquet(f"{out}/findings")
     return found.select("rule_id", "severity", "path", "line", "col", "snippet")
+
+
+@query("stream_redelivered", f"SELECT rule_id, severity, path, line, col, snippet FROM {SQL_DOC_FINDINGS}")
+def stream_redelivered(spark: SparkSession, d: str) -> DataFrame:
+    """All documents come with a line in front, then as they are, then once
+    more; the stream is started anew each time."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs = R.table(spark, d, "documents").selectExpr(f"{R.DOC_PATH} AS path", "text")
+    edited = docs.withColumn("text", F.concat(F.lit("token = \"abcdef0123\"\n"), F.col("text")))
+    for delivery in (edited, docs, docs):
+        delivery.write.mode("append").parquet(f"{at}/in")
+        files = text_stream(
+            spark, f"{at}/in", "path string, text string", F.col("path"), F.col("text")
+        )
+        scan_stream_latest(files, C.TEXT_RULES, f"{at}/out", f"{at}/checkpoint").trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    found = latest_findings(spark, f"{at}/out")
+    return found.select("rule_id", "severity", "path", "line", "col", "snippet")

@@ -19,7 +19,7 @@ from tamis.plans.settle import shared_folder
 from tamis.sources.rules import load_rule_set
 from tamis.sources.suppressions import Suppression, live_suppressions
 from tamis.operators.suppression import flag_suppressed, on_changed_lines
-from tamis.sources.diffs import changed_lines
+from tamis.sources.diffs import changed_lines, changed_lines_of_files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -395,6 +395,14 @@ def diff_changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return _changed(spark, d)
 
 
+@query("diff_files", f"SELECT path, line FROM {_CHANGED_SQL}")
+def diff_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same from files, which are read in splits."""
+    at = f"{shared_folder(spark)}/diff-{uuid.uuid4().hex}"
+    R.table(spark, d, "orders").selectExpr(f"{_DIFF} AS text").write.text(at)
+    return changed_lines_of_files(spark, at)
+
+
 @query(
     "diff_only",
     f"""SELECT rule_id, path, line, snippet FROM {SQL_DOC_FINDINGS} f

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.globs import glob_regex, is_glob, relative_path
+from tamis.plans.settle import settled
 from tamis.sources.small import small_table
 from tamis.sources.suppressions import Suppression
 
@@ -77,11 +78,15 @@ def flag_suppressed(
     )
 
 
-def _endings(path: Column) -> Column:
-    """All ends of a path, the whole of it first."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))),
-        lambda i: F.substring(path, i, F.length(path)),
+def _endings(paths: DataFrame, others: DataFrame) -> DataFrame:
+    """(whole, end) for the ends of ``paths`` that are as long as one of the
+    ``others``; both have the one column ``whole``."""
+    lengths = others.select(F.collect_set(F.length("whole"))).scalar()
+    size = F.length("whole")
+    return (
+        paths.withColumn("lengths", lengths)
+        .select("whole", F.explode(F.filter("lengths", lambda n: (n == size) | n.between(1, size))).alias("n"))
+        .select("whole", F.expr("right(whole, n)").alias("end"))
     )
 
 
@@ -89,13 +94,15 @@ def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings on changed lines. A file is the same when one path ends with
     the other.
 
-    The ends of the distinct paths of one side meet the whole paths of the
-    other, so the join only makes true pairs; lines come in when these are known."""
-    places = findings.select("path", "line").distinct()
-    lines = changed.select(F.col("path").alias("file"), "line").distinct()
-    paths, files = places.select("path").distinct(), lines.select("file").distinct()
-    longer = paths.select("path", F.explode(_endings(F.col("path"))).alias("file")).join(files, "file")
-    shorter = files.select("file", F.explode(_endings(F.col("file"))).alias("path")).join(paths, "path")
-    same = longer.select("path", "file").union(shorter.select("path", "file")).distinct()
-    hit = places.join(same, "path").join(lines, ["file", "line"], "left_semi").select("path", "line").distinct()
-    return findings.join(hit, ["path", "line"], "left_semi")
+    Findings and changes are settled first, so the texts are read once. Then
+    ends of the distinct paths of one side meet whole paths of the other: the
+    join only makes true pairs, and lines come in when these are known."""
+    found = settled(findings)
+    lines = settled(changed.select(F.col("path").alias("file"), "line").distinct())
+    paths = found.select(F.col("path").alias("whole")).distinct()
+    files = lines.select(F.col("file").alias("whole")).distinct()
+    longer = _endings(paths, files).join(files.select(F.col("whole").alias("end")), "end", "left_semi")
+    shorter = _endings(files, paths).join(paths.select(F.col("whole").alias("end")), "end", "left_semi")
+    same = longer.selectExpr("whole AS path", "end AS file").union(shorter.selectExpr("end", "whole"))
+    hit = same.join(lines, "file").select("path", "line").distinct()
+    return found.join(hit, ["path", "line"], "left_semi")

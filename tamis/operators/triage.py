@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import let, lines
 from tamis.operators.findings import FINDING_COLUMNS, apply_snippet
+from tamis.plans.settle import settled
+
+# Fixes are broadcast up to this size, which is measured.
+BROADCAST_BYTES = 128 << 20
 
 # Words that make a finding likely to be real.
 TELLING_WORDS = (
@@ -45,11 +49,20 @@ def outermost_object(text: Column) -> Column:
 
 def patched_files(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """Files with one line replaced per (path, line, fixed_snippet). Each fix
-    makes its own version of the file, told apart by ``patched_line``."""
+    makes its own version of the file, told apart by ``patched_line``.
+
+    The fixes are settled and measured: up to ``BROADCAST_BYTES`` they go to the
+    files, which then stay where they are read. More of them, with the texts of
+    their files, meet in a shuffle."""
     text, line = F.col("text"), F.col("patched_line")
-    fixes = fixes.filter("fixed_snippet <> ''").select(
-        "path", F.col("line").alias("patched_line"), "fixed_snippet"
-    ).distinct()
+    fixes = settled(
+        fixes.filter("fixed_snippet <> ''")
+        .select("path", F.col("line").alias("patched_line"), "fixed_snippet")
+        .distinct()
+    )
+    size = F.sum(F.octet_length("path") + F.octet_length("fixed_snippet") + 64)
+    if (fixes.agg(size).first()[0] or 0) <= BROADCAST_BYTES:
+        fixes = F.broadcast(fixes)
 
     def patched(rows: Column) -> Column:
         before = F.concat(F.slice(rows, 1, line - 1), F.array(F.lit("")))

@@ -42,7 +42,7 @@ def rules_hash(rules, ignore_tokens: tuple[str, ...] = ()) -> str:
     return hashlib.sha256(repr((compiled.rules, ignore_tokens)).encode()).hexdigest()[:16]
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, empty before the first run. A damaged one is an error."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -77,8 +77,8 @@ def incremental_findings(
     run = uuid.uuid4().hex
     files = files.withColumn("content_hash", content_hash())
     of_rules = F.col("rules_hash") == version
-    scanned = _read(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
-    stored = _read(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
+    scanned = stored_table(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
+    stored = stored_table(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
     # The texts are read once to hash them, and once more where they changed.
     keys = settled(files.select("path", "content_hash"))
     hits, misses = split_by_cache(keys, scanned)
@@ -101,8 +101,8 @@ def incremental_findings(
         new_keys.withColumns(stamp).write.mode("append").partitionBy("rules_hash").parquet(
             f"{cache_dir}/scanned"
         )
-        scanned = _read(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
-        stored = _read(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
+        scanned = stored_table(spark, f"{cache_dir}/scanned", _SCANNED).filter(of_rules)
+        stored = stored_table(spark, f"{cache_dir}/findings", _FINDINGS).filter(of_rules)
         if not n_hits:
             scanned = scanned.filter(F.col("run") == run)
     current, _ = split_by_cache(keys, scanned)

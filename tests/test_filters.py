@@ -1,3 +1,5 @@
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from tamis.functions.language import language_or_generic
 from tamis.functions.severity import parse_floor, severity_rank
 from tamis.operators.suppression import flag_suppressed, on_changed_lines
 from tamis.plans.scan import raw_findings, scan_files
-from tamis.sources.diffs import changed_lines
+from tamis.sources.diffs import changed_lines, changed_lines_of_files, git_diff
 from tamis.sources.rules import Rule
 from tamis.sources.suppressions import (
     Suppression,
@@ -142,6 +144,45 @@ def test_changed_lines(spark):
     ]
 
 
+def test_diff_files_are_read_in_splits(spark, tmp_path):
+    """A header far before its hunks, in a file of many splits."""
+    text = "".join(
+        f"diff --git a/f{i} b/f{i}\n+++ b/dir/f{i}.py\r\n"
+        + "".join(f"@@ -{k} +{k * 10},{k % 3} @@ def\n+line {k}\n" for k in range(1, 3 + i * 40))
+        for i in range(12)
+    )
+    (tmp_path / "a.diff").write_text(text, newline="")
+    (tmp_path / "b.diff").write_text("@@ -1 +7 @@\n+++ b/only\n@@ -1 +5,1 @@\n", newline="")
+    one_row = spark.createDataFrame([(text,)], "text string")
+    want = {tuple(r) for r in changed_lines(one_row).collect()} | {("only", 5)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [tuple(r) for r in changed_lines_of_files(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 1500
+
+
+def test_git_diff(spark, tmp_path):
+    def git(*args):
+        who = ["-c", "user.name=n", "-c", "user.email=e@x"]
+        subprocess.run(["git", "-C", str(tmp_path), *who, *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    (tmp_path / "a.txt").write_text("1\n2\n3\n")
+    git("add", "."), git("commit", "-qm", "one")
+    (tmp_path / "a.txt").write_text("1\nx\n3\n4\n5\n")
+    git("add", "."), git("commit", "-qm", "two")
+    got = sorted(map(tuple, git_diff(spark, str(tmp_path), "HEAD~1").collect()))
+    assert got == [("a.txt", 2), ("a.txt", 4), ("a.txt", 5)]
+    for bad in ("nowhere", "--output=x"):
+        with pytest.raises(RuntimeError, match="git diff failed"):
+            git_diff(spark, str(tmp_path), bad)
+    assert not (tmp_path / "x").exists()
+
+
 def test_diff_only_matches_path_ends(files, spark):
     found = raw_findings(
         files(("r/src/a.txt", "k\nk"), ("xb.txt", "k"), ("c.txt", "k"), ("d.txt", "k"), ("e", "k")), [K]

@@ -211,3 +211,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert "requests" in capsys.readouterr().out
     assert main(["rule", "test", str(default_rule_dir())]) == 0
     assert "0 failed" in capsys.readouterr().out
+
+
+def test_stream_of_files_that_come_again(spark, tmp_path):
+    from tamis.streaming.scan_stream import latest_findings, scan_stream_latest, text_stream
+
+    out = str(tmp_path / "out")
+
+    def deliver(folder, checkpoint, *rows):
+        spark.createDataFrame(list(rows), "path string, text string").coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / folder))
+        files = text_stream(
+            spark, str(tmp_path / folder), "path string, text string", F.col("path"), F.col("text")
+        )
+        query = scan_stream_latest(files, RULES[:1], out, str(tmp_path / checkpoint))
+        query.trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, latest_findings(spark, out).select("path", "line").collect()))
+
+    assert deliver("in", "c", ("none", "x")) == []
+    assert deliver("in", "c", ("a", "k\nk"), ("b", "k"), ("d", None)) == [("a", 1), ("a", 2), ("b", 1)]
+    # delivered twice in a batch and again in a later one
+    assert deliver("in", "c", ("b", "k"), ("b", "k")) == [("a", 1), ("a", 2), ("b", 1)]
+    # changed, and clean
+    assert deliver("in", "c", ("a", "\n\nk"), ("b", "")) == [("a", 3)]
+    # back to the first text, under a new checkpoint whose ids start anew
+    assert deliver("other", "new", ("a", "k\nk")) == [("a", 1), ("a", 2)]
+    assert deliver("in", "c", ("b", "k")) == [("a", 1), ("a", 2), ("b", 1)]
+    assert deliver("other", "new", ("a", "k")) == [("a", 1), ("b", 1)]
