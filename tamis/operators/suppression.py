@@ -10,6 +10,8 @@ from tamis.plans.settle import settled
 from tamis.sources.small import small_table
 from tamis.sources.suppressions import Suppression
 
+# Ends of paths are broadcast up to this size, which is measured.
+BROADCAST_BYTES = 128 << 20
 _ENTRIES = "rule_id:string,entries:array<struct<path:string,glob:boolean,line:int>>"
 
 
@@ -78,31 +80,40 @@ def flag_suppressed(
     )
 
 
-def _endings(paths: DataFrame, others: DataFrame) -> DataFrame:
-    """(whole, end) for the ends of ``paths`` that are as long as one of the
-    ``others``; both have the one column ``whole``."""
-    lengths = others.select(F.collect_set(F.length("whole"))).scalar()
-    size = F.length("whole")
-    return (
-        paths.withColumn("lengths", lengths)
-        .select("whole", F.explode(F.filter("lengths", lambda n: (n == size) | n.between(1, size))).alias("n"))
-        .select("whole", F.expr("right(whole, n)").alias("end"))
-    )
+def _endings(rows: DataFrame, lengths: Column) -> DataFrame:
+    """``rows`` with each ``end`` of their path that is as long as one of
+    ``lengths``, and whether it is the ``whole`` path."""
+    size = F.length("path")
+    fits = F.filter(lengths, lambda n: n.between(1, size - 1))
+    return rows.select(
+        "*", F.explode(F.concat(F.array(size), fits)).alias("_n")
+    ).select(*rows.columns, F.expr("right(path, _n)").alias("end"), (F.col("_n") == size).alias("whole"))
 
 
 def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings on changed lines. A file is the same when one path ends with
     the other.
 
-    Findings and changes are settled first, so the texts are read once. Then
-    ends of the distinct paths of one side meet whole paths of the other: the
-    join only makes true pairs, and lines come in when these are known."""
+    The findings are settled, so texts and changes are read once each. Ends of
+    paths meet on (end, line), and one of the two has to be a whole path, so
+    the join makes true pairs only. The ends of the findings' paths are
+    broadcast up to ``BROADCAST_BYTES``, which is measured; the changes then
+    stay where they are."""
     found = settled(findings)
-    lines = settled(changed.select(F.col("path").alias("file"), "line").distinct())
-    paths = found.select(F.col("path").alias("whole")).distinct()
-    files = lines.select(F.col("file").alias("whole")).distinct()
-    longer = _endings(paths, files).join(files.select(F.col("whole").alias("end")), "end", "left_semi")
-    shorter = _endings(files, paths).join(paths.select(F.col("whole").alias("end")), "end", "left_semi")
-    same = longer.selectExpr("whole AS path", "end AS file").union(shorter.selectExpr("end", "whole"))
-    hit = same.join(lines, "file").select("path", "line").distinct()
+    places = found.select("path", "line").distinct()
+    size = F.length("path")
+    lengths, ends_bytes = places.agg(
+        F.collect_set(size), F.sum((size * (size + 1) / 2) * 4 + size * 64)
+    ).first()
+    ours = _endings(places, F.sequence(F.lit(1), F.greatest(size, F.lit(1))))
+    if (ends_bytes or 0) <= BROADCAST_BYTES:
+        ours = F.broadcast(ours)
+    theirs = _endings(changed.select("path", "line"), F.lit(lengths).cast("array<int>"))
+    ours, theirs = ours.alias("ours"), theirs.alias("theirs")
+    same = (
+        (F.col("ours.end") == F.col("theirs.end"))
+        & (F.col("ours.line") == F.col("theirs.line"))
+        & (F.col("ours.whole") | F.col("theirs.whole"))
+    )
+    hit = theirs.join(ours, same).select("ours.path", "ours.line").distinct()
     return found.join(hit, ["path", "line"], "left_semi")
