@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
+import warnings
+from collections import deque
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +14,13 @@ from pyspark.sql import types as T
 
 from tamis.functions.globs import path_allowed
 from tamis.functions.language import language_or_generic
-from tamis.sources.gitignore import not_git_ignored, read_ignore_files
+from tamis.plans.settle import settled
+from tamis.sources.gitignore import BROADCAST_BYTES, git_ignored, ignore_patterns, outer_ignore_files
 from tamis.sources.small import small_table
+from tamis.sources.storage import file_system, list_folder, read_bytes
+
+# Entries that a task lists below one folder before it hands back the rest.
+LISTED_AT_ONCE = 10_000
 
 
 def from_table(df: DataFrame, path: Column, text: Column, *keep: str) -> DataFrame:
@@ -36,15 +44,51 @@ def allowed(files: DataFrame, root: str, include: tuple = (), exclude: tuple = (
     return files.filter(path_allowed(F.col("path"), root, tuple(include), tuple(exclude)))
 
 
-def _hidden_files(root: Path) -> list[str]:
-    """Files whose path below ``root`` has a part that Spark's file listing
-    takes for hidden. Only names are looked at."""
-    out: list[str] = []
-    for here, _, names in os.walk(root):
-        below = Path(here).relative_to(root).parts
-        inside = any(part[0] in "._" for part in below)
-        out += [os.path.join(here, n) for n in names if inside or n[0] in "._"]
-    return out
+def _is_hidden(name: str) -> bool:
+    """Whether Spark's file listing leaves the name out."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _lister(limit: int):
+    def listed(frames):
+        """Hidden files below folders, by breadth; past ``limit`` entries of one
+        folder what is still to be listed is handed back."""
+        import pandas as pd
+
+        for frame in frames:
+            for top, in_hidden in zip(frame["path"], frame["hidden"]):
+                todo, seen, found = deque([(top, bool(in_hidden))]), 0, []
+                while todo and seen < limit:
+                    here, inside = todo.popleft()
+                    for path, folder in list_folder(here):
+                        seen += 1
+                        hidden = inside or _is_hidden(path.rpartition("/")[2])
+                        if folder:
+                            todo.append((path, hidden))
+                        elif hidden:
+                            found.append((path, False, True))
+                found += [(path, True, hidden) for path, hidden in todo]
+                yield pd.DataFrame(found, columns=["path", "folder", "hidden"])
+
+    return listed
+
+
+def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files below ``root`` that Spark's file listing takes for
+    hidden. Tasks list the folders; a round deals out what the last one left."""
+    found = []
+    todo = small_table(spark, [{"path": root, "hidden": False}], "path:string,hidden:boolean")
+    while True:
+        listed = settled(
+            todo.mapInPandas(_lister(LISTED_AT_ONCE), "path string, folder boolean, hidden boolean")
+        )
+        found.append(listed.filter("not folder").select("path"))
+        todo = listed.filter("folder").select("path", "hidden")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        todo = todo.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _content(path: Column) -> Column:
@@ -53,36 +97,51 @@ def _content(path: Column) -> Column:
     def read(paths):
         import pandas as pd
 
-        def one(path):
-            try:
-                with open(path, "rb") as f:
-                    return f.read()
-            except OSError:
-                return None
-
-        return pd.Series([one(p) for p in paths])
+        return pd.Series([read_bytes(p) for p in paths])
 
     return F.pandas_udf(read, T.BinaryType())(path)
 
 
-def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
-    table = spread(small_table(spark, [{"path": p} for p in paths], "path:string"))
-    content = table.select("path", _content(F.col("path")).alias("content"))
+def _read(paths: DataFrame) -> DataFrame:
+    content = spread(paths).select("path", _content(F.col("path")).alias("content"))
     return content.select(
         "path", "content", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length")
     )
 
 
+def _without_ignored(raw: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Only names are judged. Contents stay where they are read while the
+    ignored names can be broadcast; beyond that tasks read the names that are left."""
+    names = raw.select("path")
+    ignored = settled(git_ignored(names, patterns))
+    if (ignored.agg(F.sum(F.octet_length("path") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
+        return raw.join(F.broadcast(ignored), "path", "left_anti")
+    return _read(names.join(ignored, "path", "left_anti"))
+
+
+def _listable(root: str) -> bool:
+    try:
+        file_system(root)
+    except Exception as e:  # what pyarrow raises depends on the scheme
+        warnings.warn(f"hidden files below {root} are left out: {e}", stacklevel=3)
+        return False
+    return True
+
+
 def from_path(spark: SparkSession, root: str, names: tuple[str, ...] = ()) -> DataFrame:
     """All files below ``root``, hidden ones too, without those that
-    ``.gitignore`` files exclude. Column ``text`` is null where the content is
+    ignore files exclude. Column ``text`` is null where the content is
     not UTF-8 (such files still count as seen).
 
     With ``names`` only files so called are listed, before any content is read.
 
-    Spark lists and reads the tree in parallel. It leaves hidden files out, so
-    on a mounted file system these few are named one by one and read by the
-    tasks."""
+    Inside a git repository the ignore files above a mounted ``root``, the
+    repository's own list and the user's global one count as well.
+
+    Spark lists and reads the tree in parallel. It leaves hidden files out;
+    tasks list these and read them, on any storage that pyarrow knows. On
+    others they are left out with a warning."""
+    root = re.sub("^file:/+", "/", root)
     local = Path(root)
     mounted = "://" not in root
     if mounted and not local.exists():
@@ -92,14 +151,17 @@ def from_path(spark: SparkSession, root: str, names: tuple[str, ...] = ()) -> Da
         reader = reader.option("pathGlobFilter", "{" + ",".join(names) + "}")
     raw = reader.load(root).select("path", "content", "length")
     raw = raw.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    base = str(local.resolve()) if mounted else root
-    if mounted and local.is_dir():
-        hidden = _hidden_files(Path(base))
-        wanted = [h for h in hidden if not names or os.path.basename(h) in names]
-        if wanted:
-            raw = raw.unionByName(_read_hidden(spark, wanted))
-        patterns = read_ignore_files([h for h in hidden if h.endswith("/.gitignore")])
-        raw = not_git_ignored(raw, patterns)
+    base = str(local.resolve()) if mounted else root.rstrip("/")
+    if local.is_dir() if mounted else _listable(root):
+        hidden = _hidden_files(spark, base)
+        wanted = hidden
+        if names:
+            wanted = hidden.filter(F.substring_index("path", "/", -1).isin(*names))
+        if not wanted.isEmpty():
+            raw = raw.unionByName(_read(wanted))
+        patterns = settled(ignore_patterns(spark, hidden, outer_ignore_files(base) if mounted else []))
+        if not patterns.isEmpty():
+            raw = _without_ignored(raw, patterns)
     files = raw.select(
         "path",
         F.try_validate_utf8(F.col("content").cast("string")).alias("text"),

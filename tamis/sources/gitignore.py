@@ -1,16 +1,23 @@
-"""``.gitignore`` files: configuration, so they are read on the driver."""
+"""Ignore files as a table of patterns, which paths meet by their folders."""
 
 from __future__ import annotations
 
-import json
+import os
 import re
+import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The patterns become a constant of the plan, which bounds their number.
-MAX_PATTERNS = 100_000
+from tamis.sources.small import small_table
+from tamis.sources.storage import read_bytes
+
+# Patterns, and ignored paths, are broadcast up to this size, which is measured.
+BROADCAST_BYTES = 128 << 20
+# Which kind of file decides when several match.
+GLOBAL, EXCLUDE, IN_TREE = 0, 1, 2
+_SOURCE = "path:string,dir:string,rank:int"
 _PART = re.compile(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|\\.|[^*?\[\\]+|.", re.S)
 # What each operator of the pattern language may span.
 _SPANS = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
@@ -38,31 +45,76 @@ def ignore_regex(line: str) -> tuple[bool, str] | None:
     return keep, f"^{'' if anchored else '(?:.*/)?'}{regex}{'/' if only_folders else '(?:/|$)'}"
 
 
-def read_ignore_files(paths: list[str]) -> list[dict]:
-    """Patterns in deciding order: deeper directories and later lines last."""
-    out = []
-    for path in sorted(paths, key=lambda p: (p.count("/"), p)):
-        for line in Path(path).read_text(encoding="utf-8", errors="replace").splitlines():
-            if found := ignore_regex(line):
-                keep, regex = found
-                out.append({"dir": path.removesuffix(".gitignore"), "keep": keep, "regex": regex})
-    if len(out) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} ignore patterns")
-    return out
-
-
-def not_git_ignored(files: DataFrame, patterns: list[dict]) -> DataFrame:
-    """Files whose last matching pattern, if any, un-ignores them. A test per
-    row: neither the files nor their contents are shuffled."""
-    if not patterns:
-        return files
-    table = F.from_json(
-        F.lit(json.dumps(patterns)), "array<struct<dir:string,keep:boolean,regex:string>>"
-    )
+def outer_ignore_files(root: str) -> list[dict]:
+    """For a mounted ``root`` inside a git repository: ignore files of the
+    folders above it, the repository's own list, and the user's global one."""
+    here = Path(root).resolve()
+    repo = next((p for p in (here, *here.parents) if (p / ".git").exists()), None)
+    if repo is None:
+        return []
+    above = [p for p in here.parents if p.is_relative_to(repo)]
+    named = subprocess.run(
+        ["git", "-C", str(repo), "config", "--path", "core.excludesFile"],
+        capture_output=True, text=True, check=False,
+    ).stdout.strip()
+    config = os.environ.get("XDG_CONFIG_HOME") or str(Path.home() / ".config")
+    out = [{"path": f"{p}/.gitignore", "dir": f"{p}/", "rank": IN_TREE} for p in above]
+    if repo != here:
+        out.append({"path": f"{repo}/.git/info/exclude", "dir": f"{repo}/", "rank": EXCLUDE})
+    out.append({"path": named or f"{config}/git/ignore", "dir": f"{repo}/", "rank": GLOBAL})
+    return [o for o in out if os.path.isfile(o["path"])]
+
+
+def ignore_patterns(spark: SparkSession, hidden: DataFrame, outer: list[dict]) -> DataFrame:
+    """(dir, rank, line, keep, regex) of the ignore files among the ``hidden``
+    files of a tree and of those that lie outside it; tasks read them."""
     path = F.col("path")
-    hits = F.filter(
-        table,
-        lambda p: F.startswith(path, p["dir"])
-        & (F.regexp_instr(F.substring(path, F.length(p["dir"]) + 1, F.length(path)), p["regex"]) > 0),
+    inside = hidden.select(
+        "path",
+        F.when(F.endswith(path, F.lit("/.gitignore")), F.regexp_replace(path, r"\.gitignore$", ""))
+        .when(
+            F.endswith(path, F.lit("/.git/info/exclude")),
+            F.regexp_replace(path, r"\.git/info/exclude$", ""),
+        )
+        .alias("dir"),
+        F.when(F.endswith(path, F.lit("/.gitignore")), IN_TREE).otherwise(EXCLUDE).alias("rank"),
+    ).filter("dir is not null")
+    if outer:
+        inside = inside.unionByName(small_table(spark, outer, _SOURCE))
+
+    def parsed(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for name, folder, rank in zip(frame["path"], frame["dir"], frame["rank"]):
+                lines = (read_bytes(name) or b"").decode(errors="replace").splitlines()
+                for number, line in enumerate(lines):
+                    if found := ignore_regex(line):
+                        rows.append((folder, rank, number, *found))
+            yield pd.DataFrame(rows, columns=["dir", "rank", "line", "keep", "regex"])
+
+    return inside.mapInPandas(parsed, "dir string, rank int, line int, keep boolean, regex string")
+
+
+def _small(df: DataFrame, size: Column) -> bool:
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def git_ignored(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Those ``paths`` whose last matching pattern ignores them. A path meets
+    the patterns of the folders that it lies in; files of the tree win over the
+    repository's list and this over the global one, then deeper folders and
+    later lines."""
+    parts = F.split("path", "/")
+    folders = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
     )
-    return files.filter(F.coalesce(F.get(hits, F.size(hits) - 1)["keep"], F.lit(True)))
+    inside = paths.filter(F.contains("path", F.lit("/"))).select("path", F.explode(folders).alias("dir"))
+    if _small(patterns, F.octet_length("dir") + F.octet_length("regex") + 64):
+        patterns = F.broadcast(patterns)
+    rest = F.substring("path", F.length("dir") + 1, F.length("path"))
+    hits = inside.join(patterns, "dir").filter(F.regexp_instr(rest, F.col("regex")) > 0)
+    last = F.max_by("keep", F.struct("rank", F.length("dir"), "line"))
+    return hits.groupBy("path").agg(last.alias("keep")).filter("not keep").select("path")
