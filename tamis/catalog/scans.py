@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tamis.plans.settle import shared_folder
 from tamis.sources.rules import load_rule_set
 from tamis.sources.suppressions import Suppression, live_suppressions
 from tamis.operators.suppression import flag_suppressed, on_changed_lines
+from tamis.sources.gitignore import git_ignored, ignore_regex
 from tamis.sources.diffs import changed_lines, changed_lines_of_files
 
 QUERIES: dict = {}
@@ -395,6 +397,28 @@ def diff_changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return _changed(spark, d)
 
 
+@query(
+    "ignored_files",
+    f"""SELECT DISTINCT {R.DOC_PATH} AS path FROM documents WHERE source IS NOT NULL
+    AND doc_id % 10 IN (3, 7) AND doc_id % 100 NOT IN (17, 33)""",
+)
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each folder has an ignore file of its own; one above all of them is weaker."""
+    docs = R.table(spark, d, "documents").selectExpr(f"{R.DOC_PATH} AS path", "'docs/' || source || '/' AS dir")
+    own = docs.select("dir").distinct()
+    lines = [("dir", 2, "*7.txt"), ("dir", 2, "!*17.txt"), ("dir", 2, "!*33.txt"), ("'docs/'", 1, "*3.txt"), ("'docs/'", 1, "*17.txt")]
+    tables = []
+    for number, (folder, rank, line) in enumerate(lines):
+        keep, regex = ignore_regex(line)
+        tables.append(
+            own.select(
+                F.expr(folder).alias("dir"), F.lit(rank).alias("rank"), F.lit(number).alias("line"),
+                F.lit(keep).alias("keep"), F.lit(regex).alias("regex"),
+            ).distinct()
+        )
+    return git_ignored(docs.select("path"), reduce(DataFrame.unionByName, tables))
+
+
 @query("diff_files", f"SELECT path, line FROM {_CHANGED_SQL}")
 def diff_files(spark: SparkSession, d: str) -> DataFrame:
     """The same from files, which are read in splits."""
