@@ -20,6 +20,7 @@ Contexts are compared by 112 bits of hash in step 2, windows by their bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     count = np.bincount(run, minlength=len(first))
     last = first + count - 1
     at = place[first]
-    whole = lambda j: _both(h64[j], h64[j + length - 64])
-    context = _both(_both(whole(first), whole(last)), ((at - first) * 256 + count).astype(np.uint64))
+    # parts of 64 bytes that cover a window
+    parts = [*range(0, length - 64, 64), length - 64]
+    whole = lambda j: reduce(_both, [h64[j + p] for p in parts])
+    context = _both(_both(whole(first), whole(last)), ((at - first) * max(256, length) + count).astype(np.uint64))
     return gram[at] >> np.uint64(16), context, first, count
 
 

@@ -77,3 +77,20 @@ def test_odd_rows(spark, odd_docs):
     assert by[(7, len(text))]["n_removed"] == len(text) - 70
     assert by[(8, len(text) + 4)]["kept"] == b"tail" or by[(8, len(text) + 4)]["n_removed"] == len(text)
     assert found.limit(0).count() == 0
+
+
+@pytest.mark.parametrize("length", [64, 129, 200, 300])
+def test_other_lengths(spark, length):
+    """Windows of any length are hashed whole: copies that differ in one byte
+    of their middle stay."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [word(length + k) for k in range(8)]
+    for k in range(8):
+        at = length * (k + 1) // 10
+        texts.append(texts[k][:at] + "#" + texts[k][at + 1 :])
+        texts.append(word(20) + texts[k][: length + k % 2] + word(9))
+    texts += [word(400) + texts[0] * 2, "a" * 900, None]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert digest(suffix.remove_repeats(df, length)) == sorted(brute(docs, length), key=repr)
