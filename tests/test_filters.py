@@ -193,3 +193,13 @@ def test_diff_only_matches_path_ends(files, spark):
     )
     kept = on_changed_lines(found, changed).select("path", "line").collect()
     assert sorted(map(tuple, kept)) == [("c.txt", 1), ("e", 1), ("r/src/a.txt", 2), ("xb.txt", 1)]
+    none, no_changes = found.filter("false"), changed.filter("false")
+    assert on_changed_lines(none, changed).count() == 0
+    assert on_changed_lines(found, no_changes).count() == 0
+
+
+def test_diff_only_without_broadcast(files, spark, monkeypatch):
+    from tamis.operators import suppression
+
+    monkeypatch.setattr(suppression, "BROADCAST_BYTES", -1)
+    test_diff_only_matches_path_ends(files, spark)
