@@ -8,6 +8,8 @@ one row of the file with their smallest ids, so ties and copies cost nothing.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,6 +132,14 @@ def _bounds(pairs: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray]], k
     return per_batch(pairs, "q bigint, v bigint, low double, high double", make)
 
 
+def grid(n_blocks: int, tasks: int) -> tuple[int, int]:
+    """(parts of the query blocks, groups of row blocks). A row block is copied
+    once per part, so there are at most as many parts as the root of the tasks,
+    however many queries ask."""
+    parts = max(1, min(n_blocks, math.isqrt(tasks)))
+    return parts, max(1, tasks // parts)
+
+
 def _best(pairs: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key with their rank; cut before the shuffle, too."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
@@ -142,7 +152,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     Rows that :func:`integer_vectors` leaves out take no part. Only vectors of
     as many components are compared, those of none never. A repeated row counts
-    once. Row blocks meet query blocks in an equi-join on (row group, query
+    once. An id with several vectors asks with each of them and gets the k best
+    of all their answers; its own further vectors take places among these before
+    they are left out, and as an answer an id may stand once per vector. Row
+    blocks meet query blocks in an equi-join on (row group, query
     block); this is the stated query set against all rows, in blocks."""
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, scale)
@@ -158,20 +171,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     queries = found.where("is_query")
     n_blocks = max(1, -(-queries.count() // QUERIES))
+    parts, groups = grid(n_blocks, partitions(spark))
     asked = written(
         _packed(queries.repartition(n_blocks, "v"), QUERIES, lambda dims, values: values.tobytes()), "queries"
     )
     approximation = written(_packed(found, ROWS, code), "approximation")
-    groups = max(1, partitions(spark) // n_blocks)
-    # each row block once per part of the query blocks, each query block once per group of row blocks
+    # each row block once per part of the query blocks, each query block once per group of row blocks;
+    # within a task, the blocks of one key meet without moving again
     left = approximation.select(
         "dims", "vs", "data", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"),
     )
     right = asked.select(
         "dims", F.col("vs").alias("qs"), F.col("data").alias("query"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g"),
-        F.pmod(F.xxhash64("block"), F.lit(n_blocks)).alias("part"),
+        F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part"),
     )
     pairs = left.join(right, ["dims", "g", "part"]).select("dims", "vs", "data", "qs", "query")
     candidates = written(_bounds(pairs, cells, k + 1), "candidates")

@@ -70,6 +70,13 @@ def test_top_k(spark, bits):
     assert top_k.top_k(df.where("vec_id = 200"), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_row_blocks_are_copied_to_few_parts():
+    for n_blocks in (1, 3, 40, 19_532):
+        for tasks in (1, 4, 200, 10_000):
+            parts, groups = top_k.grid(n_blocks, tasks)
+            assert 1 <= parts <= n_blocks and parts**2 <= tasks and 1 <= groups and parts * groups <= tasks
+
+
 def test_top_k_in_many_blocks(spark, data, rows, monkeypatch):
     monkeypatch.setattr(top_k, "ROWS", 50)
     monkeypatch.setattr(top_k, "QUERIES", 3)
