@@ -1,6 +1,7 @@
 """The numbered queries against plain brute force over whole tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -209,6 +210,33 @@ def test_decontamination_in_passes(spark, odd_docs, limit):
     assert sorted(map(repr, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(repr, expected))
 
 
+def test_decontamination_of_a_small_alphabet(spark, monkeypatch):
+    """Few words: shifts of all sizes, windows of several items, stretches and hashes that collide."""
+    rng = random.Random(5)
+    text = lambda most: " ".join(rng.choices("ab", k=rng.randrange(most)))
+    items = [(i, text(25)) for i in range(60)] + [(100, text(400))]
+    docs = [(i, text(60)) for i in range(150)] + [(1000, text(9000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for bits in (decontaminate.HASH_BITS, 2):
+        monkeypatch.setattr(decontaminate, "HASH_BITS", bits)
+        monkeypatch.setattr(decontaminate, "STRETCH", 16)
+        found = decontaminate.decontaminate(df, bench).select(columns)
+        assert sorted(map(tuple, found.collect())) == sorted(contamination(docs, items))
+
+
+def test_tables_of_a_benchmark_are_bounded():
+    """Their measured size is below what is counted while the items are read."""
+    rng = random.Random(6)
+    items = decontaminate.Items()
+    for i in range(2000):
+        items.add(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(1, 120))))
+    tables = decontaminate.searches(items, 10)
+    arrays = [a for t in tables for a in (t.codes, t.shifts, t.keys, t.starts, t.bounds, t.items)]
+    assert sum(a.nbytes for a in arrays) + 4 * len(items.words) < items.n_bytes < 100 * len(items.words) + 250 * len(items.numbers)
+
+
 def spans(text, rules):
     out = []
     for place, r in enumerate(rules):
