@@ -14,6 +14,7 @@ from tamis.catalog.sqlgen import all_matches, findings, quote
 from tamis.functions.language import language_or_generic
 from tamis.operators.findings import FINDING_COLUMNS, severity_floor
 from tamis.operators.matching import candidate_rules, find_matches
+from tamis.plans.cache_store import Retention, compact
 from tamis.plans.incremental import content_hash, incremental_findings, split_by_cache
 from tamis.plans.scan import IGNORE_TOKEN, raw_findings, scan_files
 from tamis.plans.settle import shared_folder
@@ -485,3 +486,25 @@ def cache_incremental(spark: SparkSession, d: str) -> DataFrame:
     incremental_findings(docs.filter("doc_id % 2 = 0").drop("doc_id"), C.TEXT_RULES, cache, (IGNORE_TOKEN,))
     found = incremental_findings(docs.drop("doc_id"), C.TEXT_RULES, cache, (IGNORE_TOKEN,)).findings
     return found.filter("not ignored").select("rule_id", "path", "line", "snippet")
+
+
+@query(
+    "cache_compacted",
+    f"""SELECT rule_id, path, line, snippet, (SELECT count(*) FROM documents) AS cache_hits,
+      0 AS rescanned FROM {SQL_DOC_FINDINGS}""",
+)
+def cache_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs fill a cache: changed texts, the texts, and the changed ones by
+    fewer rules. A compaction keeps the last content of each path; a fourth run
+    over the texts finds all of them in it."""
+    docs = R.documents(spark, d)
+    changed = docs.withColumn("text", F.concat("text", F.lit("\n")))
+    cache = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    for files, rules in ((changed, C.TEXT_RULES), (docs, C.TEXT_RULES), (changed, C.TEXT_RULES[:1])):
+        incremental_findings(files, rules, cache, (IGNORE_TOKEN,))
+    compact(spark, cache, Retention(contents=1))
+    again = incremental_findings(docs, C.TEXT_RULES, cache, (IGNORE_TOKEN,))
+    return again.findings.filter("not ignored").select(
+        "rule_id", "path", "line", "snippet",
+        F.lit(again.cache_hits).alias("cache_hits"), F.lit(again.rescanned).alias("rescanned"),
+    )

@@ -173,10 +173,11 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanReport:
     compiled = compile_rules(rule_set)
     use_cache = bool(options.cache_dir) and not options.no_cache and changed is None
     if use_cache:
-        from tamis.plans.incremental import incremental_findings
+        from tamis.plans.incremental import incremental_findings, tidy_cache
 
         cached = incremental_findings(files, compiled, options.cache_dir, options.ignore_tokens)
         found, n_hits = cached.findings, cached.cache_hits
+        tidy_cache(spark, options.cache_dir)  # the findings go on reading the version they know
     else:
         found, n_hits = raw_findings(files, compiled, options.ignore_tokens), 0
     judged = judge(
