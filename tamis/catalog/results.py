@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import tamis
@@ -19,6 +19,7 @@ from tamis.operators.findings import FINDING_COLUMNS, ordered
 from tamis.operators.matching import compile_rules
 from tamis.operators.triage import patched_files, triage, verified
 from tamis.plans import reports
+from tamis.plans.coverage_report import ORDER, coverage_report
 from tamis.plans.rule_test import rule_test, rule_test_totals
 from tamis.plans.scan import raw_findings, scan_files
 from tamis.plans.settle import settled, shared_folder
@@ -346,6 +347,47 @@ def cve_summary(spark: SparkSession, d: str) -> DataFrame:
     return K.coverage_summary(_feed(spark, d), _corpus(spark), rules)
 
 
+_COUNTS = SQL["cve_summary"]
+_HEADS = {
+    0: ["'# Advisories and rules'", "''", "'| Count | Value |'", "'| --- | --- |'",
+        "'| Advisories | ' || cves || ' (' || critical || ' critical, ' || high || ' high) |'",
+        "'| Published | ' || first_day || ' to ' || last_day || ' |'",
+        "'| Weakness classes | ' || observed_cwes || ' |'", "'| Classes with a rule | ' || covered_cwes || ' |'",
+        "'| Classes without a rule | ' || gap_cwes || ' |'",
+        "'| Rules | ' || rules || ', with a class: ' || rules_with_cwe || ' |'"],
+    1: ["''", "'## Classes without a rule'", "''", "'| Class | Advisories | Highest scores |'", "'| --- | --- | --- |'"],
+    2: ["''", "'## Classes with a rule'", "''"],
+    3: ["''", "'## Advisories by score (' || least(cves, 40) || ' of ' || cves || ')'", "''",
+        "'| Advisory | Score | Severity | Classes | Coverage | Text |'", "'| --- | --- | --- | --- | --- | --- |'"],
+}
+_HEAD_SQL = " UNION ALL ".join(
+    f"SELECT {section} AS section, false AS is_row, {i}.0 AS rank, '' AS key, {text} AS text FROM counts"
+    for section, texts in _HEADS.items()
+    for i, text in enumerate(texts)
+)
+
+
+@query(
+    "cve_report",
+    f"""WITH counts AS (SELECT *, (SELECT min(published) FROM {_PARSED}) AS first_day,
+        (SELECT max(published) FROM {_PARSED}) AS last_day FROM ({_COUNTS})),
+      gaps AS ({SQL["cwe_coverage_gap"]}), covered AS ({SQL["cwe_covered_rules"]}),
+      best AS (SELECT * FROM {_PARSED} ORDER BY score DESC, id LIMIT 40)
+    SELECT CAST(row_number() OVER (ORDER BY section, is_row, rank, key) AS INT) AS line, text FROM ({_HEAD_SQL}
+      UNION ALL SELECT 1, true, -n_cves, cwe, '| ' || cwe || ' | ' || n_cves || ' | ' || replace(examples, ' ', ', ') || ' |' FROM gaps
+      UNION ALL SELECT 2, true, 0, cwe, '- **' || cwe || '**: ' || replace(rules, ' ', ', ') || CASE WHEN more THEN ' …' ELSE '' END FROM covered
+      UNION ALL SELECT 3, true, -score, id, '| ' || id || ' | ' || score || ' | ' || severity || ' | ' || array_to_string(cwes, ', ')
+        || ' | ' || CASE WHEN list_has_any(cwes, (SELECT list(cwe) FROM {_CORPUS_SQL})) THEN 'covered' ELSE 'GAP' END
+        || ' | ' || "desc" || ' |' FROM best)""",
+)
+def cve_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report with the numbers of its lines: one per weakness class and
+    the forty highest scores, so few enough for one window."""
+    rules = compile_rules(CORPUS).rule_table(spark)
+    lines = coverage_report(_feed(spark, d), _corpus(spark), rules)
+    return lines.select(F.row_number().over(Window.orderBy(*ORDER)).alias("line"), "text")
+
+
 # -- triage and rule tests ---------------------------------------------------
 
 _WORDS = "execute|eval|system|innerHTML|exec\\(|raw\\(|unserialize|pickle|readObject|Deserialize|AKIA|PRIVATE KEY"

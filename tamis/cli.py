@@ -8,6 +8,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.operators.coverage import parse_feed, rule_cwes
+from tamis.operators.matching import compile_rules
+from tamis.plans.coverage_report import coverage_report, coverage_text
 from tamis.plans.reports import FORMATS, evidence_lines, write_report
 from tamis.plans.rule_test import read_fixtures, rule_test, rule_test_totals
 from tamis.plans.scan import ScanOptions, scan
@@ -47,6 +50,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(f"--{name}", action="append", default=[])
     s.add_argument("--min-severity")
     s.add_argument("--error", action="store_true", help="exit 1 when findings remain")
+    c = commands.add_parser("coverage", help="report on a feed of advisories, one JSON record a line")
+    c.add_argument("feed")
+    c.add_argument("--rules")
+    c.add_argument("--top", type=int, default=40, help="advisories listed (0 = all)")
+    c.add_argument("-o", "--output", help="directory for the report's part files")
     r = commands.add_parser("rule", help="work on rules")
     r.add_argument("action", choices=("test",))
     r.add_argument("path")
@@ -132,9 +140,18 @@ def run_rule_test(spark: SparkSession, path: str) -> int:
     return 1 if totals.failed else 0
 
 
+def run_coverage(spark: SparkSession, args) -> int:
+    rules = compile_rules(load_rule_set(args.rules)).rule_table(spark)
+    cves = parse_feed(spark.read.text(args.feed), "value")
+    _emit(coverage_text(coverage_report(cves, rule_cwes(rules), rules, args.top)), args.output)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tamis").getOrCreate()
     if args.command == "rule":
         return run_rule_test(spark, args.path)
+    if args.command == "coverage":
+        return run_coverage(spark, args)
     return run_scan(spark, args)

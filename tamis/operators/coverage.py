@@ -139,7 +139,10 @@ def by_score(cves: DataFrame, top: int = 0) -> DataFrame:
 
 def coverage_summary(cves: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:
     """One row of counts for the report header. The feed is read once."""
-    cves = settled(cves)
+    return summary_of_settled(settled(cves), corpus, rules)
+
+
+def summary_of_settled(cves: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:
     n = lambda s: F.count(F.when(F.col("severity") == s, 1))
     covered = corpus.select("cwe").distinct().withColumn("known", F.lit(True))
     classes = (
