@@ -29,6 +29,7 @@ from tamis.streaming.scan_stream import (
     latest_findings,
     scan_stream,
     scan_stream_latest,
+    stream_findings,
     text_stream,
 )
 
@@ -511,13 +512,14 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = R.table(spark, d, "documents")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+    # as a pattern, for the table is one file or a folder of them
     files = text_stream(
-        spark, d, schema, F.expr(R.DOC_PATH), F.col("text"), only="documents.parquet"
+        spark, f"{d}/documents.parque[t]", schema, F.expr(R.DOC_PATH), F.col("text")
     )
     scan_stream(files, C.TEXT_RULES, f"{out}/findings", f"{out}/checkpoint").trigger(
         availableNow=True
     ).start().awaitTermination()
-    found = spark.read.parquet(f"{out}/findings")
+    found = stream_findings(spark, f"{out}/findings")
     return found.select("rule_id", "severity", "path", "line", "col", "snippet")
 
 

@@ -24,7 +24,8 @@ def text_stream(
     text_col: Column,
     only: str = "*.parquet",
 ) -> DataFrame:
-    """A stream over the Parquet files that appear in a directory."""
+    """A stream over the Parquet files that appear in a directory. Where the path
+    may be one file, it has to be given as a pattern."""
     raw = spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(path)
     return from_table(raw, path_col, text_col)
 
@@ -62,12 +63,18 @@ def scan_stream(
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
+def stream_findings(spark: SparkSession, out: str) -> DataFrame:
+    """What the batches of ``scan_stream`` found; no rows where they found nothing."""
+    return stored_table(spark, out, f"{_FINDING}, batch_id bigint")
+
+
 _VERSION = ["path", "content_hash", "delivery"]
 _SEEN = "path string, content_hash bigint, at bigint, delivery string"
-_FOUND = (
+_FINDING = (
     "rule_id string, severity string, path string, line int, col int, message string, snippet string, "
-    "language string, fix string, rule_ord int, pat_ord int, match_ord int, content_hash bigint, delivery string"
+    "language string, fix string, rule_ord int, pat_ord int, match_ord int"
 )
+_FOUND = f"{_FINDING}, content_hash bigint, delivery string"
 
 
 def scan_stream_latest(

@@ -156,6 +156,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("hits").count() == 40
 
 
+def test_stream_scan_reads_a_table_of_many_files(spark, tmp_path):
+    from tamis.catalog.results import stream_scan
+
+    text = 'x\ntoken = "0123456789abcdef0123"\n'
+    docs = spark.createDataFrame([(i, text if i % 2 else "none", "web") for i in range(10)], "doc_id long, text string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    docs.filter("doc_id % 2 = 0").write.parquet(str(tmp_path / "clean/documents.parquet"))
+    found = [(r["path"], r["line"]) for r in stream_scan(spark, str(tmp_path / "many")).collect()]
+    assert sorted(found) == [(f"docs/web/{i}.txt", 2) for i in range(1, 10, 2)]
+    assert stream_scan(spark, str(tmp_path / "clean")).collect() == []
+
+
 def test_scan_of_a_directory(spark, tmp_path):
     def put(name, content):
         p = tmp_path / name
