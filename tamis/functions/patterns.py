@@ -146,12 +146,12 @@ def compile_pattern(pattern: str) -> CompiledPattern:
 
 def index_literals(pattern: str) -> list[str]:
     """Lower-case literals of three or more bytes for candidate look-up:
-    every dotted name as a whole, and its parts."""
+    every dotted or dashed name as a whole, and its parts."""
     pieces, _ = split_pattern(pattern)
     out: list[str] = []
     for word in (w for p in pieces for w in p.words):
         for token in _WORD.split(word):
-            for lit in (*token.split("."), token):
+            for lit in (*re.split(r"[.\-]", token), *token.split("."), token):
                 if len(lit.encode()) >= 3 and lit.lower() not in out:
                     out.append(lit.lower())
     return out

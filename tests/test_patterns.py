@@ -105,6 +105,11 @@ def test_index_literals(pattern, literals):
     assert index_literals(pattern) == literals
 
 
+def test_index_literals_of_dashed_names():
+    assert index_literals("+1 ($AREA) 555-") == ["555", "555-"]
+    assert index_literals("left-pad.core") == ["left", "pad", "core", "left-pad", "left-pad.core"]
+
+
 def test_flow_regex_swallows_dots():
     regex, words = flow_regex("request.$ANY.x(...)")
     assert regex == r"request\..*?\(.*?\)" and words == ("request.", "(", ")")
