@@ -25,6 +25,7 @@ MAX_TABLE_BYTES = 640 << 20
 # for each distinct word (an entry of the dictionary).
 WORD_BYTES, NUMBER_BYTES = 56, 150
 HASH_BITS, STRETCH = 36, 256
+TEXT_BYTES = 1 << 20  # of texts cut into words at once; as objects, words take ten times that
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TO_WORDS = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -220,7 +221,7 @@ def _pass(state: DataFrame, docs: DataFrame, items: Items, window: int, last: bo
             out: list[list] = [[] for _ in tail.split(", ")]
             old_hit, old_items = batch["__hit"], batch["__items"]
             row = 0
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TEXT_BYTES):
                 texts = [words_of(text) for text in part["text"].to_pylist()]
                 for words, hit, found in zip(texts, *occurrences(texts)):
                     hit, found = {*hit, *old_hit[row].as_py()}, {*found, *old_items[row].as_py()}
