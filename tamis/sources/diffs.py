@@ -56,45 +56,74 @@ def changed_lines(diffs: DataFrame, text: str = "text") -> DataFrame:
     return _lines(hunks)
 
 
+def _named():
+    """Marks in the order of their splits to hunks with the header before them,
+    and a row ``ends`` with the last header of each split. (A local function: it
+    travels with the plan.)"""
+
+    def named(frames):
+        import pandas as pd
+
+        out = ["file", "split", "name", "start", "count", "ends"]
+        now, last = None, None
+        for frame in frames:
+            parts = []
+            for key, rows in frame.groupby(["file", "split"], sort=False):
+                if key != now:
+                    if now is not None:
+                        parts.append(pd.DataFrame([[*now, last, None, None, True]], columns=out))
+                    now, last = key, None
+                names = [last := name if name is not None else last for name in rows["name"]]
+                hunks = rows.assign(name=names, ends=False)
+                parts.append(hunks[hunks["start"].notna()][out])
+            yield from parts
+        if now is not None:
+            yield pd.DataFrame([[*now, last, None, None, True]], columns=out)
+
+    return named
+
+
 def changed_lines_of_files(spark: SparkSession, path: str) -> DataFrame:
     """The same of diff files below ``path``, each read by as many tasks as it
     has splits.
 
-    Only header and hunk lines are kept. Within a split a hunk takes the header
-    before it; hunks in front of a split's first header take the last one of
-    the splits before, which one row a split tells."""
+    Only header and hunk lines are kept. The task that reads a split goes
+    through them in order, so a hunk takes the header before it and nothing is
+    sorted; hunks in front of a split's first header take the last one of the
+    splits before, which one row a split tells."""
     value = F.col("value")
     name = F.when(
         F.startswith(value, F.lit(_HEADER)),
         F.regexp_replace(F.substring(value, len(_HEADER) + 1, 2**31 - 1), "\r$", ""),
     )
     part = lambda i: F.regexp_extract(value, _HUNK, i)
-    marks = settled(
+    marks = (
         spark.read.option("lineSep", "\n").text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("at"),
             name.alias("name"),
-            F.when(part(1) != "", _hunk(part(1), part(2))).alias("h"),
+            F.when(F.startswith(value, F.lit("@@ ")) & (part(1) != ""), _hunk(part(1), part(2))).alias("h"),
         )
         .filter("name is not null or h is not null")
+        .select("file", "split", "name", "h.*")
     )
-    ends = marks.groupBy("file", "split").agg(
-        F.max_by("name", F.when(F.col("name").isNotNull(), F.col("at"))).alias("name")
+    rows = settled(
+        marks.mapInPandas(
+            _named(), "file string, split long, name string, start int, count int, ends boolean"
+        )
     )
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        "file", "split", F.last("name", ignorenulls=True).over(earlier).alias("carried")
+    carried = rows.filter("ends").select(
+        "file", "split", F.last("name", ignorenulls=True).over(earlier).alias("path")
     )
-    inside = Window.partitionBy("file", "split").orderBy("at")
-    hunks = (
-        marks.withColumn("name", F.last("name", ignorenulls=True).over(inside))
-        .filter("h is not null")
-        .join(carried, ["file", "split"])
-        .select(F.coalesce("name", "carried").alias("path"), "h")
+    h = F.struct("start", "count").alias("h")
+    hunks = rows.filter("not ends")
+    headless = hunks.filter("name is null").join(carried.filter("path is not null"), ["file", "split"])
+    return _lines(
+        hunks.filter("name is not null").select(F.col("name").alias("path"), h)
+        .unionByName(headless.select("path", h))
     )
-    return _lines(hunks.filter("path is not null"))
 
 
 def git_diff(spark: SparkSession, repo: str, baseline: str) -> DataFrame:

@@ -165,6 +165,22 @@ def test_diff_files_are_read_in_splits(spark, tmp_path):
     assert len(want) > 1500
 
 
+def test_diff_splits_are_not_sorted(spark, tmp_path):
+    """One header, a hunk in each of many splits; only a row per split meets in a window."""
+    hunks = "".join(f"@@ -1 +{k} @@ def\n+{'x' * 90}\n" for k in range(1, 301))
+    (tmp_path / "a.diff").write_text(f"@@ -1 +9 @@\n+++ b/long\n{hunks}")
+    (tmp_path / "b.diff").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = changed_lines_of_files(spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == [("long", k) for k in range(1, 301)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and plan.count("Window [") == 1
+
+
 def test_git_diff(spark, tmp_path):
     def git(*args):
         who = ["-c", "user.name=n", "-c", "user.email=e@x"]
