@@ -28,11 +28,9 @@ def trim_start_ws(col: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Split into lines: a final newline opens no line, one trailing CR is dropped."""
+    ends = F.endswith(text, F.lit("\n")) | (F.length(text) == 0)
     parts = F.split(text, "\n", -1)
-    parts = F.when(
-        F.endswith(text, F.lit("\n")) | (F.length(text) == 0),
-        F.slice(parts, 1, F.size(parts) - 1),
-    ).otherwise(parts)
+    parts = F.when(ends, let(parts, lambda p: F.slice(p, 1, F.size(p) - 1))).otherwise(parts)
     return F.when(
         F.contains(text, F.lit("\r")),
         F.transform(parts, lambda l: F.regexp_replace(l, "\r$", "")),

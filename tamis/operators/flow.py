@@ -44,7 +44,7 @@ def _found(text: Column, regex: Column) -> Column:
     return F.coalesce(F.regexp_instr(text, regex) > 0, F.lit(False))
 
 
-def _line(raw: Column, index: Column, roles: dict[str, Column]) -> Column:
+def _line(raw: Column, index: Column, roles: dict[str, Column], has: Column) -> Column:
     """What a line says by itself. Lists of names are only made where a later
     step may look at them."""
 
@@ -76,7 +76,7 @@ def _line(raw: Column, index: Column, roles: dict[str, Column]) -> Column:
             )
 
         tested = [
-            F.when(ignored, False).otherwise(_found(t, regex)).alias(name)
+            F.when(has[name] & ~ignored, _found(t, regex)).otherwise(False).alias(name)
             for name, regex in roles.items()
         ]
         return let(F.struct(*tested), with_roles)
@@ -137,7 +137,8 @@ def _functions(rows: Column, spans: Column, brace: bool) -> Column:
             end.alias("end"),
         )
 
-    return F.zip_with(spans["starts"], spans["ends"], function).cast(_FUNCTIONS)
+    found = let(spans, lambda s: F.zip_with(s["starts"], s["ends"], function))
+    return found.cast(_FUNCTIONS)
 
 
 def _push(array: Column, value: Column, when: Column) -> Column:
@@ -266,28 +267,52 @@ def _analyse(rows: Column, seed: Column, leaky: Column, flat: Column) -> Column:
 
 def _hits(rows: Column, fns: Column) -> Column:
     """First find the functions whose result is tainted when their parameters
-    are, then scan the top level and all functions with that knowledge."""
+    are, then scan the top level and all functions with that knowledge.
+
+    Only what that can change is folded: a function again if it has a sink and
+    some function leaks, the top level if something can start a flow there."""
     flat = F.size(fns) == 0
 
     def body(f: Column) -> Column:
         return F.slice(rows, f["start"] + 2, f["end"] - f["start"] - 1)
 
-    leaking = F.filter(fns, lambda f: _analyse(body(f), f["params"], _strings(), flat)["leaks"])
+    def any_line(rs: Column, role: str) -> Column:
+        return F.exists(rs, lambda l: l[role])
 
-    def scopes_hits(leaky: Column) -> Column:
+    def top_hits(leaky: Column) -> Column:
         # lines of functions as a set, so that no line meets every function
         covered = F.flatten(F.transform(fns, lambda f: F.sequence(f["start"], f["end"] - 1)))
         outside = F.array_except(F.transform(rows, lambda l: l["at"]), covered)
         top = F.when(flat, rows).otherwise(F.transform(outside, lambda at: F.element_at(rows, at + 1)))
-        scope = lambda rs, seed: F.struct(rs.alias("rows"), seed.alias("seed"))
-        scopes = F.concat(
-            F.array(scope(top, _strings())), F.transform(fns, lambda f: scope(body(f), f["params"]))
-        )
-        return F.flatten(
-            F.transform(scopes, lambda c: _analyse(c["rows"], c["seed"], leaky, flat)["hits"])
+        starts = (F.size(leaky) > 0) | any_line(rows, "source")
+
+        def fold(top: Column) -> Column:
+            return F.when(
+                any_line(top, "sink"), _analyse(top, _strings(), leaky, flat)["hits"]
+            ).otherwise(none)
+
+        return F.when(starts, let(top, fold)).otherwise(none)
+
+    def function_hits(leaky: Column, alone: Column) -> Column:
+        def again(f: Column, a: Column) -> Column:
+            changes = (F.size(leaky) > 0) & any_line(body(f), "sink")
+            return F.when(
+                changes, _analyse(body(f), f["params"], leaky, flat)["hits"]
+            ).otherwise(a["hits"])
+
+        return F.flatten(F.zip_with(fns, alone, again))
+
+    none = F.array().cast("array<int>")
+    alone = F.transform(fns, lambda f: _analyse(body(f), f["params"], _strings(), flat))
+
+    def with_functions(alone: Column) -> Column:
+        leaking = F.zip_with(fns, alone, lambda f, a: F.when(a["leaks"], f["name"]))
+        return let(
+            F.array_distinct(F.array_compact(leaking)),
+            lambda leaky: F.concat(top_hits(leaky), function_hits(leaky, alone)),
         )
 
-    return let(F.array_distinct(F.transform(leaking, lambda f: f["name"])), scopes_hits)
+    return let(alone, with_functions)
 
 
 def flow_lines(
@@ -295,7 +320,11 @@ def flow_lines(
 ) -> Column:
     """Sorted 1-based lines on which tainted data reaches a sink."""
     roles = {"source": source, "sink": sink, "sanitizer": sanitizer}
-    rows = F.transform(lines(text), lambda raw, i: _line(raw, i, roles))
+    # A role that the whole text does not have is looked for on no line.
+    rows = let(
+        F.struct(*[_found(text, regex).alias(name) for name, regex in roles.items()]),
+        lambda has: F.transform(lines(text), lambda raw, i: _line(raw, i, roles, has)),
+    )
 
     def with_rows(rows: Column) -> Column:
         none = F.array().cast(_FUNCTIONS)
@@ -308,4 +337,4 @@ def flow_lines(
         fns = F.concat(F.coalesce(indented, none), F.coalesce(braced, none))
         return let(fns, lambda fns: _hits(rows, fns))
 
-    return F.array_sort(F.array_distinct(let(rows, with_rows)))
+    return F.sort_array(F.array_distinct(let(rows, with_rows)))

@@ -64,3 +64,31 @@ def test_empty_roles(files):
     no_sink = Rule("a", ("python",), "ERROR", "m", flow=Flow(("read()",), ()))
     no_source = Rule("b", ("python",), "ERROR", "m", flow=Flow((), ("execute(...)",)))
     assert raw_findings(f, [no_sink, no_source]).count() == 0
+
+
+SKIPS = {
+    "leak reaches a function.py": (
+        "def get(a):\n    return a\ndef use():\n    v = get()\n    execute(v)\ndef own(q):\n    execute(q)\n", [5, 7]),
+    "source only inside.py": ("def f():\n    q = read()\nexecute(q)\n", []),
+    "sink only inside.py": ("q = read()\ndef f(a):\n    execute(a)\n", [3]),
+    "leak without a sink on top.py": ("def get():\n    return read()\ndef f():\n    execute(get())\nget()", [4]),
+    "no source but a leak.js": ("function get(a) {\n  return a;\n}\nv = get();\nexecute(v);\n", [5]),
+    "white space around.py": ("　q = read()\t\r\n execute(q)\r\n", [2]),
+}
+
+
+def test_flows_skip_only_what_cannot_change(spark):
+    """Functions are found by one fold of each kind, and skipped folds lose nothing."""
+    from pyspark.sql import functions as F
+
+    from tamis.operators.flow import flow_lines
+    from tamis.sources.files import from_table
+
+    df = from_table(
+        spark.createDataFrame([(p, t) for p, (t, _) in SKIPS.items()], "p string, t string"), F.col("p"), F.col("t")
+    )
+    regexes = [F.lit(r) for r in (r"read\(\)", r"execute\(.*?\)", r"clean\(.*?\)")]
+    got = df.select("path", flow_lines(F.col("text"), F.col("lang"), *regexes).alias("at"))
+    assert {r.path: r["at"] for r in got.collect()} == {p: at for p, (_, at) in SKIPS.items()}
+    # two kinds of functions, a function alone and again, and the top level
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 5
