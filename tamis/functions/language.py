@@ -66,7 +66,8 @@ def detect_language(path: Column) -> Column:
             F.element_at(_by_suffix(later), suffix),
         )
 
-    return by(F.regexp_extract(path, r"(\.[^.]*)$", 1))
+    suffix = F.concat(F.lit("."), F.substring_index(path, ".", -1))
+    return by(F.when(F.contains(path, F.lit(".")), suffix).otherwise(""))
 
 
 def language_or_generic(path: Column) -> Column:

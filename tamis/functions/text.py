@@ -79,4 +79,4 @@ def xml_escape(col: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)

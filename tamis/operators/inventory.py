@@ -60,11 +60,8 @@ def availability_rank(availability: Column) -> Column:
 
 def manifest_order(path: Column) -> Column:
     """Place of the file name in the look-up order; null for other files."""
-    base = basename(path)
-    out = F
-    for i, name in enumerate(MANIFESTS):
-        out = out.when(base == name, F.lit(i))
-    return out
+    places = F.create_map(*[F.lit(x) for i, name in enumerate(MANIFESTS) for x in (name, i)])
+    return F.try_element_at(places, basename(path))
 
 
 def _dep(name, version, direct, resolved, license=None, can_declare=False) -> Column:
@@ -87,28 +84,6 @@ def _dep(name, version, direct, resolved, license=None, can_declare=False) -> Co
 # -- VARIANT helpers ---------------------------------------------------------
 
 
-def _toml_to_json(text: Column) -> Column:
-    """TOML as JSON; null when malformed. Dates become objects so that they
-    are not taken for strings. (UDF bodies are local functions: they travel
-    with the plan, and executors need not have this package.)"""
-
-    def convert(texts):
-        import json
-        import tomllib
-
-        import pandas as pd
-
-        def one(text):
-            try:
-                return json.dumps(tomllib.loads(text), default=lambda d: {"toml": str(d)})
-            except (tomllib.TOMLDecodeError, TypeError):
-                return None
-
-        return pd.Series([one(t) for t in texts])
-
-    return F.pandas_udf(convert, T.StringType())(text)
-
-
 def _json_of_any_depth():
     """(loads, walk) without recursion. They are made here so that they travel
     with the plan."""
@@ -188,20 +163,43 @@ def _json_of_any_depth():
     return loads, walk
 
 
-def _compact_json(text: Column) -> Column:
-    """A lock file with only what is read from it, the last of repeated keys;
-    null when malformed. For the rare texts that are no VARIANT as they are:
-    they repeat keys, are too large or nested too deep. Nested dependencies
-    become the list ``flat``."""
+_NESTED = T.ArrayType(
+    T.StructType()
+    .add("name", T.StringType())
+    .add("version", T.StringType())
+    .add("license", T.StringType())
+    .add("top", T.BooleanType())
+)
+_READ = T.StructType().add("json", T.StringType()).add("flat", _NESTED)
+
+
+def _read_otherwise(how: Column, text: Column) -> Column:
+    """(json, flat) of the texts that Spark does not read as they are; both null
+    for all others, so that one Arrow pass does for every format.
+
+    toml: the same as JSON. Dates become objects so that they are not taken for
+    strings. odd: a lock file that is no VARIANT as it is, for it repeats keys,
+    is too large or nested too deep, with only what is read from it, the last of
+    repeated keys. Of odd ones and of the old layout ``flat`` lists the nested
+    dependencies, parents first, keys in order. Null when malformed. (UDF bodies
+    are local functions: they travel with the plan, and executors need not have
+    this package.)"""
     loads, walk = _json_of_any_depth()
 
-    def convert(texts):
+    def convert(hows, texts):
         import json
+        import tomllib
 
-        import pandas as pd
+        import pyarrow as pa
 
         read = ("name", "version", "license")
 
+        def toml(text):
+            try:
+                return json.dumps(tomllib.loads(text), default=lambda d: {"toml": str(d)}), None
+            except (tomllib.TOMLDecodeError, TypeError):
+                return None, None
+
         def scalar(v):
             return None if isinstance(v, (dict, list)) else v
 
@@ -213,15 +211,18 @@ def _compact_json(text: Column) -> Column:
         def cut(entry):
             return {k: shallow(entry[k]) for k in read if k in entry} if isinstance(entry, dict) else scalar(entry)
 
-        def one(text):
+        def lock(text):
             try:
-                doc = loads(text) if text else None
+                doc = loads(text)
             except ValueError:
-                return None
-            if not isinstance(doc, dict):
-                return None
-            tree = doc.get("dependencies")
-            out = {"flat": [dict(zip((*read, "top"), d)) for d in walk(tree)] if isinstance(tree, dict) else []}
+                return None, None
+            return (doc, walk(doc["dependencies"]) if isinstance(doc.get("dependencies"), dict) else []) if isinstance(doc, dict) else (None, None)
+
+        def odd(text):
+            doc, flat = lock(text)
+            if doc is None:
+                return None, None
+            out = {}
             for key in ("packages", "packages-dev"):
                 entries = doc.get(key)
                 if isinstance(entries, list):
@@ -231,11 +232,19 @@ def _compact_json(text: Column) -> Column:
                     root = entries.get("")
                     if isinstance(root, dict) and "dependencies" in root:
                         out[key][""]["dependencies"] = shallow(root["dependencies"])
-            return json.dumps(out)
-
-        return pd.Series([one(t) for t in texts])
+            return json.dumps(out), flat
+
+        by = {"toml": toml, "odd": odd, "old": lambda text: (None, lock(text)[1])}
+        none = (None, None)
+        hows, texts = hows.to_pylist(), texts.to_pylist()
+        found = [by[how](text) if how else none for how, text in zip(hows, texts)]
+        flat = [f[1] and [dict(zip(("name", "version", "license", "top"), d)) for d in f[1]] for f in found]
+        dep = pa.struct([("name", pa.string()), ("version", pa.string()), ("license", pa.string()), ("top", pa.bool_())])
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array(flat, pa.list_(dep))], ["json", "flat"]
+        )
 
-    return F.pandas_udf(convert, T.StringType())(text)
+    return F.arrow_udf(convert, _READ)(how, F.when(how.isNotNull(), text))
 
 
 def _at(v: Column, path: str, kind: str) -> Column:
@@ -272,7 +281,7 @@ def _npm_packages(doc: Column) -> Column:
         _object_at(doc, '$.packages[""].dependencies'), lambda e: e["key"]
     )
 
-    def package(e: Column) -> Column:
+    def package(e: Column, root_names: Column) -> Column:
         name = F.substring_index(e["key"], "node_modules/", -1)
         depth = F.size(F.split(e["key"], "node_modules/", -1)) - 1
         return _dep(
@@ -284,38 +293,10 @@ def _npm_packages(doc: Column) -> Column:
             can_declare=True,
         )
 
-    return F.filter(
-        F.transform(_object_at(doc, "$.packages"), package), lambda d: d["name"] != ""
+    found = let(
+        root_names, lambda names: F.transform(_object_at(doc, "$.packages"), lambda e: package(e, names))
     )
-
-
-_NESTED = T.ArrayType(
-    T.StructType()
-    .add("name", T.StringType())
-    .add("version", T.StringType())
-    .add("license", T.StringType())
-    .add("top", T.BooleanType())
-)
-
-
-def _nested_dependencies(text: Column) -> Column:
-    """The old lock layout nests dependencies to any depth: parents first, keys
-    in order."""
-    loads, walk = _json_of_any_depth()
-
-    def flatten(texts):
-        import pandas as pd
-
-        def one(text):
-            try:
-                tree = loads(text).get("dependencies")
-            except (ValueError, AttributeError):
-                return []
-            return walk(tree) if isinstance(tree, dict) else []
-
-        return pd.Series([one(t) for t in texts])
-
-    return F.pandas_udf(flatten, _NESTED)(text)
+    return F.filter(found, lambda d: d["name"] != "")
 
 
 def _npm_nested(nested: Column) -> Column:
@@ -328,28 +309,35 @@ def _npm_nested(nested: Column) -> Column:
 
 
 def _cargo_lock(doc: Column) -> Column:
-    packages = _list_at(doc, "$.package")
     is_member = lambda p: _at(p, "$.source", "variant").isNull()
-    direct = F.flatten(
-        F.transform(
-            F.filter(packages, is_member),
-            lambda p: F.transform(
-                _list_at(p, "$.dependencies"),
-                lambda d: F.element_at(F.split(trim_ws(d.cast("string")), f"{UNICODE}{WS}+", -1), 1),
+
+    def direct(packages: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.filter(packages, is_member),
+                lambda p: F.transform(
+                    _list_at(p, "$.dependencies"),
+                    lambda d: F.element_at(F.split(trim_ws(d.cast("string")), f"{UNICODE}{WS}+", -1), 1),
+                ),
+            )
+        )
+
+    def used(packages: Column, direct: Column) -> Column:
+        named = F.filter(
+            packages, lambda p: ~is_member(p) & _text_at(p, "$.name").isNotNull()
+        )
+        return F.transform(
+            named,
+            lambda p: _dep(
+                _text_at(p, "$.name"),
+                _text_at(p, "$.version"),
+                F.array_contains(direct, _text_at(p, "$.name")),
+                F.lit(True),
             ),
         )
-    )
-    used = F.filter(
-        packages, lambda p: ~is_member(p) & _text_at(p, "$.name").isNotNull()
-    )
-    return F.transform(
-        used,
-        lambda p: _dep(
-            _text_at(p, "$.name"),
-            _text_at(p, "$.version"),
-            F.array_contains(direct, _text_at(p, "$.name")),
-            F.lit(True),
-        ),
+
+    return let(
+        _list_at(doc, "$.package"), lambda ps: let(direct(ps), lambda names: used(ps, names))
     )
 
 
@@ -553,7 +541,7 @@ def _in_order(deps: Column, repeats: Column) -> Column:
         deps, lambda d, i: F.struct(d["name"].alias("name"), i.alias("seq"), d.alias("d"))
     )
     return let(
-        F.array_sort(rows),
+        F.sort_array(rows),
         lambda rs: F.filter(
             rs,
             lambda r, i: repeats
@@ -568,22 +556,21 @@ def _in_order(deps: Column, repeats: Column) -> Column:
 
 @lru_cache(maxsize=4)
 def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]:
-    """(text as JSON, the same read otherwise, dependencies in order, ecosystem)
-    of rows with the columns base, text, json and doc. Kept per application, to
-    which UDFs belong."""
-    base, text, doc = F.col("base"), F.col("text"), F.col("doc")
+    """(text as VARIANT, what is read otherwise, dependencies in order, ecosystem)
+    of rows with the columns base, text, plain, read and doc. Kept per
+    application, to which UDFs belong."""
+    base, text, plain, doc = F.col("base"), F.col("text"), F.col("plain"), F.col("doc")
     is_toml = F.endswith(base, F.lit(".toml")) | base.isin("Cargo.lock", "poetry.lock")
     is_json = F.endswith(base, F.lit(".json")) | (base == "composer.lock")
-    as_json = F.when(is_toml, _toml_to_json(F.when(is_toml, text).otherwise(""))).when(is_json, text)
     is_npm = base.isin("package-lock.json", "npm-shrinkwrap.json")
-    has_packages = _at(doc, "$.packages", "map<string,variant>").isNotNull()
-    # Only the old layout passes through Python, and only its text.
-    compacted = F.col("compact").isNotNull()
-    old = F.coalesce(F.when(is_npm & doc.isNotNull() & ~has_packages & ~compacted, text), F.lit(""))
-    flat = _at(doc, "$.flat", _NESTED.simpleString())
-    nested = _npm_nested(F.when(compacted, flat).otherwise(_nested_dependencies(old)))
+    packages = lambda v: _at(v, "$.packages", "map<string,variant>").isNotNull()
+    how = (
+        F.when(is_toml, "toml")
+        .when(is_json & plain.isNull(), "odd")
+        .when(is_npm & ~packages(plain), "old")
+    )
     deps = (
-        F.when(is_npm, F.when(has_packages, _npm_packages(doc)).otherwise(nested))
+        F.when(is_npm, F.when(packages(doc), _npm_packages(doc)).otherwise(_npm_nested(F.col("read.flat"))))
         .when(base == "Cargo.lock", _cargo_lock(doc))
         .when(base == "Cargo.toml", _cargo_toml(doc))
         .when(base == "Gemfile.lock", _gemfile_lock(text))
@@ -597,20 +584,19 @@ def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]
     ecosystem = F.element_at(
         F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base
     )
-    failed = is_json & F.try_parse_json("text").isNull()  # from text alone: one pass with the TOML
-    compact = _compact_json(F.when(failed, text).otherwise(""))
-    return as_json, compact, _in_order(deps, repeats), ecosystem
+    parsed = F.when(is_json, F.try_parse_json(text))
+    return parsed, _read_otherwise(how, text), _in_order(deps, repeats), ecosystem
 
 
 def _manifest_rows(files: DataFrame) -> DataFrame:
-    as_json, compact, _, _ = _manifest_columns(files.sparkSession.sparkContext.applicationId)
+    plain, read, _, _ = _manifest_columns(files.sparkSession.sparkContext.applicationId)
     return (
         files.withColumn("cand", manifest_order(F.col("path")))
         .filter("cand is not null and text is not null")
         .select("path", "text", "cand", basename(F.col("path")).alias("base"))
-        .withColumn("json", as_json)
-        .withColumn("compact", compact)
-        .withColumn("doc", F.coalesce(F.try_parse_json("json"), F.try_parse_json("compact")))
+        .withColumn("plain", plain)
+        .withColumn("read", read)
+        .withColumn("doc", F.coalesce("plain", F.try_parse_json("read.json")))
     )
 
 
@@ -653,7 +639,8 @@ def merge_inventory(deps: DataFrame) -> DataFrame:
         value, F.when(cond, order)
     )
     resolved = F.col("resolved")
-    out = deps.groupBy("ecosystem", "name").agg(
+    # a hash in front: the sort below the aggregate compares one number per pair of rows
+    out = deps.groupBy(F.xxhash64("ecosystem", "name").alias("_hash"), "ecosystem", "name").agg(
         first_of("version", resolved).alias("_resolved_version"),
         F.coalesce(first_of("version", F.col("version") != ""), F.lit("")).alias("_any_version"),
         first_of("license", F.col("license").isNotNull()).alias("license"),
