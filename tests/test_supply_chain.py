@@ -222,3 +222,11 @@ def test_repeated_keys_and_unreadable_manifests(files):
     found = {(r["name"], r["version"], r["direct"]) for r in inventory(f).collect()}
     assert found == {("a", "1", True), ("p/q", "2", True)}
     assert sorted(r[0] for r in unreadable_manifests(f).collect()) == ["y/Cargo.lock", "z/composer.lock"]
+
+
+def test_one_arrow_pass_reads_every_format(files):
+    """The old npm layout had a pass of its own."""
+    from tamis.operators.inventory import parse_manifests
+
+    plan = parse_manifests(files(("a/package-lock.json", "{}")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
