@@ -75,6 +75,11 @@ class CompiledPattern:
     core: str
     words: tuple[str, ...]
 
+    @property
+    def is_literal(self) -> bool:
+        """Whether the matches are just the occurrences of one word."""
+        return len(self.words) == 1 and self.search == f"(?s)()({re.escape(self.words[0])})()"
+
 
 def _piece(tokens: list[tuple[str, str]]) -> Piece:
     blank = WS + "*"

@@ -83,7 +83,9 @@ def ordinals(text: Column, wanted: Sequence[Sequence[str] | None], few: int = FE
     for x, entries in whole.items():
         buckets[zlib.crc32(x.encode()) % _BUCKETS][x] = entries
     table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
-    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({tree_regex(sorted(of))}))"), F.lit(1)))
+    # most places are left at their first letter, by one test ahead of the tree
+    first = f"(?=[{''.join(sorted({_letter(x[0]) for x in of}))}])"
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{first}(?=({tree_regex(sorted(of))}))"), F.lit(1)))
     met = F.flatten(F.transform(starts, lambda x: F.get(table, (F.crc32(x) % _BUCKETS).cast("int"))[x]))
     met = F.coalesce(met, F.array().cast("array<int>"))
     return F.array_sort(F.array_distinct(F.concat(met, F.array(*map(F.lit, always)).cast("array<int>"))))

@@ -46,6 +46,7 @@ PATTERN_FIELDS = {
     "core": "string",
     "names": "array<string>",
     "words": "array<string>",
+    "literal": "string",
     "inside": "string",
     "never": "string",
     "constraints": "array<struct<name:string,regex:string>>",
@@ -145,6 +146,7 @@ class CompiledRules:
                     "core": c.core,
                     "names": list(c.names),
                     "words": sorted(set(c.words)),
+                    "literal": c.words[0] if c.is_literal else None,
                 }
                 self._append(row | found, anchor)
 
@@ -457,6 +459,26 @@ def _match_columns(needs: Needs) -> tuple[Column, Column, Column]:
     return _mark_of(text), marked, hits
 
 
+def _needs(compiled: CompiledRules, every_match: bool, captures: bool, scope_flows: bool) -> Needs:
+    rules = compiled.rules
+    return Needs(
+        every=every_match or captures,
+        captures=captures,
+        constraints=compiled.needs_captures,
+        never=any(r.pattern_not is not None for r in rules),
+        inside=any(r.pattern_inside is not None for r in rules),
+        patterns=not rules or any(not r.flow for r in rules),
+        flows=any(r.flow for r in rules),
+        scope_flows=scope_flows,
+    )
+
+
+def _kept(pairs: DataFrame) -> list[str]:
+    """The columns of ``pairs`` without the text and the pattern."""
+    drop = set(PATTERN_FIELDS) - {"pat_ord", "rule_ord", "rule_id"}
+    return [c for c in pairs.columns if c not in drop | {"text"}]
+
+
 def evaluate_pairs(
     pairs: DataFrame,
     compiled: CompiledRules,
@@ -471,21 +493,8 @@ def evaluate_pairs(
     Findings are one per line, so only the first match on a line is reported
     unless ``every_match`` is set. ``scope_flows`` applies pattern-inside to
     flow rules as well."""
-    drop = set(PATTERN_FIELDS) - {"pat_ord", "rule_ord", "rule_id"}
-    keep = [c for c in pairs.columns if c not in drop | {"text"}]
-    rules = compiled.rules
-    mark, marked, hits = _match_columns(
-        Needs(
-            every=every_match or captures,
-            captures=captures,
-            constraints=compiled.needs_captures,
-            never=any(r.pattern_not is not None for r in rules),
-            inside=any(r.pattern_inside is not None for r in rules),
-            patterns=not rules or any(not r.flow for r in rules),
-            flows=any(r.flow for r in rules),
-            scope_flows=scope_flows,
-        )
-    )
+    keep = _kept(pairs)
+    mark, marked, hits = _match_columns(_needs(compiled, every_match, captures, scope_flows))
     rows = pairs.withColumn("_mark", mark).withColumn("_marked", marked)
     return rows.select(*keep, F.posexplode(hits).alias("match_ord", "hit")).select(
         *keep, "match_ord", "hit.*"
@@ -498,3 +507,33 @@ def find_matches(files: DataFrame, rules, *, captures: bool = True) -> DataFrame
     return evaluate_pairs(
         candidate_pairs(files, compiled), compiled, every_match=True, captures=captures
     )
+
+
+def count_matches(files: DataFrame, rules) -> DataFrame:
+    """Number ``n`` of the matches of each (file, pattern), zeros left out:
+    the rows of ``find_matches`` counted. Where no constraint, exclusion or
+    flow decides, no line is cut and no match is located; a pattern that is one
+    word is counted by the bytes that go when it is taken out."""
+    compiled = compile_rules(rules)
+    pairs = candidate_pairs(files, compiled)
+    needs = _needs(compiled, True, False, True)
+    mark, marked, hits = _match_columns(needs)
+    rows = pairs
+    if needs.constraints or needs.never or needs.flows or not needs.patterns:
+        rows = pairs.withColumn("_mark", mark).withColumn("_marked", marked)
+        n = F.array_size(hits)
+    else:
+        n = _plain_count(needs)
+    return rows.select(*_kept(pairs), n.cast("bigint").alias("n")).filter("n > 0")
+
+
+def _plain_count(needs: Needs) -> Column:
+    text, literal = F.col("text"), F.col("literal")
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, literal, F.lit("")))
+    has_words = F.forall(F.col("words"), lambda w: F.contains(text, w))
+    n = F.when(literal.isNotNull(), gone / F.octet_length(literal)).when(
+        has_words, F.regexp_count(text, F.col("search"))
+    )
+    if needs.inside:
+        n = F.when(F.col("inside").isNull() | (F.regexp_instr(text, F.col("inside")) > 0), n)
+    return n

@@ -175,3 +175,20 @@ def test_large_files_and_long_lines_are_kept(files):
     assert found == [("big.unknown", 1, 10_000_011)]
     line = "token(" + "y" * 1000 + ")"
     assert find_matches(files(("a.txt", line)), [rule("r", "token($X)")]).first()["snippet"] == line
+
+
+def test_counts_are_the_rows_of_all_matches_and_cut_no_lines(files):
+    from tamis.operators.matching import count_matches, find_matches
+
+    f = files(
+        ("a.py", "aaaa f(1) f(2)\nf(safe) é.é é.é aa"), ("b.py", "f(x) aaa\nuse g"), ("c.py", None), ("d.py", "none")
+    )
+    packs = [
+        [rule("w", "aa"), rule("p", "é.é"), rule("g", "f($X)"), rule("s", "f(2) f"), rule("i", "aa", pattern_inside="use")],
+        [rule("n", "f($X)", pattern_not="safe"), rule("c", "f($X)", metavariable_regex={"X": "^[0-9]$"}), rule("w", "aa")],
+    ]
+    for pack in packs:
+        located = find_matches(f, pack, captures=False).groupBy("rule_id", "path").count()
+        assert sorted(count_matches(f, pack).select("rule_id", "path", "n").collect()) == sorted(located.collect())
+    plan = count_matches(f, packs[0])._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "split(" not in plan
