@@ -85,12 +85,21 @@ def deduplicate(hits: DataFrame) -> DataFrame:
 
     A hash aggregate with map-side combining rather than a window: no group is
     ever brought together as rows, whatever the skew. Encounter order is one
-    number, for pattern ordinals follow rule ordinals; all other columns depend
-    on the key."""
+    number, for pattern ordinals follow rule ordinals, and gives both ordinals
+    back; all other columns depend on the key."""
     numbers = ("rule_ord", "pat_ord", "match_ord", "col")
     key = [c for c in hits.columns if c not in numbers]
     order = F.shiftleft(F.col("pat_ord").cast("bigint"), 32) + F.col("match_ord")
-    return hits.groupBy(*key).agg(*[F.min_by(n, order).alias(n) for n in numbers])
+    firsts = hits.groupBy(*key).agg(
+        F.min("rule_ord").alias("rule_ord"), F.min(order).alias("_order"), F.min_by("col", order).alias("col")
+    )
+    return firsts.select(
+        *key,
+        "rule_ord",
+        F.shiftright("_order", 32).cast("int").alias("pat_ord"),
+        F.col("_order").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("match_ord"),
+        "col",
+    )
 
 
 def with_rule_fields(hits: DataFrame, compiled) -> DataFrame:

@@ -55,6 +55,21 @@ def _either(parts: list[tuple[str, str]]) -> str:
     return "|".join(f"(?=[{''.join(_letter(c) for c, _ in g)}])(?:{_either(g)})" for g in groups)
 
 
+def literal_tests(text: Column, wanted: Sequence[Sequence[str] | None]) -> list[Column]:
+    """For each entry whether the text has one of its literals; true for None
+    and where one is empty."""
+    literals = {x for w in wanted if w is not None for x in w}
+    found = {x: F.contains(text, F.lit(x)) for x in literals}
+    tests = []
+    for w in wanted:
+        always = w is None or "" in w
+        hit = F.lit(always)
+        for x in () if always else w:
+            hit = hit | found[x]
+        tests.append(hit)
+    return tests
+
+
 def ordinals(text: Column, wanted: Sequence[Sequence[str] | None], few: int = FEW) -> Column:
     """Ascending positions in ``wanted`` of the entries that have a literal in
     the text, and of those that are None or hold the empty literal. Null text
@@ -64,13 +79,7 @@ def ordinals(text: Column, wanted: Sequence[Sequence[str] | None], few: int = FE
     some = {i: w for i, w in enumerate(wanted) if w is not None and "" not in w}
     literals = {x for w in some.values() for x in w}
     if len(literals) <= few:
-        found = {x: F.contains(text, F.lit(x)) for x in literals}
-        tests = []
-        for i, w in enumerate(wanted):
-            hit = F.lit(i in always)
-            for x in w or () if i in some else ():
-                hit = hit | found[x]
-            tests.append(F.when(hit, F.lit(i)))
+        tests = [F.when(hit, F.lit(i)) for i, hit in enumerate(literal_tests(text, wanted))]
         return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
 
     of: dict[str, set[int]] = {}

@@ -192,3 +192,29 @@ def test_counts_are_the_rows_of_all_matches_and_cut_no_lines(files):
         assert sorted(count_matches(f, pack).select("rule_id", "path", "n").collect()) == sorted(located.collect())
     plan = count_matches(f, packs[0])._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "split(" not in plan
+
+
+def test_first_matches_by_line(files):
+    """Rules that ask for no capture cut lines without lambdas and find what the others find."""
+    texts = [
+        "f(1)\n\tf(2) f(3)\r\nrun_f(x) f(4)", "f(x)\nf(\n)\n\n", "", "no", "\n\n", "run_f(x", "é f(ü) f(x)\nrun_f(x)f(5)",
+        f"{M.MARK} f(1)\nf({M.MARK}x)\nrun_f(x)", "import\n  os f(9)", "g(run_f(x))\nx" * 3, "f(1)\x0bf(2) f(3)\nf(1)",
+    ]
+    f = files(*((f"{i}.{ext}", t) for i, t in enumerate(texts) for ext in ("py", "go", "txt")), ("null.py", None))
+    pack = [
+        rule("never", "f($X)", pattern_not="run_f(x)"),
+        Rule("two", ("python", "go"), "INFO", "m", ("f(", "import os")),
+        Rule("inside", ("python", "generic"), "INFO", "m", ("f($X",), pattern_inside="run_$Y"),
+        rule("gap", "$X\n", pattern_not="x"),
+    ]
+    compiled = M.compile_rules(pack)
+    first = M.evaluate_pairs(M.candidate_pairs(f, compiled), compiled)
+    key = ("path", "pat_ord", "line")
+    every = M.find_matches(f, pack, captures=False).groupBy(*key, "snippet").agg(F.min("col").alias("col"))
+    columns = [*key, "col", "snippet"]
+    found = sorted(first.select(columns).collect())
+    assert found == sorted(every.select(columns).collect()) and len(found) > 60
+    assert "lambda" not in first._jdf.queryExecution().executedPlan().toString()
+    # an exclusion with a gap is looked for in the whole text
+    gap = [rule("n", "f($X)", pattern_not="f($A)x")]
+    assert rows(raw_findings(files(("a", "f(1)\nf(2)\nx\nf(2)x")), gap), "line") == [(2,), (4,)]
