@@ -42,6 +42,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def split_on(text: Column, regex: str) -> Column:
+    """All parts of the text between the matches of a regex, none of which is
+    empty. ``split`` compiles a regex of more than a letter for every text;
+    what replaces matches keeps it. So these become one letter first, unless
+    the text has that."""
+    letter = "\ufdd1"
+
+    def parts(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, regex, letter), letter, -1)
+        return F.when(F.contains(t, F.lit(letter)), F.split(t, regex, -1)).otherwise(marked)
+
+    return let(text, parts)
+
+
 def running_sum(values: Column, step: int = 256) -> Column:
     """Sums of all prefixes of an array of ints. In parts, so that a long array
     is not copied for every element."""

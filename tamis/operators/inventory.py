@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.functions.text import UNICODE, WS, basename, let, lines, trim_ws
+from tamis.functions.text import UNICODE, WS, basename, let, lines, split_on, trim_ws
 
 # Manifest names in look-up order and their ecosystem. The order
 # decides which manifest a merged package is first seen in.
@@ -163,6 +163,78 @@ def _json_of_any_depth():
     return loads, walk
 
 
+def _toml_of_plain_lines():
+    """A reader of TOML in which each statement is a header of bare names or
+    ``name = value`` with a plain string, a list or an inline table of such, a
+    whole number or a truth value, as lock files are made. It gives up, which
+    is None, on anything else, whatever is no TOML among it: the library's
+    reader, which takes several times longer, has to read that."""
+    import re
+
+    blank, string = r"[ \t]*+", r'"[^"\\\x00-\x1f\x7f]*+"'
+    name, any_blank = rf"(?:[A-Za-z0-9_-]++|{string})", r"[ \t\n]*+"
+    pair = rf"{name}{blank}={blank}{string}{blank}"
+    listed = rf"\[{any_blank}(?:{string}{any_blank}(?:,{any_blank}{string}{any_blank})*+(?:,{any_blank})?)?\]"
+    inline = rf"\{{{blank}(?:{pair}(?:,{blank}{pair})*+)?\}}"
+    number = r"0|[1-9][0-9]{0,14}+|true|false"
+    statement = re.compile(
+        rf"{blank}(?:\[\[([A-Za-z0-9_-]++)\]\]|\[([A-Za-z0-9_.-]++)\]|({name}){blank}={blank}"
+        rf"(?:({string})|({listed})|({inline})|({number})))?{blank}(?:#[^\x00-\x08\n-\x1f\x7f]*+)?(?:\n|\Z)"
+    )
+    strings, pairs = re.compile(string), re.compile(rf"({name}){blank}={blank}({string})")
+    plain = {"true": True, "false": False}
+
+    def bare(key):
+        return key.strip('"')
+
+    def read(text):
+        root, at, end = {}, 0, len(text)
+        table, lists, made = root, set(), {}
+        while at < end:
+            m = statement.match(text, at)
+            if not m:
+                return None
+            at = m.end()
+            many, header, key, one, array, braces, scalar = m.groups()
+            if key is not None:
+                key = bare(key)
+                if key in table:
+                    return None
+                if one is not None:
+                    table[key] = one[1:-1]
+                elif array is not None:
+                    table[key] = [x[1:-1] for x in strings.findall(array)]
+                elif braces is not None:
+                    inner = pairs.findall(braces)
+                    table[key] = {bare(k): v[1:-1] for k, v in inner}
+                    if len(table[key]) < len(inner):
+                        return None
+                else:
+                    table[key] = plain[scalar] if scalar in plain else int(scalar)
+            elif many is not None:
+                if many in root and many not in lists:
+                    return None
+                lists.add(many)
+                table = {}
+                root.setdefault(many, []).append(table)
+            elif header is not None:
+                if header in made:
+                    return None
+                table, parts = root, header.split(".")
+                if len(parts) > 16:
+                    return None
+                for i, part in enumerate(parts):
+                    path = ".".join(parts[: i + 1])
+                    if path not in made:
+                        if part in table or not part:
+                            return None
+                        made[path] = table[part] = {}
+                    table = made[path]
+        return root
+
+    return read
+
+
 _NESTED = T.ArrayType(
     T.StructType()
     .add("name", T.StringType())
@@ -185,6 +257,7 @@ def _read_otherwise(how: Column, text: Column) -> Column:
     are local functions: they travel with the plan, and executors need not have
     this package.)"""
     loads, walk = _json_of_any_depth()
+    plain_toml = _toml_of_plain_lines()
 
     def convert(hows, texts):
         import json
@@ -195,6 +268,9 @@ def _read_otherwise(how: Column, text: Column) -> Column:
         read = ("name", "version", "license")
 
         def toml(text):
+            doc = plain_toml(text)
+            if doc is not None:
+                return json.dumps(doc), None
             try:
                 return json.dumps(tomllib.loads(text), default=lambda d: {"toml": str(d)}), None
             except (tomllib.TOMLDecodeError, TypeError):
@@ -257,8 +333,7 @@ def _kind(v: Column) -> Column:
 
 def _text_at(v: Column, path: str) -> Column:
     """The value only if it is a JSON string."""
-    inner = _at(v, path, "variant")
-    return F.when(_kind(inner) == "STRING", inner.cast("string"))
+    return F.when(_kind(_at(v, path, "variant")) == "STRING", _at(v, path, "string"))
 
 
 def _object_at(v: Column, path: str) -> Column:
@@ -283,7 +358,8 @@ def _npm_packages(doc: Column) -> Column:
 
     def package(e: Column, root_names: Column) -> Column:
         name = F.substring_index(e["key"], "node_modules/", -1)
-        depth = F.size(F.split(e["key"], "node_modules/", -1)) - 1
+        folder = "node_modules/"
+        depth = (F.length(e["key"]) - F.length(F.replace(e["key"], F.lit(folder), F.lit("")))) / len(folder)
         return _dep(
             name,
             _text_at(e["value"], "$.version"),
@@ -317,7 +393,7 @@ def _cargo_lock(doc: Column) -> Column:
                 F.filter(packages, is_member),
                 lambda p: F.transform(
                     _list_at(p, "$.dependencies"),
-                    lambda d: F.element_at(F.split(trim_ws(d.cast("string")), f"{UNICODE}{WS}+", -1), 1),
+                    lambda d: F.element_at(split_on(trim_ws(d.cast("string")), f"{UNICODE}{WS}+"), 1),
                 ),
             )
         )
@@ -442,14 +518,16 @@ def _go_mod(text: Column) -> Column:
         is_require = F.startswith(l["t"], F.lit("require"))
         rest = trim_ws(F.regexp_replace(l["t"], "^(require)+", ""))
         opens = is_require & rest.isin("", "(")
-        words = F.split(F.when(is_require, rest).otherwise(l["t"]), f"{UNICODE}{WS}+", -1)
         closes = l["t"] == ")"
-        adds = (F.size(words) >= 2) & ~opens & ~closes & (is_require | s["open"])
+        may = ~opens & ~closes & (is_require | s["open"])
+        words = split_on(F.when(is_require, rest).otherwise(l["t"]), f"{UNICODE}{WS}+")
+        added = let(
+            words,
+            lambda ws: F.when(F.size(ws) >= 2, F.array_append(s["deps"], module(ws, l["indirect"]))).otherwise(s["deps"]),
+        )
         return F.struct(
             F.when(opens, True).when(closes, False).otherwise(s["open"]).alias("open"),
-            F.when(adds, F.array_append(s["deps"], module(words, l["indirect"])))
-            .otherwise(s["deps"])
-            .alias("deps"),
+            F.when(may, added).otherwise(s["deps"]).alias("deps"),
         ).cast(state)
 
     start = F.struct(F.lit(False).alias("open"), F.array().cast(_NO_DEPS).alias("deps")).cast(state)
@@ -499,7 +577,7 @@ def _gemfile_lock(text: Column) -> Column:
     content = F.filter(
         lines(text), lambda l: (trim_ws(l) != "") & ~F.startswith(trim_ws(l), F.lit("#"))
     )
-    sections = F.split(F.array_join(content, "\n"), rf"{UNICODE}\n(?!{WS})", -1)
+    sections = split_on(F.array_join(content, "\n"), rf"{UNICODE}\n(?!{WS})")
     title = lambda s: trim_ws(F.substring_index(s, "\n", 1))
 
     def gems(block: Column) -> Column:
@@ -508,27 +586,34 @@ def _gemfile_lock(text: Column) -> Column:
             F.transform(F.slice(rows, 2, F.size(rows) - 1), _gem), lambda g: g.isNotNull()
         )
 
-    blocks = F.flatten(
-        F.transform(
-            F.filter(sections, lambda s: title(s) == "GEM"),
-            lambda s: F.filter(
-                F.split(s, rf"{UNICODE}\n(?={WS}{{1,2}}[^\s][^\n]*:\s*(?:\n|$))", -1),
-                lambda b: title(b) == "specs:",
-            ),
+    def blocks(sections: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.filter(sections, lambda s: title(s) == "GEM"),
+                lambda s: F.filter(
+                    split_on(s, rf"{UNICODE}\n(?={WS}{{1,2}}[^\s][^\n]*:\s*(?:\n|$))"),
+                    lambda b: title(b) == "specs:",
+                ),
+            )
         )
-    )
-    direct = F.flatten(
-        F.transform(
-            F.filter(sections, lambda s: title(s) == "DEPENDENCIES"),
-            lambda s: gems(F.regexp_replace(s, rf"{UNICODE}\n{WS}+![^\n]*", "")),
+
+    def direct(sections: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.filter(sections, lambda s: title(s) == "DEPENDENCIES"),
+                lambda s: gems(F.regexp_replace(s, rf"{UNICODE}\n{WS}+![^\n]*", "")),
+            )
         )
-    )
+
     return let(
-        F.transform(direct, lambda g: g["name"]),
-        lambda names: F.transform(
-            F.flatten(F.transform(blocks, gems)),
-            lambda g: _dep(
-                g["name"], g["version"], F.array_contains(names, g["name"]), F.lit(True)
+        sections,
+        lambda ss: let(
+            F.transform(direct(ss), lambda g: g["name"]),
+            lambda names: F.transform(
+                F.flatten(F.transform(blocks(ss), gems)),
+                lambda g: _dep(
+                    g["name"], g["version"], F.array_contains(names, g["name"]), F.lit(True)
+                ),
             ),
         ),
     )
@@ -563,7 +648,7 @@ def _manifest_columns(application: str) -> tuple[Column, Column, Column, Column]
     is_toml = F.endswith(base, F.lit(".toml")) | base.isin("Cargo.lock", "poetry.lock")
     is_json = F.endswith(base, F.lit(".json")) | (base == "composer.lock")
     is_npm = base.isin("package-lock.json", "npm-shrinkwrap.json")
-    packages = lambda v: _at(v, "$.packages", "map<string,variant>").isNotNull()
+    packages = lambda v: _at(v, "$.packages", "struct<>").isNotNull()
     how = (
         F.when(is_toml, "toml")
         .when(is_json & plain.isNull(), "odd")

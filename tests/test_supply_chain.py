@@ -230,3 +230,54 @@ def test_one_arrow_pass_reads_every_format(files):
 
     plan = parse_manifests(files(("a/package-lock.json", "{}")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+STATEMENTS = [
+    "[a]", "[a.b]", "[a.b.c]", "[[a]]", "[[p]]", "[ a ]", "[a..b]", "[.a]", "[]", '["a"]', 'a = "x"', 'b="é"', '"a" = "y"',
+    '"" = "z"', 'a.b = "1"', "a = 'x'", 'b = """x"""', 'c = ["a","b"]', 'c = [\n "a",\n "b",\n]', 'c = ["a" "b"]', "c=[]",
+    "c = [,]", 'd = {a="1", b = "2"}', 'd = {a="1", a = "2"}', "d = {}", 'd = {a="1",}', "e = 3", "e = 03", "e = 1.5",
+    "e = true", "f = 1979-05-27", "# c", 'a = "x" # c', 'a = "x" y', "a =", "", '\ta = "t\tt"', 'a = "q\\"q"', 'a = "x"\r', "# \x01",
+]
+
+
+def test_toml_of_plain_lines_is_what_the_library_reads():
+    import random
+    import tomllib
+
+    from tamis.operators.inventory import _toml_of_plain_lines
+
+    read, rnd, accepted = _toml_of_plain_lines(), random.Random(1), 0
+    for _ in range(20_000):
+        text = "".join(rnd.choice(STATEMENTS) + rnd.choice(["\n", "\n", "\n\n", "\r\n"]) for _ in range(rnd.randint(1, 4)))
+        found = read(text)
+        if found is not None:  # else the library reads it
+            accepted += 1
+            assert found == tomllib.loads(text), text
+    assert accepted > 2000
+    lock = '# made\nversion = 4\n' + '[[package]]\nname = "a"\nsource = "r"\ndependencies = [\n "b 1",\n]\n\n' * 3
+    assert read(lock) == tomllib.loads(lock)
+    for base in ("Cargo.lock", "poetry.lock", "Cargo.toml"):
+        plain = [text for name, (text, _) in MANIFESTS.items() if name == base and "'" not in text and "= 5" not in text]
+        assert all(read(text) == tomllib.loads(text) for text in plain)
+    assert read("[" + "a." * 50_000 + "a]") is None
+
+
+def test_parts_between_matches(spark):
+    """Also where the text has the letter that stands for a match."""
+    from tamis.functions.text import split_on
+
+    texts = ["", "a", " a  b\n c ", "a　b", "﷑ a ﷑", "\n\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for regex in (r"(?U)\s+", r"(?U)\n(?!\s)", r"\n(?=\s)"):
+        assert all(r[0] == r[1] for r in df.select(split_on(F.col("t"), regex), F.split("t", regex, -1)).collect())
+
+
+def test_words_of_manifests_compile_no_regex_a_line(files):
+    """``split`` compiles its regex on each call: lines are split by a letter."""
+    import re
+
+    from tamis.operators.inventory import parse_manifests
+
+    plan = parse_manifests(files(("a/go.mod", "")))._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"split\([^()]*, node_modules/", plan) and "regexp_replace" in plan
+    assert plan.count("﷑") >= 4
