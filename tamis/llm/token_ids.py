@@ -6,7 +6,7 @@ import json
 import re
 from array import array
 
-_ENCODERS: dict[str, "Encoder"] = {}
+from tamis.llm.tables import kept_in_worker
 
 # Letters that normalisation only lower-cases, then ASCII punctuation, which is a token run of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -77,7 +77,5 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One per Python worker, as long as its tasks encode."""
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))

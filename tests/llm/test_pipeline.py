@@ -1,7 +1,11 @@
 """Each stage against brute force over its own input, and the run against the stages."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tamis.llm import secrets
+from tamis.llm import secrets, tables, token_ids
+from tamis.llm.queries import TOKENIZER
 from tamis.llm.tables import table
 from tests.llm.test_contracts import check_packing, contamination, spans
 from tests.llm.test_near_copies import kept
@@ -66,3 +70,38 @@ def test_clashing_columns_and_odd_rows(spark, data, rows):
         assert kept_rows and all(r["score"] == 7.5 and r["n_words"] == "mine" and r["secrets"] == "s" for r in kept_rows)
         docs = spark.createDataFrame(kept_rows, names)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() >= len(kept_rows)
+
+
+def test_texts_reach_python_in_small_batches(spark, data):
+    text = F.repeat(F.lit("some words "), 40_000)
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    dict(corpus_pipeline.STAGES)["benchmarks"](spark, docs, data)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 40
+    assert max(r.size for r in found) < corpus_pipeline.BATCH_BYTES + (1 << 20)
+
+
+def test_a_limit_of_the_session_stays(spark, data):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1234567")
+    try:
+        dict(corpus_pipeline.STAGES)["benchmarks"](spark, table(spark, data, "documents"), data)
+        assert spark.conf.get(key) == "1234567"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_worker_keeps_the_encoder_while_its_tasks_encode():
+    def encodes():
+        return token_ids.encoder(TOKENIZER)
+
+    first = tables.begun(encodes)
+    assert tables.begun(encodes) is first
+    tables.begun(lambda: None)
+    assert tables.begun(encodes) is not first
